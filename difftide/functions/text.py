@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters a "control trim" removes, and what counts as blank text.
 CONTROL_CHARS = "".join(map(chr, range(33)))
 NOT_BLANK = r"[^\s\x1c-\x1f\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200a}\x{2028}\x{2029}\x{205f}\x{3000}]"
+# Length argument for "the rest of the array".
+_ALL = (1 << 31) - 1
+
 # Characters a regular-expression dot does not match.
 LINE_ENDS = r"\n\r\x{85}\x{2028}\x{2029}"
 
-_MARK = "\x01"
+# Mark put into a text while it is searched; a text that already holds it gets the stand-in there.
+MARK, _STAND_IN = chr(0xE000), chr(0xE001)
+
+# Up to this many matches, line numbers are summed up match by match, beyond that line by line.
+_FEW = 500
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and use it any number of times in `body`.
+
+    Inside the lambda of an array function nothing is shared: an outer expression is evaluated again
+    for each element. Binding it first keeps such expressions linear.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def ctrim(text: Column) -> Column:
@@ -44,25 +62,78 @@ def count_char(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
+def marked_text(text: Column, pattern: str, replacement: str = MARK + "$0") -> Column:
+    """The text with a mark in front of every match."""
+    clean = F.when(text.contains(MARK), F.replace(text, F.lit(MARK), F.lit(_STAND_IN))).otherwise(text)
+    return F.regexp_replace(clean, pattern, replacement)
+
+
+def match_pieces(text: Column, pattern: str) -> Column:
+    """The text cut in front of every match: what precedes the first one, then a piece per match."""
+    return F.split(marked_text(text, pattern), MARK)
+
+
+def _line_sums(marked: Column) -> Column:
+    """Newlines in front of each mark."""
+
+    def step(acc: Column, piece: Column) -> Column:
+        return F.struct(
+            (acc["sum"] + count_char(piece, "\n")).alias("sum"),
+            F.concat(acc["all"], F.array(acc["sum"])).alias("all"),
+        )
+
+    def by_match(pieces: Column) -> Column:
+        start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("all"))
+        sums = F.aggregate(pieces, start, step, lambda acc: acc["all"])
+        return F.slice(sums, 2, _ALL)
+
+    def by_line(lines: Column) -> Column:
+        per_line = F.transform(
+            lines, lambda line, i: F.when(line.contains(MARK), F.array_repeat(i, count_char(line, MARK)))
+        )
+        return F.flatten(F.array_compact(per_line))
+
+    # A sum per piece comes out one place late: the last piece has no mark behind it.
+    ended = F.split(marked, MARK)
+    return let(
+        ended,
+        lambda p: F.when(F.size(p) <= _FEW, by_match(p)).otherwise(by_line(lines_of(marked))),
+    )
+
+
 def match_lines(text: Column, pattern: str, at_end: bool = False) -> Column:
     """Zero-based line on which each match starts (or ends), in order of occurrence.
 
-    Every match is marked with a control character, the marked text is cut into lines and each line
-    yields its number once per mark, so the work is linear in the text whatever the match count.
+    Linear in the text whatever the match count: few matches are summed up piece by piece, many line
+    by line.
     """
-    clean = F.replace(text, F.lit(_MARK), F.lit("\x02"))
-    marked = F.regexp_replace(clean, pattern, "$0" + _MARK if at_end else _MARK + "$0")
-    per_line = F.transform(
-        lines_of(marked), lambda line, i: F.array_repeat(i, count_char(line, _MARK))
+    marked = marked_text(text, pattern, "$0" + MARK if at_end else MARK + "$0")
+    return let(marked, _line_sums)
+
+
+def first_match_line(text: Column, pattern: str) -> Column:
+    """One-based line of the first match; null without a match."""
+    return let(
+        F.regexp_instr(text, F.lit(pattern)),
+        lambda at: F.when(at > 0, count_char(F.left(text, at - 1), "\n") + 1),
     )
-    return F.flatten(per_line)
 
 
-def match_texts(text: Column, pattern: str) -> Column:
-    """Every matched text, in order of occurrence."""
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def located_pieces(text: Column, pattern: str) -> Column:
+    """Every match as (line, before, rest): start line from 0, text since the last match, text from here.
+
+    The `before` texts up to a match put together are all the text in front of it, and `rest` begins
+    with the match.
+    """
+
+    def from_marked(marked: Column) -> Column:
+        def zipped(pieces: Column) -> Column:
+            return F.arrays_zip(
+                _line_sums(marked).alias("line"),
+                F.slice(pieces, F.lit(1), F.size(pieces) - 1).alias("before"),
+                F.slice(pieces, 2, _ALL).alias("rest"),
+            )
 
+        return let(F.split(marked, MARK), zipped)
 
-def match_gaps(text: Column, pattern: str) -> Column:
-    """The texts between matches; one entry more than there are matches."""
-    return F.split(text, pattern, -1)
+    return let(marked_text(text, pattern), from_marked)

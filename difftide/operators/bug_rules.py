@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from difftide.functions.text import (
-    count_char, ctrim, lines_of, match_gaps, match_lines, match_texts,
-)
-from difftide.operators.rules import at_line, guarded, hit, line_hits, no_hits
+from difftide.functions.text import count_char, ctrim, let, lines_of, located_pieces, match_lines
+from difftide.operators.rules import LineRule, at_line, guarded, hit, no_hits, starts_with_any
 
 # Patterns, limits and message texts of the rules.
 EMPTY_CATCH = r"catch\s*\([^)]*\)\s*\{\s*\}"
 STRING_EQ = r'"[^"]*"\s*==\s*\w+|\w+\s*==\s*"[^"]*"'
-PRINT_STACK = r"\.printStackTrace\(\)"
-SYSTEM_OUT = r"System\.(out|err)\s*\.\s*(print|println|printf)"
+SYSTEM_OUT = r"System\.(?:out|err)\s*\.\s*(?:print|println|printf)"
 TODO = r"//\s*(TODO|FIXME|HACK|XXX)\b"
 RESOURCE_CLASSES = [
     "FileInputStream", "FileOutputStream", "FileReader", "FileWriter", "BufferedReader", "BufferedWriter",
@@ -64,59 +61,42 @@ def empty_catch(text: Column, multiplicity: str = "once") -> Column:
     if multiplicity == "once":
         hits = F.transform(starts, lambda line: hit(line, "EMPTY_CATCH_BLOCK", EMPTY_CATCH_TEXT))
     else:
-        total = F.size(lines_of(text))
         ends = match_lines(text, EMPTY_CATCH, at_end=True)
-        hits = F.flatten(
-            F.zip_with(
-                starts, ends,
-                lambda s, e: F.array_repeat(hit(s, "EMPTY_CATCH_BLOCK", EMPTY_CATCH_TEXT), total - e),
-            )
+        hits = let(
+            F.size(lines_of(text)),
+            lambda total: F.flatten(
+                F.zip_with(
+                    starts, ends,
+                    lambda s, e: F.array_repeat(hit(s, "EMPTY_CATCH_BLOCK", EMPTY_CATCH_TEXT), total - e),
+                )
+            ),
         )
     return guarded(text, ["catch"], hits)
 
 
-def string_eq(text: Column) -> Column:
-    """BG2: at most one hit per line, comment lines skipped."""
-
-    def matches(line: Column) -> Column:
-        start = ctrim(line)
-        comment = start.startswith(COMMENT_STARTS[0])
-        for mark in COMMENT_STARTS[1:]:
-            comment = comment | start.startswith(mark)
-        return line.rlike(STRING_EQ) & ~comment
-
-    return guarded(
-        text, ["=="],
-        line_hits(text, matches, lambda l, n: hit(n, "STRING_COMPARISON_USING_EQ", at_line(STRING_EQ_TEXT[0], n, STRING_EQ_TEXT[1]))),
-    )
-
-
-def print_stack(text: Column) -> Column:
-    """BG3."""
-    return guarded(
-        text, [".printStackTrace()"],
-        line_hits(text, lambda l: l.rlike(PRINT_STACK), lambda l, n: hit(n, "PRINT_STACK_TRACE", PRINT_STACK_TEXT)),
-    )
-
-
-def system_out(text: Column) -> Column:
-    """BG4."""
-    return guarded(
-        text, ["System."],
-        line_hits(text, lambda l: l.rlike(SYSTEM_OUT), lambda l, n: hit(n, "SYSTEM_OUT_USAGE", SYSTEM_OUT_TEXT)),
-    )
-
+# BG2: comment lines are skipped.
+string_eq = LineRule(
+    "STRING_COMPARISON_USING_EQ", ["=="],
+    lambda line: line.rlike(STRING_EQ) & ~starts_with_any(ctrim(line), COMMENT_STARTS),
+    lambda line, n: at_line(STRING_EQ_TEXT[0], n, STRING_EQ_TEXT[1]),
+)
 
-def todo(text: Column) -> Column:
-    """BG5: the tag that was found opens the description."""
+# BG3.
+print_stack = LineRule(
+    "PRINT_STACK_TRACE", [".printStackTrace()"], lambda line: F.lit(True),
+    lambda line, n: F.lit(PRINT_STACK_TEXT),
+)
 
-    def make(line: Column, n: Column) -> Column:
-        tag = F.regexp_extract(line, TODO, 1)
-        return hit(n, "TODO_COMMENT", F.concat(tag, at_line(TODO_TEXT[0], n, TODO_TEXT[1])))
+# BG4.
+system_out = LineRule(
+    "SYSTEM_OUT_USAGE", ["System."], lambda line: line.rlike(SYSTEM_OUT), lambda line, n: F.lit(SYSTEM_OUT_TEXT)
+)
 
-    return guarded(
-        text, ["TODO", "FIXME", "HACK", "XXX"], line_hits(text, lambda l: l.rlike(TODO), make)
-    )
+# BG5: the tag that was found opens the description.
+todo = LineRule(
+    "TODO_COMMENT", ["//"], lambda line: line.rlike(TODO),
+    lambda line, n: F.concat(F.regexp_extract(line, TODO, 1), at_line(TODO_TEXT[0], n, TODO_TEXT[1])),
+)
 
 
 def resource_leak(text: Column) -> Column:
@@ -126,31 +106,27 @@ def resource_leak(text: Column) -> Column:
     parenthesis. A match is at least 15 characters long, so that window never needs more than the
     last 15 pieces of text.
     """
-    found = match_texts(text, RESOURCE_OPEN)
-    gaps = match_gaps(text, RESOURCE_OPEN)
-    starts = match_lines(text, RESOURCE_OPEN)
-    pieces = F.transform(
-        found,
-        lambda _, i: F.concat(
-            F.when(i > 0, F.get(found, i - 1)).otherwise(F.lit("")), F.get(gaps, i)
-        ),
-    )
 
-    def leaks(i: Column) -> Column:
+    def leaks(pieces: Column, i: Column) -> Column:
         first = F.greatest(i - 14, F.lit(0))
-        window = F.right(F.array_join(F.slice(pieces, first + 1, i - first + 1), ""), F.lit(TRY_WINDOW))
-        after = F.substring_index(window, "try", -1)
-        inside = window.contains("try") & after.rlike(r"\A\s*\([^)]*\z")
-        return ~inside
+        near = F.transform(F.slice(pieces, first + 1, i - first + 1), lambda p: p["before"])
+        window = F.right(F.array_join(near, ""), F.lit(TRY_WINDOW))
+        return let(
+            window,
+            lambda w: ~(w.contains("try") & F.substring_index(w, "try", -1).rlike(r"\A\s*\([^)]*\z")),
+        )
 
-    opened = F.transform(
-        starts, lambda line, i: F.struct((line + 1).alias("number"), leaks(i).alias("leaks"))
-    )
-    hits = F.transform(
-        F.filter(opened, lambda o: o["leaks"]),
-        lambda o: hit(o["number"], "RESOURCE_LEAK", at_line(RESOURCE_TEXT[0], o["number"], RESOURCE_TEXT[1])),
-    )
-    return guarded(text, RESOURCE_CLASSES, hits)
+    def make(pieces: Column) -> Column:
+        judged = F.transform(
+            pieces,
+            lambda p, i: F.when(
+                leaks(pieces, i),
+                hit(p["line"] + 1, "RESOURCE_LEAK", at_line(RESOURCE_TEXT[0], p["line"] + 1, RESOURCE_TEXT[1])),
+            ),
+        )
+        return F.array_compact(judged)
+
+    return guarded(text, RESOURCE_CLASSES, let(located_pieces(text, RESOURCE_OPEN), make))
 
 
 def void_return(text: Column) -> Column:
@@ -160,48 +136,49 @@ def void_return(text: Column) -> Column:
     too. The fold walks the pieces from one return to the next and keeps only whether a void method
     was seen and the depth since then.
     """
-    found = match_texts(text, RETURN_VALUE)
-    gaps = match_gaps(text, RETURN_VALUE)
-    starts = match_lines(text, RETURN_VALUE)
-
-    def piece(i: Column) -> Column:
-        before = F.when(i > 0, F.get(found, i - 1)).otherwise(F.lit(""))
-        parts = F.split(F.concat(before, F.get(gaps, i)), VOID_METHOD, -1)
-        last = F.element_at(parts, -1)
-        value = ctrim(F.regexp_extract(F.get(found, i), RETURN_VALUE, 1))
-        return F.struct(
-            (F.size(parts) > 1).alias("opens"),
-            (count_char(last, "{") - count_char(last, "}")).alias("depth"),
-            (F.get(starts, i) + 1).alias("number"),
-            value.alias("value"),
+
+    def summary(p: Column) -> Column:
+        parts = F.split(p["before"], VOID_METHOD, -1)
+        value = ctrim(F.regexp_extract(p["rest"], RETURN_VALUE, 1))
+        return let(
+            parts,
+            lambda x: F.struct(
+                (F.size(x) > 1).alias("opens"),
+                (count_char(F.element_at(x, -1), "{") - count_char(F.element_at(x, -1), "}")).alias("depth"),
+                (p["line"] + 1).alias("number"),
+                value.alias("value"),
+            ),
         )
 
     def step(acc: Column, p: Column) -> Column:
         depth = F.when(p["opens"], p["depth"]).otherwise(acc["depth"] + p["depth"])
         seen = acc["seen"] | p["opens"]
-        value = F.when(
-            F.length(p["value"]) > EXPRESSION_LIMIT,
-            F.concat(F.substring(p["value"], 1, EXPRESSION_CUT), F.lit("...")),
-        ).otherwise(p["value"])
-        made = hit(
-            p["number"], "RETURN_IN_VOID_METHOD",
-            F.concat(at_line(VOID_TEXT[0], p["number"], VOID_TEXT[1]), value, F.lit(VOID_TEXT[2])),
-        )
+        found = F.struct(p["number"].alias("number"), p["value"].alias("value"))
         return F.struct(
             seen.alias("seen"),
             depth.alias("depth"),
-            F.when(seen & (depth > 0), F.concat(acc["hits"], F.array(made)))
-            .otherwise(acc["hits"]).alias("hits"),
+            F.when(seen & (depth > 0), F.concat(acc["found"], F.array(found)))
+            .otherwise(acc["found"]).alias("found"),
         )
 
     start = F.struct(
         F.lit(False).alias("seen"), F.lit(0).alias("depth"),
-        no_hits().alias("hits"),
+        F.array().cast("array<struct<number:int,value:string>>").alias("found"),
     )
-    pieces = F.transform(found, lambda _, i: piece(i))
-    hits = F.aggregate(pieces, start, step, lambda acc: acc["hits"])
-    could = text.contains("return") & text.contains("void")
-    return F.when(could, hits).otherwise(no_hits())
+    pieces = F.transform(located_pieces(text, RETURN_VALUE), summary)
+
+    def make(r: Column) -> Column:
+        value = F.when(
+            F.length(r["value"]) > EXPRESSION_LIMIT,
+            F.concat(F.substring(r["value"], 1, EXPRESSION_CUT), F.lit("...")),
+        ).otherwise(r["value"])
+        return hit(
+            r["number"], "RETURN_IN_VOID_METHOD",
+            F.concat(at_line(VOID_TEXT[0], r["number"], VOID_TEXT[1]), value, F.lit(VOID_TEXT[2])),
+        )
+
+    hits = F.transform(F.aggregate(pieces, start, step, lambda acc: acc["found"]), make)
+    return F.when(text.contains("return") & text.contains("void"), hits).otherwise(no_hits())
 
 
 BUG_RULES = {

@@ -9,20 +9,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from difftide.functions.text import LINE_ENDS, ctrim, lines_of, not_blank
+from difftide.functions.text import LINE_ENDS, ctrim, let, lines_of, not_blank
 
 # Marks of the unified diff format.
 SECTION_START = r"(?m)(?=^diff --git )"
-PATH_PATTERNS = [r"(?m)^\+\+\+\s+b/(.*)$", r"(?m)^---\s+a/(.*)$"]
+NEW_SIDE = r"(?m)^\+\+\+\s+b/.*$"
+OLD_SIDE = r"(?m)^---\s+a/.*$"
 PATH_FALLBACK = r"(?m)^diff --git a/(.*)\s+b/.*$"
 NO_FILE = "/dev/null"
 CHANGE_PHRASES = {"new file mode": "ADDED", "deleted file mode": "DELETED", "rename from": "RENAMED"}
 HUNK_HEADER = (
     r"@@[^\S\n]+-?(\d+)(?:,(\d+))?[^\S\n]+\+?(\d+)(?:,(\d+))?[^\S\n]+@@[^" + LINE_ENDS + r"]*"
 )
+KEPT_LINE = r"\n(?:[+\- ]|\\ )"
 IMPORT_LINE = r"(?m)^[+-]?import\s+(?:static\s+)?([a-zA-Z0-9_.]+)\s*;\s*$"
 EXTENSION = r"(?s)(\.[^.]*)\z"
 
+# Length argument for "the rest of the array".
+_ALL = (1 << 31) - 1
+
 
 # -- column expressions on one section -------------------------------------------------------
 def sections(body: Column) -> Column:
@@ -32,14 +37,16 @@ def sections(body: Column) -> Column:
 
 def file_path(section: Column) -> Column:
     """Path of a section: new side, old side, then the git line; null when there is none (DF2)."""
-    out = None
-    for pattern in PATH_PATTERNS:
-        path = ctrim(F.regexp_extract(section, pattern, 1))
-        found = (path != NO_FILE) & ((path != "") | section.rlike(pattern))
-        out = F.when(found, path) if out is None else out.when(found, path)
-    return out.when(
+
+    def side(pattern: str, mark: str) -> Column:
+        row = F.regexp_substr(section, F.lit(pattern))
+        path = let(row, lambda r: ctrim(F.substring(r, F.instr(r, mark) + 2, F.length(r))))
+        return F.nullif(path, F.lit(NO_FILE))
+
+    git = F.when(
         section.rlike(PATH_FALLBACK), ctrim(F.regexp_extract(section, PATH_FALLBACK, 1))
     )
+    return F.coalesce(side(NEW_SIDE, "b/"), side(OLD_SIDE, "a/"), git)
 
 
 def change_type(section: Column) -> Column:
@@ -69,46 +76,44 @@ def file_extension(path: Column) -> Column:
     return F.nullif(F.regexp_extract(path, EXTENSION, 1), F.lit(""))
 
 
-def hunks_of(section: Column) -> Column:
-    """Hunks of a section as an array of structs (DF6).
+def hunk_pieces(section: Column) -> Column:
+    """Texts of the hunks of a section, header line first; hunks without a kept line are left out.
 
-    The section is cut in front of each header line; every piece then is one hunk. Counts that are
-    missing or beyond the int range become 1, hunks without any kept line are dropped and the
-    header is rebuilt from the numbers.
+    The section is cut in front of each header line, so whatever precedes the first one goes.
     """
     cut = F.split(F.concat(F.lit("\n"), section), rf"\n(?={HUNK_HEADER}(?:\n|\z))")
-    pieces = F.slice(cut, F.lit(2), F.size(cut))
-
-    def number(piece: Column, group: int) -> Column:
-        text = F.regexp_extract(piece, rf"\A{HUNK_HEADER}", group)
-        return F.coalesce(text.try_cast("int"), F.lit(1))
+    return F.filter(F.slice(cut, 2, _ALL), lambda piece: piece.rlike(KEPT_LINE))
 
-    def kept(line: Column) -> Column:
-        return line.rlike(r"\A(?:[+\- ]|\\ )")
 
-    def parse(piece: Column) -> Column:
-        lines = lines_of(piece)
-        return F.struct(
-            number(piece, 1).alias("old_start"),
-            number(piece, 3).alias("new_start"),
-            number(piece, 2).alias("old_lines"),
-            number(piece, 4).alias("new_lines"),
-            F.filter(F.slice(lines, F.lit(2), F.size(lines)), kept).alias("lines"),
-        )
+def parse_hunk(piece: Column) -> Column:
+    """Numbers, rebuilt header and kept lines of one hunk text (DF6).
 
-    parsed = F.filter(F.transform(pieces, parse), lambda h: F.size(h["lines"]) > 0)
+    Counts that are missing or beyond the int range become 1.
+    """
+    head = F.substring_index(piece, "\n", 1)
 
-    def finish(h: Column, i: Column) -> Column:
-        header = F.format_string(
-            "@@ -%d,%d +%d,%d @@", h["old_start"], h["old_lines"], h["new_start"], h["new_lines"]
-        )
-        return F.struct(
-            (i + 1).alias("hunk_seq"), h["old_start"].alias("old_start"),
-            h["new_start"].alias("new_start"), h["old_lines"].alias("old_lines"),
-            h["new_lines"].alias("new_lines"), header.alias("header"), h["lines"].alias("lines"),
-        )
+    def number(group: int) -> Column:
+        text = F.regexp_extract(head, HUNK_HEADER, group)
+        return F.coalesce(text.try_cast("int"), F.lit(1))
 
-    return F.transform(parsed, finish)
+    def kept(line: Column) -> Column:
+        return line.startswith("+") | line.startswith("-") | line.startswith(" ") | line.startswith("\\ ")
+
+    names = ["old_start", "old_lines", "new_start", "new_lines"]
+    numbers = F.struct(*[number(i + 1).alias(n) for i, n in enumerate(names)])
+    lines = F.filter(F.slice(lines_of(piece), 2, _ALL), kept)
+    return let(
+        numbers,
+        lambda n: F.struct(
+            *[n[c].alias(c) for c in names],
+            F.concat(
+                F.lit("@@ -"), n["old_start"].cast("string"), F.lit(","), n["old_lines"].cast("string"),
+                F.lit(" +"), n["new_start"].cast("string"), F.lit(","), n["new_lines"].cast("string"),
+                F.lit(" @@"),
+            ).alias("header"),
+            lines.alias("lines"),
+        ),
+    )
 
 
 # -- tables ----------------------------------------------------------------------------------
@@ -121,18 +126,22 @@ def diff_sections(diffs: DataFrame) -> DataFrame:
 
 def changed_files(diffs: DataFrame) -> DataFrame:
     """One row per changed file; sections without a path are dropped (DF5)."""
-    s = F.col("section")
-    return (
-        diff_sections(diffs)
-        .withColumn("file_path", file_path(s))
-        .where(F.col("file_path").isNotNull())
-        .select(
-            "task_id", "pr_id", "file_seq", "file_path",
-            change_type(s).alias("change_type"),
-            line_count(s, "+").alias("additions"),
-            line_count(s, "-").alias("deletions"),
-            s.alias("diff_content"),
-        )
+    located = F.filter(
+        F.transform(
+            sections(F.col("body")),
+            lambda s, i: F.struct(
+                (i + 1).alias("file_seq"), file_path(s).alias("file_path"), s.alias("diff_content")
+            ),
+        ),
+        lambda f: f["file_path"].isNotNull(),
+    )
+    text = F.col("diff_content")
+    return diffs.select("task_id", "pr_id", F.inline(located)).select(
+        "task_id", "pr_id", "file_seq", "file_path",
+        change_type(text).alias("change_type"),
+        line_count(text, "+").alias("additions"),
+        line_count(text, "-").alias("deletions"),
+        "diff_content",
     )
 
 
@@ -143,12 +152,13 @@ def changed_paths(diffs: DataFrame) -> DataFrame:
 
 
 def hunks(files: DataFrame) -> DataFrame:
-    """One row per hunk of a changed file (DF6)."""
-    return files.select(
-        "task_id", "pr_id", "file_seq", "file_path", F.inline(hunks_of(F.col("diff_content")))
-    ).select(
-        "task_id", "pr_id", "file_seq", "hunk_seq", "file_path", "old_start", "new_start",
-        "old_lines", "new_lines", "header", "lines",
+    """One row per hunk of a changed file, numbered from 1 (DF6)."""
+    keys = ["task_id", "pr_id", "file_seq", "file_path"]
+    pieces = files.select(*keys, F.posexplode(hunk_pieces(F.col("diff_content"))).alias("pos", "piece"))
+    rows = pieces.select(*keys, (F.col("pos") + 1).alias("hunk_seq"), parse_hunk(F.col("piece")).alias("h"))
+    return rows.select(
+        "task_id", "pr_id", "file_seq", "hunk_seq", "file_path", "h.old_start", "h.new_start",
+        "h.old_lines", "h.new_lines", "h.header", "h.lines",
     )
 
 
@@ -193,7 +203,7 @@ def _file_array(body: Column) -> Column:
             line_count(section, "+").alias("additions"),
             line_count(section, "-").alias("deletions"),
             imports_of(section).alias("imports"),
-            hunks_of(section).alias("hunks"),
+            F.transform(hunk_pieces(section), parse_hunk).alias("hunks"),
         )
 
     every = F.transform(sections(F.coalesce(body, F.lit(""))), describe)
@@ -209,23 +219,28 @@ def dependency_text(files: Column) -> Column:
     extensions = F.array_compact(
         F.array_distinct(F.transform(files, lambda f: file_extension(f["file_path"])))
     )
-    importing = F.filter(files, lambda f: F.size(f["imports"]) > 0)
-    paths = F.array_distinct(F.transform(importing, lambda f: f["file_path"]))
 
     def row(path: Column, imports: Column) -> Column:
         return F.concat(F.lit("  "), path, F.lit(" imports: "), F.array_join(imports, ", "), F.lit("\n"))
 
-    unique = F.transform(importing, lambda f: row(f["file_path"], f["imports"]))
-    repeated = F.transform(
-        paths,
-        lambda p: row(p, F.element_at(F.filter(importing, lambda f: f["file_path"] == p), -1)["imports"]),
-    )
-    rows = F.when(F.size(paths) == F.size(importing), unique).otherwise(repeated)
-    text = F.concat(
-        F.lit("File extensions: "), F.array_join(extensions, ", "), F.lit("\n"),
-        F.when(F.size(importing) > 0, F.concat(F.lit("Dependencies:\n"), F.array_join(rows, "")))
-        .otherwise(F.lit("")),
+    def with_paths(importing: Column, paths: Column) -> Column:
+        unique = F.transform(importing, lambda f: row(f["file_path"], f["imports"]))
+        repeated = F.transform(
+            paths,
+            lambda p: row(p, F.element_at(F.filter(importing, lambda f: f["file_path"] == p), -1)["imports"]),
+        )
+        rows = F.when(F.size(paths) == F.size(importing), unique).otherwise(repeated)
+        listed = F.concat(F.lit("Dependencies:\n"), F.array_join(rows, ""))
+        return F.when(F.size(importing) > 0, listed).otherwise(F.lit(""))
+
+    dependencies = let(
+        F.filter(files, lambda f: F.size(f["imports"]) > 0),
+        lambda importing: let(
+            F.array_distinct(F.transform(importing, lambda f: f["file_path"])),
+            lambda paths: with_paths(importing, paths),
+        ),
     )
+    text = F.concat(F.lit("File extensions: "), F.array_join(extensions, ", "), F.lit("\n"), dependencies)
     return F.when(F.size(files) == 0, F.lit("")).otherwise(text)
 
 

@@ -80,13 +80,22 @@ def map_severity(rule: Column) -> Column:
     return _pick(SEVERITY_OF_RULE, rule, F.lit("INFO"))
 
 
-def hits_to_findings(hits: DataFrame, agent: str) -> DataFrame:
-    """Rule hits as findings of the agent that owns the rules (SV4)."""
-    line = F.lit(0) if agent == "architecture" else F.col("line_number")
-    return hits.select(
+def agent_of_rule(rule: Column) -> Column:
+    """Agent that owns a rule."""
+    layer = rule.isin("LAYER_VIOLATION", "CYCLIC_DEPENDENCY", "SAME_LAYER_COUPLING")
+    # Bug rules are spelled in capitals, style rules in camel case.
+    return F.when(layer, "architecture").when(rule == F.upper(rule), "security").otherwise("code-style")
+
+
+def hits_to_findings(hits: DataFrame) -> DataFrame:
+    """Rule hits as findings of the agent that owns the rule (SV4); layering hits have line 0."""
+    rows = hits.withColumn("agent_id", agent_of_rule(F.col("rule")))
+    agent = F.col("agent_id")
+    line = F.when(agent == "architecture", 0).otherwise(F.col("line_number"))
+    return rows.select(
         "task_id", "pr_id",
-        make_seq(F.lit(agent), True, F.col("file_seq"), F.col("hit_pos")).alias("seq"),
-        F.lit(agent).alias("agent_id"),
+        make_seq(agent, True, F.col("file_seq"), F.col("hit_pos")).alias("seq"),
+        "agent_id",
         map_severity(F.col("rule")).alias("severity"),
         F.lit(TOOL_CATEGORY).alias("category"),
         "file_path",
@@ -94,17 +103,14 @@ def hits_to_findings(hits: DataFrame, agent: str) -> DataFrame:
         line.alias("line_end"),
         F.col("rule").alias("title"),
         "description",
-        F.lit(SUGGESTION_OF_AGENT[agent]).alias("suggestion"),
+        _pick(SUGGESTION_OF_AGENT, agent).alias("suggestion"),
     )
 
 
 def tool_findings(files: DataFrame) -> DataFrame:
-    """Findings of every rule on every file. The files are read once per agent, without a shuffle."""
-    parts = [
-        hits_to_findings(scan(files, list(rules.values()), keep_position=True), agent)
-        for agent, rules in TOOL_RULES.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """Findings of every rule on every file, in one pass and without a shuffle."""
+    rules = [rule for group in TOOL_RULES.values() for rule in group.values()]
+    return hits_to_findings(scan(files, rules, keep_position=True))
 
 
 # -- model responses -------------------------------------------------------------------------
@@ -135,12 +141,9 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     )
 
 
-def parse_agent_responses(responses: DataFrame) -> DataFrame:
-    """Findings of the readable responses, relabelled with the agent's id (SR5)."""
-    rows = (
-        parse_responses(responses).where(~F.col("failed"))
-        .select("task_id", "pr_id", "agent_id", F.posexplode("rows").alias("pos", "r"))
-    )
+def _finding_rows(parsed: DataFrame) -> DataFrame:
+    """One finding per entry of `rows`, relabelled with the agent's id."""
+    rows = parsed.select("task_id", "pr_id", "agent_id", F.posexplode("rows").alias("pos", "r"))
     return rows.select(
         "task_id", "pr_id",
         make_seq(F.col("agent_id"), False, F.lit(0), F.col("pos")).alias("seq"),
@@ -156,6 +159,11 @@ def parse_agent_responses(responses: DataFrame) -> DataFrame:
     )
 
 
+def parse_agent_responses(responses: DataFrame) -> DataFrame:
+    """Findings of the readable responses (SR5)."""
+    return _finding_rows(parse_responses(responses).where(~F.col("failed")))
+
+
 def valid_findings(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Findings with a non-blank path, of tasks with at least one changed file (AG3)."""
     named = findings.where(not_blank(F.col("file_path")))
@@ -178,44 +186,72 @@ def valid_findings_strict(findings: DataFrame, paths: DataFrame) -> DataFrame:
     )
 
 
-def _sentinel(rows: DataFrame, title: Column, description: Column) -> DataFrame:
-    return rows.select(
-        "task_id", "pr_id",
-        make_seq(F.col("agent_id"), False, F.lit(0), F.lit(0)).alias("seq"),
-        "agent_id",
-        F.lit("INFO").alias("severity"),
-        F.concat("agent_id", F.lit("-review")).alias("category"),
-        F.lit("").alias("file_path"),
-        F.lit(0).alias("line_start"),
-        F.lit(0).alias("line_end"),
-        title.alias("title"),
-        description.alias("description"),
-        F.lit("").alias("suggestion"),
+def _sentinel(agent: Column, title: Column, description: Column) -> Column:
+    """The INFO row that stands for a whole response, as a response row."""
+    return F.struct(
+        F.lit("INFO").alias("severity"), F.concat(agent, F.lit("-review")).alias("category"),
+        F.lit("").alias("filePath"), F.lit(0).alias("lineStart"), F.lit(0).alias("lineEnd"),
+        title.alias("title"), description.alias("description"), F.lit("").alias("suggestion"),
     )
 
 
+def no_issues(agent: Column) -> Column:
+    """Row of a readable response without a valid finding."""
+    title = F.concat(F.lit("No "), _pick(AGENT_WORDS, agent, agent), F.lit(" issues found"))
+    return _sentinel(agent, title, _pick(NO_ISSUE_TEXT, agent, F.lit("")))
+
+
+def failure(agent: Column, error: Column) -> Column:
+    """Row of a failed response."""
+    title = _pick(FAILED_TITLE, agent, F.concat(agent, F.lit(" review failed")))
+    text = F.concat(
+        F.lit("Unable to complete "), _pick(AGENT_WORDS, agent, agent),
+        F.lit(" review due to an internal error: "), F.coalesce(error, F.lit("unreadable response")),
+    )
+    return _sentinel(agent, title, text)
+
+
+def _sentinel_rows(rows: DataFrame, row: Column) -> DataFrame:
+    return _finding_rows(rows.withColumn("rows", F.array(row)))
+
+
 def no_issue_rows(responses: DataFrame, valid: DataFrame) -> DataFrame:
     """One INFO row per readable response without a valid finding (AG4)."""
     readable = parse_responses(responses).where(~F.col("failed")).select("task_id", "pr_id", "agent_id")
     empty = readable.join(valid.select("task_id", "agent_id"), ["task_id", "agent_id"], "left_anti")
-    agent = F.col("agent_id")
-    title = F.concat(F.lit("No "), _pick(AGENT_WORDS, agent, agent), F.lit(" issues found"))
-    return _sentinel(empty, title, _pick(NO_ISSUE_TEXT, agent, F.lit("")))
+    return _sentinel_rows(empty, no_issues(F.col("agent_id")))
 
 
 def agent_failures(responses: DataFrame) -> DataFrame:
     """One INFO row per failed response (AG5); the agent's tool findings are lost as well."""
     failed = parse_responses(responses).where("failed")
+    return _sentinel_rows(failed, failure(F.col("agent_id"), F.col("error")))
+
+
+def model_findings(responses: DataFrame, files: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """All rows of the model responses in one pass: valid findings, else a sentinel, or a failure.
+
+    Whether a task has files (or its path text, for the strict check) is joined once per response;
+    the rest is decided inside the response's row array.
+    """
+    parsed = parse_responses(responses)
     agent = F.col("agent_id")
-    word = _pick(AGENT_WORDS, agent, agent)
-    reason = F.coalesce(F.col("error"), F.lit("unreadable response"))
-    return _sentinel(
-        failed,
-        _pick(FAILED_TITLE, agent, F.concat(agent, F.lit(" review failed"))),
-        F.concat(
-            F.lit("Unable to complete "), word, F.lit(" review due to an internal error: "), reason
-        ),
+    if paths is None:
+        known = files.select("task_id").distinct().withColumn("_known", F.lit(True))
+        fits = lambda r: not_blank(r["filePath"]) & F.coalesce(F.col("_known"), F.lit(False))
+    else:
+        known = paths.select("task_id", F.col("paths").alias("_known"))
+        fits = lambda r: (
+            not_blank(r["filePath"]) & ~r["filePath"].contains("\n")
+            & F.coalesce(F.col("_known").contains(F.replace(r["filePath"], F.lit("\\"), F.lit("/"))), F.lit(False))
+        )
+    joined = parsed.join(known, "task_id", "left").withColumn("valid", F.filter("rows", fits))
+    rows = (
+        F.when(F.col("failed"), F.array(failure(agent, F.col("error"))))
+        .when(F.size("valid") == 0, F.array(no_issues(agent)))
+        .otherwise(F.col("valid"))
     )
+    return _finding_rows(joined.withColumn("rows", rows))
 
 
 def all_findings(
@@ -226,11 +262,9 @@ def all_findings(
     Tool rows of an agent whose response failed are dropped. `seq` fixes the order inside a task.
     With `paths`, model rows are validated strictly.
     """
-    rows = parse_agent_responses(responses)
-    valid = valid_findings(rows, files) if paths is None else valid_findings_strict(rows, paths)
     failed = parse_responses(responses).where("failed").select("task_id", "agent_id")
     tools = tool_findings(files).join(failed, ["task_id", "agent_id"], "left_anti")
-    parts = [valid, no_issue_rows(responses, valid), agent_failures(responses), tools, *custom]
+    parts = [model_findings(responses, files, paths), tools, *custom]
     return reduce(DataFrame.unionByName, [p.select(*FINDING_COLUMNS) for p in parts])
 
 

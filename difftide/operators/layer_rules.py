@@ -64,14 +64,14 @@ def _calls(text: Column) -> Column:
 
 def layer_injection(text: Column) -> Column:
     """AR1: a controller that injects a repository."""
-    return F.when(
-        _injects(text), F.array(hit(F.lit(0), "LAYER_VIOLATION", INJECTION_TEXT))
-    ).otherwise(no_hits())
+    made = F.array(hit(F.lit(0), "LAYER_VIOLATION", INJECTION_TEXT))
+    return F.when(text.contains("Controller") & _injects(text), made).otherwise(no_hits())
 
 
 def layer_call(text: Column) -> Column:
     """AR2: a controller that calls a repository, unless AR1 fired."""
-    return F.when(_calls(text), F.array(hit(F.lit(0), "LAYER_VIOLATION", CALL_TEXT))).otherwise(no_hits())
+    made = F.array(hit(F.lit(0), "LAYER_VIOLATION", CALL_TEXT))
+    return F.when(text.contains("Controller") & _calls(text), made).otherwise(no_hits())
 
 
 def _quoted(before: str, package: Column, middle: str, other: Column, after: str) -> Column:
@@ -92,7 +92,7 @@ def layer_import(text: Column) -> Column:
             "'. Controllers should only depend on Service layer.",
         ),
     )
-    fires = package.contains(".controller") & first.isNotNull() & ~_injects(text) & ~_calls(text)
+    fires = text.contains("package") & package.contains(".controller") & first.isNotNull() & ~_injects(text) & ~_calls(text)
     return F.when(fires, F.array(made)).otherwise(no_hits())
 
 
@@ -110,7 +110,7 @@ def repo_controller(text: Column) -> Column:
             ),
         ),
     )
-    fires = package.contains(".repository") & ~package.contains(".controller")
+    fires = text.contains("package") & package.contains(".repository") & ~package.contains(".controller")
     return F.when(fires, hits).otherwise(no_hits())
 
 
@@ -132,7 +132,7 @@ def same_layer(text: Column) -> Column:
             ),
         ),
     )
-    return F.when(package != "", hits).otherwise(no_hits())
+    return F.when(text.contains("package") & (package != ""), hits).otherwise(no_hits())
 
 
 # In the order in which hits of one text are reported.

@@ -1,13 +1,16 @@
 """Common contract of the rule scans.
 
-A rule is a function from a text column to an array of hits `(line_number, rule, description)`.
-`scan` runs any number of rules over a table of texts in one row-local pass: one projection and one
-generator, no shuffle, and each text is read once.
+There are two kinds of rules. A line rule looks at one line (`LineRule`); a text rule is a function
+from a whole text to an array of hits. `scan` runs any number of both over a table of texts in one
+row-local pass: every file yields its whole text and its lines as rows of one generator, and each
+row is given to the rules of its kind. Nothing is shuffled. Line rules are plain column expressions
+on exploded rows, because those are compiled, while array lambdas are interpreted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +19,44 @@ from difftide.functions.text import lines_of, not_blank
 
 HIT_TYPE = "array<struct<line_number:int,rule:string,description:string>>"
 
-Rule = Callable[[Column], Column]
+TextRule = Callable[[Column], Column]
+
+
+@dataclass(frozen=True)
+class LineRule:
+    """At most one hit per line.
+
+    A line is tested for one of the plain `words` first, then `matches` decides. `describe` gets the
+    line and its number.
+    """
+
+    rule: str
+    words: Sequence[str]
+    matches: Callable[[Column], Column]
+    describe: Callable[[Column, Column], Column]
+
+    def fires(self, line: Column) -> Column:
+        return any_of(line, self.words) & self.matches(line) if self.words else self.matches(line)
+
+    def hit(self, line: Column, number: Column) -> Column:
+        return hit(number, self.rule, self.describe(line, number))
+
+
+Rule = LineRule | TextRule
+
+
+def any_of(text: Column, words: Sequence[str]) -> Column:
+    out = text.contains(words[0])
+    for word in words[1:]:
+        out = out | text.contains(word)
+    return out
+
+
+def starts_with_any(text: Column, marks: Sequence[str]) -> Column:
+    out = text.startswith(marks[0])
+    for mark in marks[1:]:
+        out = out | text.startswith(mark)
+    return out
 
 
 def no_hits() -> Column:
@@ -35,34 +75,61 @@ def at_line(before: str, number: Column, after: str) -> Column:
     return F.concat(F.lit(before), number.cast("string"), F.lit(after))
 
 
-def guarded(text: Column, needs: Sequence[str], hits: Column) -> Column:
-    """Evaluate a rule only for texts that hold one of the plain words it cannot match without."""
-    could = None
-    for word in needs:
-        could = text.contains(word) if could is None else could | text.contains(word)
-    return F.when(could, hits).otherwise(no_hits())
+def guarded(text: Column, words: Sequence[str], hits: Column) -> Column:
+    """Evaluate a text rule only for texts with one of the words it cannot match without."""
+    return F.when(any_of(text, words), hits).otherwise(no_hits())
 
 
-def line_hits(text: Column, matches: Callable[[Column], Column], make: Callable[[Column, Column], Column]) -> Column:
-    """Hits of a line rule: `matches(line)` picks lines, `make(line, number)` builds the hit."""
-    numbered = F.transform(
-        lines_of(text), lambda line, i: F.struct(line.alias("text"), (i + 1).alias("number"))
-    )
-    picked = F.filter(numbered, lambda l: matches(l["text"]))
-    return F.transform(picked, lambda l: make(l["text"], l["number"]))
+_HIT = ["line_number", "rule", "description"]
+
+# Bits of `hit_pos` for the place inside one rule; the rule's place is above them.
+ORDINAL_BITS = 25
 
 
 def scan(files: DataFrame, rules: Sequence[Rule], keep_position: bool = False) -> DataFrame:
     """All hits of the rules on the column `diff_content` (or `content`) of a file table.
 
-    Blank texts have no hits. With `keep_position`, `hit_pos` numbers the hits of one file in rule
-    order.
+    Blank texts have no hits. With `keep_position`, `hit_pos` orders the hits of one file by rule
+    and then by place.
     """
     name = "diff_content" if "diff_content" in files.columns else "content"
-    text = F.col(name)
-    found = F.when(not_blank(text), F.flatten(F.array(*[rule(text) for rule in rules])))
     keys = [c for c in ("task_id", "pr_id", "file_seq", "file_path") if c in files.columns]
-    if keep_position:
-        rows = files.select(*keys, F.posexplode(found).alias("hit_pos", "h"))
-        return rows.select(*keys, "hit_pos", "h.*")
-    return files.select(*keys, F.inline(found))
+    whole = [(i, r) for i, r in enumerate(rules) if not isinstance(r, LineRule)]
+    lined = [(i, r) for i, r in enumerate(rules) if isinstance(r, LineRule)]
+    text = F.col(name)
+
+    # Row 0 of a file is its whole text, row n its nth line.
+    units = F.concat(F.array(text), lines_of(text)) if lined else F.array(text)
+    unit, part, fired = F.col("_unit"), F.col("_text"), F.col("_fired")
+    rows = files.where(not_blank(text)).select(*keys, F.posexplode(units).alias("_unit", "_text"))
+
+    # The patterns run once per line, as one compiled number with a bit per rule; lines without any
+    # hit end here.
+    bits = F.lit(0)
+    for bit, (_, rule) in enumerate(lined):
+        bits = bits + F.when(rule.fires(part), 1 << bit).otherwise(0)
+    wanted = (unit == 0) if whole else F.lit(False)
+    rows = rows.withColumn("_fired", F.when(unit > 0, bits).otherwise(0)).where(wanted | (fired != 0))
+
+    def line_hit(bit: int, order: int, rule: LineRule) -> Column:
+        found = rule.hit(part, unit)
+        if keep_position:
+            at = (F.lit(order << ORDINAL_BITS) + unit).alias("hit_pos")
+            found = F.struct(at, *[found[c].alias(c) for c in _HIT])
+        return F.when(fired.bitwiseAND(1 << bit) != 0, found)
+
+    def text_hits(order: int, rule: TextRule) -> Column:
+        if not keep_position:
+            return rule(part)
+        base = F.lit(order << ORDINAL_BITS)
+        return F.transform(
+            rule(part), lambda h, i: F.struct((base + i).alias("hit_pos"), *[h[c].alias(c) for c in _HIT])
+        )
+
+    in_text = F.concat(*[text_hits(i, r) for i, r in whole]) if whole else None
+    in_line = F.array(*[line_hit(b, i, r) for b, (i, r) in enumerate(lined)]) if lined else None
+    if in_line is None or in_text is None:
+        found = in_text if in_line is None else in_line
+    else:
+        found = F.when(unit == 0, in_text).otherwise(in_line)
+    return rows.select(*keys, F.inline(found)).where(F.col("rule").isNotNull())

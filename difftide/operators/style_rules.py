@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from difftide.functions.text import LINE_ENDS, count_char, ctrim, lines_of, match_lines
-from difftide.operators.rules import at_line, guarded, hit, line_hits, no_hits
+from difftide.functions.text import (
+    LINE_ENDS, MARK, count_char, ctrim, first_match_line, let, lines_of, marked_text, match_lines,
+)
+from difftide.operators.rules import (
+    LineRule, at_line, guarded, hit, no_hits, starts_with_any,
+)
 
 # Patterns, limits and message texts of the rules.
-PUBLIC_METHOD = r"public\s+\w+\s+\w+\s*\("
+PUBLIC_METHOD = r"public[^\S\n]+\w+[^\S\n]+\w+[^\S\n]*\("
 METHOD_WITH_PARAMETERS = r"\bpublic\s+\w+\s+\w+\s*\([^)]*\)"
 PARAMETER_COMMA = r",(?![^<]*>)"
-MAGIC_NUMBER = r"[\s(=,]+(\d{2,}|\d+\.\d+)(?!\s*[\.\w])"
+MAGIC_NUMBER = r"[\s(=,](\d{2,}|\d+\.\d+)(?!\s*[.\w])"
 ARRAY_SIZE = r"new\s+\w+\s*\[(\d+(?:\.\d+)?)\]"
 EMPTY_IF = r"if\s*\([^)]*\)\s*\{\s*\}"
 EMPTY_ELSE = r"else\s*\{\s*\}"
-MIXED_INDENT = r"(?m)^(?=\t+\s| +\t).*\S"
+MIXED_INDENT = r"(?m)^(?=\t+[^\S\n]| +\t).*\S"
 ALLOWED_NUMBERS = ["0", "1", "-1", "0.0", "1.0", "-1.0"]
 NO_METHOD_START = r"\A(?!(?:if|while|for|switch|catch|synchronized)\b)\w"
 JAVADOC_SKIP = ["//", "*", "@Override", "package", "import", "{"]
@@ -28,42 +32,37 @@ MAX_PARAMETERS = 5
 NAME_LIMIT = 30
 
 
-def starts_with_any(text: Column, marks: list[str]) -> Column:
-    out = text.startswith(marks[0])
-    for mark in marks[1:]:
-        out = out | text.startswith(mark)
-    return out
-
-
 def method_name(line: Column) -> Column:
     """Name shown for a method line (ST7): the text before the parenthesis, else the word before."""
     clean = ctrim(F.replace(line, F.lit("{"), F.lit("")))
-    words = F.split(clean, r"\s+")
-    named = F.transform(
-        words,
-        lambda w, i: F.when(
-            w.contains("("),
-            F.when(~w.startswith("("), F.regexp_replace(w, r"\(.*", "")).when(i > 0, F.get(words, i - 1)),
-        ),
-    )
-    first = F.get(F.filter(named, lambda n: n.isNotNull()), F.lit(0))
-    return F.coalesce(first, F.substring(clean, 1, NAME_LIMIT))
+
+    def name_in(words: Column) -> Column:
+        named = F.transform(
+            words,
+            lambda w, i: F.when(
+                w.contains("("),
+                F.when(~w.startswith("("), F.substring_index(w, "(", 1)).when(i > 0, F.get(words, i - 1)),
+            ),
+        )
+        return F.get(F.array_compact(named), F.lit(0))
+
+    return F.coalesce(let(F.split(clean, r"\s+"), name_in), F.substring(clean, 1, NAME_LIMIT))
 
 
 def javadoc(text: Column) -> Column:
     """ST1: a public method without a doc comment in the five lines before it.
 
     A line that opens a doc comment never closes it, so a one-line doc comment hides what follows
-    up to the next closing mark on another line. The fold only carries that state and the numbers
-    of the candidate lines.
+    up to the next closing mark on another line. Method lines are marked beforehand; the fold only
+    carries the comment state and the numbers of the candidate lines.
     """
-    trimmed = F.transform(lines_of(text), ctrim)
+    marked = F.transform(lines_of(marked_text(text, PUBLIC_METHOD)), ctrim)
 
     def step(acc: Column, line: Column) -> Column:
         opens = line.startswith("/**")
         closes = acc["inside"] & line.contains("*/")
         candidate = (
-            ~opens & ~acc["inside"] & ~starts_with_any(line, JAVADOC_SKIP) & line.rlike(PUBLIC_METHOD)
+            line.contains(MARK) & ~opens & ~acc["inside"] & ~starts_with_any(line, JAVADOC_SKIP)
         )
         return F.struct(
             (opens | (acc["inside"] & ~closes)).alias("inside"),
@@ -75,28 +74,29 @@ def javadoc(text: Column) -> Column:
     start = F.struct(
         F.lit(False).alias("inside"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("found")
     )
-    found = F.aggregate(trimmed, start, step, lambda acc: acc["found"])
 
-    def documented(at: Column) -> Column:
+    def documented(lines: Column, at: Column) -> Column:
         first = F.greatest(at - LOOK_BACK, F.lit(0))
-        before = F.reverse(F.slice(trimmed, first + 1, at - first))
-        marks = F.filter(
-            before, lambda l: l.startswith("/**") | starts_with_any(l, DECLARATION_STARTS)
-        )
+        before = F.reverse(F.slice(lines, first + 1, at - first))
+        stops = [MARK, *DECLARATION_STARTS]
+        marks = F.filter(before, lambda l: l.startswith("/**") | starts_with_any(l, stops))
         return F.coalesce(F.get(marks, F.lit(0)).startswith("/**"), F.lit(False))
 
-    missing = F.filter(found, lambda at: ~documented(at))
-    hits = F.transform(
-        missing,
-        lambda at: hit(
-            at + 1, "JavadocStyle",
-            F.concat(
-                F.lit("Public method '"), method_name(F.get(trimmed, at)),
-                at_line("' at line ", at + 1, " is missing Javadoc comment."),
+    def make(lines: Column) -> Column:
+        found = F.aggregate(lines, start, step, lambda acc: acc["found"])
+        missing = F.filter(found, lambda at: ~documented(lines, at))
+        return F.transform(
+            missing,
+            lambda at: hit(
+                at + 1, "JavadocStyle",
+                F.concat(
+                    F.lit("Public method '"), method_name(F.replace(F.get(lines, at), F.lit(MARK), F.lit(""))),
+                    at_line("' at line ", at + 1, " is missing Javadoc comment."),
+                ),
             ),
-        ),
-    )
-    return F.when(text.rlike(PUBLIC_METHOD), hits).otherwise(no_hits())
+        )
+
+    return F.when(text.rlike(PUBLIC_METHOD), let(marked, make)).otherwise(no_hits())
 
 
 def starts_method(trimmed: Column) -> Column:
@@ -114,43 +114,49 @@ def method_length(text: Column) -> Column:
 
     The fold carries the open method's first line and the brace depth since then.
     """
-    numbered = F.transform(
-        lines_of(text), lambda line, i: F.struct(line.alias("text"), i.alias("at"))
-    )
 
     def step(acc: Column, line: Column) -> Column:
-        trimmed = ctrim(line["text"])
+        at, trimmed = acc["at"], ctrim(line)
         begins = acc["start"].isNull() & starts_method(trimmed)
-        start = F.when(begins, line["at"]).otherwise(acc["start"])
-        net = count_char(line["text"], "{") - count_char(line["text"], "}")
-        depth = F.when(begins, F.lit(0)).otherwise(acc["depth"]) + net
-        ends = start.isNotNull() & (depth <= 0)
-        long = ends & (line["at"] - start > MAX_METHOD_LINES)
-        found = F.struct(start.alias("start"), (line["at"] - start).alias("length"))
-        return F.struct(
-            F.when(~ends, start).alias("start"),
-            depth.alias("depth"),
-            F.when(long, F.concat(acc["found"], F.array(found))).otherwise(acc["found"]).alias("found"),
-        )
+        start = F.when(begins, at).otherwise(acc["start"])
+        net = count_char(line, "{") - count_char(line, "}")
+
+        def after(s: Column) -> Column:
+            begun, depth = s["start"], s["depth"]
+            ends = begun.isNotNull() & (depth <= 0)
+            found = F.struct(begun.alias("start"), (at - begun).alias("length"))
+            long = ends & (at - begun > MAX_METHOD_LINES)
+            return F.struct(
+                (at + 1).alias("at"),
+                F.when(~ends, begun).alias("start"),
+                depth.alias("depth"),
+                F.when(long, F.concat(acc["found"], F.array(found))).otherwise(acc["found"]).alias("found"),
+            )
+
+        depth = F.when(acc["start"].isNull() & start.isNotNull(), F.lit(0)).otherwise(acc["depth"]) + net
+        return let(F.struct(start.alias("start"), depth.alias("depth")), after)
 
     first = F.struct(
-        F.lit(None).cast("int").alias("start"), F.lit(0).alias("depth"),
+        F.lit(0).alias("at"), F.lit(None).cast("int").alias("start"), F.lit(0).alias("depth"),
         F.array().cast("array<struct<start:int,length:int>>").alias("found"),
     )
-    found = F.aggregate(numbered, first, step, lambda acc: acc["found"])
-
-    def make(m: Column) -> Column:
-        name = method_name(ctrim(F.get(lines_of(text), m["start"])))
-        return hit(
-            m["start"] + 1, "MethodLength",
-            F.concat(
-                F.lit("Method '"), name, at_line("' at line ", m["start"] + 1, " is "),
-                at_line("", m["length"], " lines long (max allowed: 50)."),
+
+    def make(lines: Column) -> Column:
+        found = F.aggregate(lines, first, step, lambda acc: acc["found"])
+        return F.transform(
+            found,
+            lambda m: hit(
+                m["start"] + 1, "MethodLength",
+                F.concat(
+                    F.lit("Method '"), method_name(ctrim(F.get(lines, m["start"]))),
+                    at_line("' at line ", m["start"] + 1, " is "),
+                    at_line("", m["length"], " lines long (max allowed: 50)."),
+                ),
             ),
         )
 
-    could = F.size(lines_of(text)) > MAX_METHOD_LINES + 1
-    return F.when(could, F.transform(found, make)).otherwise(no_hits())
+    could = count_char(text, "\n") > MAX_METHOD_LINES
+    return F.when(could, let(lines_of(text), make)).otherwise(no_hits())
 
 
 def parameter_count(line: Column) -> Column:
@@ -163,45 +169,36 @@ def parameter_count(line: Column) -> Column:
     return F.when((opened > 0) & (F.length(line) - tail > opened), last).otherwise(F.lit(0))
 
 
-def param_count(text: Column) -> Column:
-    """ST3: more than five parameters."""
-    hits = line_hits(
-        text,
-        lambda l: l.rlike(METHOD_WITH_PARAMETERS) & (parameter_count(l) > MAX_PARAMETERS),
-        lambda l, n: hit(
-            n, "ParameterNumber",
-            F.concat(
-                at_line("Method at line ", n, " has "),
-                at_line("", parameter_count(l), " parameters (max allowed: 5). Consider refactoring."),
-            ),
-        ),
-    )
-    return guarded(text, ["public"], hits)
+# ST3: more than five parameters.
+param_count = LineRule(
+    "ParameterNumber", ["public"],
+    lambda line: line.rlike(METHOD_WITH_PARAMETERS) & (parameter_count(line) > MAX_PARAMETERS),
+    lambda line, n: F.concat(
+        at_line("Method at line ", n, " has "),
+        at_line("", parameter_count(line), " parameters (max allowed: 5). Consider refactoring."),
+    ),
+)
 
 
-def magic_number(text: Column) -> Column:
-    """ST4: the first bare number of a line, unless allowed or an array size."""
-
-    def allowed(line: Column, number: Column) -> Column:
-        size = F.array_contains(F.regexp_extract_all(line, F.lit(ARRAY_SIZE), F.lit(1)), number)
-        return number.isin(ALLOWED_NUMBERS) | (size & ~line.rlike(f"[{LINE_ENDS}]"))
+def _bare_number(line: Column) -> Column:
+    """The first bare number of a line counts, unless it is allowed or an array size."""
+    number = F.regexp_extract(line, MAGIC_NUMBER, 1)
+    sizes = F.regexp_extract_all(line, F.lit(ARRAY_SIZE), F.lit(1))
+    is_size = line.contains("[") & F.array_contains(sizes, number) & ~line.rlike(f"[{LINE_ENDS}]")
+    return (
+        line.rlike(MAGIC_NUMBER) & ~starts_with_any(ctrim(line), NUMBER_SKIP)
+        & ~number.isin(ALLOWED_NUMBERS) & ~is_size
+    )
 
-    def matches(line: Column) -> Column:
-        number = F.regexp_extract(line, MAGIC_NUMBER, 1)
-        return (
-            line.rlike(MAGIC_NUMBER) & ~starts_with_any(ctrim(line), NUMBER_SKIP) & ~allowed(line, number)
-        )
 
-    return line_hits(
-        text, matches,
-        lambda l, n: hit(
-            n, "MagicNumber",
-            F.concat(
-                F.lit("Magic number '"), F.regexp_extract(l, MAGIC_NUMBER, 1),
-                at_line("' at line ", n, ". Define as a named constant instead."),
-            ),
-        ),
-    )
+# ST4. The pattern needs one character in front of the number; a run of them finds the same number.
+magic_number = LineRule(
+    "MagicNumber", [], _bare_number,
+    lambda line, n: F.concat(
+        F.lit("Magic number '"), F.regexp_extract(line, MAGIC_NUMBER, 1),
+        at_line("' at line ", n, ". Define as a named constant instead."),
+    ),
+)
 
 
 def empty_block(text: Column) -> Column:
@@ -226,9 +223,9 @@ def empty_block(text: Column) -> Column:
 
 def indentation(text: Column) -> Column:
     """ST6: the first line of a text whose indent mixes tabs and spaces."""
-    hits = line_hits(
-        text, lambda l: l.rlike(MIXED_INDENT),
-        lambda l, n: hit(
+    made = let(
+        first_match_line(text, MIXED_INDENT),
+        lambda n: hit(
             n, "Indentation",
             at_line(
                 "Inconsistent indentation at line ", n,
@@ -236,7 +233,8 @@ def indentation(text: Column) -> Column:
             ),
         ),
     )
-    return guarded(text, ["\t"], F.slice(hits, 1, 1))
+    hits = F.filter(F.array(made), lambda h: h["line_number"].isNotNull())
+    return guarded(text, ["\t"], hits)
 
 
 STYLE_RULES = {

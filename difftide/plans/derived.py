@@ -336,10 +336,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows of a table that is one small file, spread over all cores.
+
+    A derived row is much larger than its source row, so a small file would leave one task with all
+    the work. Tables of many files are split well enough and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the derived tables."""
     sql = derived_sql(name, spark=True)
     for source in SOURCE_TABLES:
         if f"FROM {source}" in sql:
-            table(spark, sf_dir, source).createOrReplaceTempView(source)
+            _spread(table(spark, sf_dir, source)).createOrReplaceTempView(source)
     return spark.sql(sql)
