@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 CONTROL_CHARS = "".join(map(chr, range(33)))
 NOT_BLANK = r"[^\s\x1c-\x1f\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200a}\x{2028}\x{2029}\x{205f}\x{3000}]"
 # Length argument for "the rest of the array".
-_ALL = (1 << 31) - 1
+REST = 1 << 30
 
 # Characters a regular-expression dot does not match.
 LINE_ENDS = r"\n\r\x{85}\x{2028}\x{2029}"
@@ -85,7 +85,7 @@ def _line_sums(marked: Column) -> Column:
     def by_match(pieces: Column) -> Column:
         start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("all"))
         sums = F.aggregate(pieces, start, step, lambda acc: acc["all"])
-        return F.slice(sums, 2, _ALL)
+        return F.slice(sums, 2, REST)
 
     def by_line(lines: Column) -> Column:
         per_line = F.transform(
@@ -131,7 +131,7 @@ def located_pieces(text: Column, pattern: str) -> Column:
             return F.arrays_zip(
                 _line_sums(marked).alias("line"),
                 F.slice(pieces, F.lit(1), F.size(pieces) - 1).alias("before"),
-                F.slice(pieces, 2, _ALL).alias("rest"),
+                F.slice(pieces, 2, REST).alias("rest"),
             )
 
         return let(F.split(marked, MARK), zipped)

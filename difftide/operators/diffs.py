@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from difftide.functions.text import LINE_ENDS, ctrim, let, lines_of, not_blank
+from difftide.functions.text import LINE_ENDS, REST, ctrim, let, lines_of, not_blank
 
 # Marks of the unified diff format.
 SECTION_START = r"(?m)(?=^diff --git )"
@@ -25,9 +25,6 @@ KEPT_LINE = r"\n(?:[+\- ]|\\ )"
 IMPORT_LINE = r"(?m)^[+-]?import\s+(?:static\s+)?([a-zA-Z0-9_.]+)\s*;\s*$"
 EXTENSION = r"(?s)(\.[^.]*)\z"
 
-# Length argument for "the rest of the array".
-_ALL = (1 << 31) - 1
-
 
 # -- column expressions on one section -------------------------------------------------------
 def sections(body: Column) -> Column:
@@ -82,7 +79,7 @@ def hunk_pieces(section: Column) -> Column:
     The section is cut in front of each header line, so whatever precedes the first one goes.
     """
     cut = F.split(F.concat(F.lit("\n"), section), rf"\n(?={HUNK_HEADER}(?:\n|\z))")
-    return F.filter(F.slice(cut, 2, _ALL), lambda piece: piece.rlike(KEPT_LINE))
+    return F.filter(F.slice(cut, 2, REST), lambda piece: piece.rlike(KEPT_LINE))
 
 
 def parse_hunk(piece: Column) -> Column:
@@ -101,7 +98,7 @@ def parse_hunk(piece: Column) -> Column:
 
     names = ["old_start", "old_lines", "new_start", "new_lines"]
     numbers = F.struct(*[number(i + 1).alias(n) for i, n in enumerate(names)])
-    lines = F.filter(F.slice(lines_of(piece), 2, _ALL), kept)
+    lines = F.filter(F.slice(lines_of(piece), 2, REST), kept)
     return let(
         numbers,
         lambda n: F.struct(

@@ -294,12 +294,12 @@ def package_layers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def tool_findings(spark: SparkSession, sf: str) -> DataFrame:
-    return fi.tool_findings(_files(spark, sf))
+    return fi.tool_findings(_files(spark, sf)).drop("seq")
 
 
 @query
 def source_tool_findings(spark: SparkSession, sf: str) -> DataFrame:
-    return fi.tool_findings(derived(spark, sf, "fx_sources"))
+    return fi.tool_findings(derived(spark, sf, "fx_sources")).drop("seq")
 
 
 # -- agents ----------------------------------------------------------------------------------
@@ -332,7 +332,7 @@ def agent_failures(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def all_findings(spark: SparkSession, sf: str) -> DataFrame:
-    return fi.all_findings(_responses(spark, sf), _files(spark, sf))
+    return fi.all_findings(_responses(spark, sf), _files(spark, sf)).drop("seq")
 
 
 def big_change_agent(contexts: DataFrame, files: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ Python models instead.
 
 from __future__ import annotations
 
+import re
+
 from difftide.functions import markdown as md
 from difftide.operators import bug_rules as bug
 from difftide.operators import findings as fi
@@ -382,10 +384,6 @@ SELECT g.task_id, a.agent_id, 'Review the following pull request for ' || a.subj
  || CASE WHEN trim(g.dependency_graph) = '' THEN '' WHEN a.agent_id = 'architecture' THEN '## Dependency Graph' || chr(10) || g.dependency_graph || chr(10) || chr(10)
     ELSE '## Dependency Context' || chr(10) || g.dependency_graph || chr(10) END AS prompt
 FROM graphs g LEFT JOIN file_text f USING (task_id) LEFT JOIN block_text b USING (task_id), ({_subjects}) a)""", "graphs", "file_text", "block_text")
-_check("incremental_hunks", """
-WITH k AS (SELECT *, sha256(lines) AS hunk_hash FROM hunk_rows)
-SELECT task_id, pr_id, file_seq, hunk_seq, file_path, header, hunk_hash FROM k
-WHERE NOT EXISTS (SELECT 1 FROM k r WHERE r.hunk_seq = 1 AND r.pr_id = k.pr_id AND r.file_path = k.file_path AND r.hunk_hash = k.hunk_hash)""".replace("WITH k AS (SELECT *, sha256(lines) AS hunk_hash FROM hunk_rows)", ""), "hunk_rows")
 _cte("k", "SELECT *, sha256(lines) AS hunk_hash FROM hunk_rows", "hunk_rows")
 _check("incremental_hunks", """
 SELECT task_id, pr_id, file_seq, hunk_seq, file_path, header, hunk_hash FROM k
@@ -499,15 +497,15 @@ FROM (SELECT {_KEYS}, f.start, f.length, string_split_regex(trim(replace(ls[f.st
  FROM (SELECT {_KEYS}, string_split(diff_content, chr(10)) AS ls FROM files)))""".replace("{{", "{").replace("}}", "}"), ["files"])
 _PUBLIC = r"public\s+\w+\s+\w+\s*\("
 _rule_sql["rule_javadoc"] = (rf"""
-SELECT {_KEYS}, cast(at AS int) AS line_number, 'JavadocStyle' AS rule, 'Public method ''' || {_NAME} || ''' at line ' || at || ' is missing Javadoc comment.' AS description
-FROM (SELECT {_KEYS}, at, string_split_regex(trim(replace(ts[at], '{{', '')), '\s+') AS ws,
-  list_filter(list_reverse(ts[greatest(at - 5, 1):at - 1]), lambda p: regexp_matches(p, '^(/\*\*|public|private|protected|class|interface|@interface|enum)'))[1] AS stop
+SELECT {_KEYS}, cast(ln AS int) AS line_number, 'JavadocStyle' AS rule, 'Public method ''' || {_NAME} || ''' at line ' || ln || ' is missing Javadoc comment.' AS description
+FROM (SELECT {_KEYS}, ln, string_split_regex(trim(replace(ts[ln], '{{', '')), '\s+') AS ws,
+  list_filter(list_reverse(ts[greatest(ln - 5, 1):ln - 1]), lambda p: regexp_matches(p, '^(/\*\*|public|private|protected|class|interface|@interface|enum)'))[1] AS stop
  FROM (SELECT {_KEYS}, ts, unnest(list_reduce(ts, lambda acc, t: {{
    'at': acc.at + 1,
    'inside': starts_with(t, '/**') OR (acc.inside AND NOT contains(t, '*/')),
    'found': CASE WHEN NOT starts_with(t, '/**') AND NOT acc.inside AND regexp_matches(t, '{_PUBLIC}') AND NOT regexp_matches(t, '^(//|\*|@Override|package|import|\{{)')
       THEN list_append(acc.found, acc.at) ELSE acc.found END
-  }}, {{'at': 1::bigint, 'inside': false, 'found': []::bigint[]}}).found) AS at
+  }}, {{'at': 1::bigint, 'inside': false, 'found': []::bigint[]}}).found) AS ln
   FROM (SELECT {_KEYS}, list_transform(string_split(diff_content, chr(10)), lambda l: trim(l, ' ' || chr(9))) AS ts FROM files)))
 WHERE NOT coalesce(starts_with(stop, '/**'), false)""".replace("{{", "{").replace("}}", "}"), ["files"])
 for _name, (_sql, _uses) in _rule_sql.items():
@@ -579,7 +577,7 @@ _TOOL_ORDER = [
     ("security", ["rule_empty_catch", "rule_string_eq", "rule_print_stack", "rule_system_out", "rule_todo", "rule_resource_leak", "rule_void_return"]),
     ("code-style", ["rule_javadoc", "rule_method_length", "rule_param_count", "rule_magic_number", "rule_empty_block", "rule_indentation"]),
 ]
-_hit_parts, _n = [], 0
+_hit_parts = []
 for _agent, _names in _TOOL_ORDER:
     for _name in _names:
         _hit_parts.append(f"SELECT *, '{_agent}' AS agent_id FROM ({_rule_sql[_name][0]})")
@@ -591,6 +589,42 @@ _check("tool_findings", "SELECT * FROM tool_rows", "tool_rows")
 _check("all_findings", """
 SELECT * FROM (SELECT * EXCLUDE (seq) FROM valid UNION ALL SELECT * EXCLUDE (seq) FROM no_issue UNION ALL SELECT * EXCLUDE (seq) FROM failures
  UNION ALL BY NAME SELECT t.* FROM tool_rows t WHERE NOT EXISTS (SELECT 1 FROM failures f WHERE f.task_id = t.task_id AND f.agent_id = t.agent_id))""", "valid", "no_issue", "failures", "tool_rows")
+
+
+def _variant(name: str, suffix: str, renamed: dict[str, str]) -> None:
+    """Copy of a common table expression that reads other tables."""
+    sql, uses = _CTE[name]
+    for old, new in renamed.items():
+        sql = re.sub(rf"\b(FROM|JOIN) {old}\b", rf"\1 {new}", sql)
+    _cte(name + suffix, sql, *[renamed.get(u, u) for u in uses])
+
+
+# The same rules on plain sources.
+_cte("files_s", "SELECT task_id, pr_id, cast(file_seq AS int) AS file_seq, file_path, content AS diff_content FROM fx_sources", "fx_sources")
+for _name in ["lines", "tool_hits", "tool_rows"]:
+    _variant(_name, "_s", {"files": "files_s", "lines": "lines_s", "tool_hits": "tool_hits_s"})
+_layer_union = " UNION ALL ".join(f"SELECT *, 'architecture' AS agent_id FROM ({q})" for q, _ in _layer_sql.values())
+_cte("layer_hits", _layer_union, "controllers", "edges")
+_variant("tool_rows", "_layers", {"tool_hits": "layer_hits"})
+_check("source_tool_findings", "SELECT * FROM tool_rows_s UNION ALL BY NAME SELECT * FROM tool_rows_layers", "tool_rows_s", "tool_rows_layers")
+
+# The whole review: tasks and fetch log to gate verdicts.
+_cte("task_responses", "SELECT r.* FROM fx_responses r WHERE task_id IN (SELECT task_id FROM pr_tasks)", "fx_responses", "pr_tasks")
+_chain = ["cut", "pieces", "sections", "files", "lines", "answers", "model_rows", "valid", "no_issue", "failures", "tool_hits", "tool_rows"]
+_renamed = {**{n: n + "_e" for n in _chain}, "fx_diffs": "clean", "fx_responses": "task_responses"}
+for _name in _chain:
+    _variant(_name, "_e", _renamed)
+_cte("found_e", """
+SELECT * FROM (SELECT * EXCLUDE (seq) FROM valid_e UNION ALL SELECT * EXCLUDE (seq) FROM no_issue_e UNION ALL SELECT * EXCLUDE (seq) FROM failures_e
+ UNION ALL BY NAME SELECT t.* FROM tool_rows_e t WHERE NOT EXISTS (SELECT 1 FROM failures_e f WHERE f.task_id = t.task_id AND f.agent_id = t.agent_id))""", "valid_e", "no_issue_e", "failures_e", "tool_rows_e")
+_variant("judged", "_e", {"fx_findings": "found_e"})
+_cte("filtered_e", _SOFT + "judged_e WHERE verdict <> 'drop'", "judged_e")
+_cte("counts_e", f"""
+SELECT task_id, cast(count(*) FILTER (r = 0) AS int) AS critical_count, cast(count(*) FILTER (r = 1) AS int) AS major_count, cast(count(*) FILTER (r = 2) AS int) AS minor_count
+FROM (SELECT task_id, min({_RANK}) AS r FROM filtered_e GROUP BY task_id, coalesce(file_path, ''), line_start, line_end, coalesce(category, '')) GROUP BY task_id""", "filtered_e")
+_check("review_end_to_end", f"""
+SELECT *, {_GATE} FROM (SELECT t.task_id, t.pr_id, coalesce(critical_count, 0) AS critical_count, coalesce(major_count, 0) AS major_count, coalesce(minor_count, 0) AS minor_count
+ FROM pr_tasks t LEFT JOIN counts_e USING (task_id))""".replace("> 140", "> 10"), "pr_tasks", "counts_e")
 _check("similar_vectors", """
 SELECT query_id, cast(rank AS int) AS rank, vec_id FROM (
  SELECT q.vec_id AS query_id, c.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::double[], c.embedding::double[]) DESC, c.vec_id) AS rank
