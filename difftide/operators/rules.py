@@ -103,13 +103,13 @@ def scan(files: DataFrame, rules: Sequence[Rule], keep_position: bool = False) -
     unit, part, fired = F.col("_unit"), F.col("_text"), F.col("_fired")
     rows = files.where(not_blank(text)).select(*keys, F.posexplode(units).alias("_unit", "_text"))
 
-    # The patterns run once per line, as one compiled number with a bit per rule; lines without any
-    # hit end here.
+    # The patterns run once per line, into one number with a bit per rule. It is a column of its own
+    # (and not a filter, which would be evaluated again below it); a line without any hit then has
+    # no array to generate rows from.
     bits = F.lit(0)
     for bit, (_, rule) in enumerate(lined):
         bits = bits + F.when(rule.fires(part), 1 << bit).otherwise(0)
-    wanted = (unit == 0) if whole else F.lit(False)
-    rows = rows.withColumn("_fired", F.when(unit > 0, bits).otherwise(0)).where(wanted | (fired != 0))
+    rows = rows.withColumn("_fired", F.when(unit > 0, bits).otherwise(0))
 
     def line_hit(bit: int, order: int, rule: LineRule) -> Column:
         found = rule.hit(part, unit)
@@ -128,8 +128,9 @@ def scan(files: DataFrame, rules: Sequence[Rule], keep_position: bool = False) -
 
     in_text = F.concat(*[text_hits(i, r) for i, r in whole]) if whole else None
     in_line = F.array(*[line_hit(b, i, r) for b, (i, r) in enumerate(lined)]) if lined else None
+    some = fired != 0
     if in_line is None or in_text is None:
-        found = in_text if in_line is None else in_line
+        found = in_text if in_line is None else F.when(some, in_line)
     else:
-        found = F.when(unit == 0, in_text).otherwise(in_line)
+        found = F.when(unit == 0, in_text).when(some, in_line)
     return rows.select(*keys, F.inline(found)).where(F.col("rule").isNotNull())

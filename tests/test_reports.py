@@ -125,7 +125,7 @@ def test_gate_from_text(spark, tmp_path):
     got = {r.file_name: (r.critical_count, r.major_count, r.minor_count, r.gate, r.warn) for r in rows}
     assert got == {
         "a.md": (3, 12, 0, "FAIL", True), "b.md": (0, 0, 0, "PASS", False),
-        # The first row with a cell that ends with the label counts, whatever its other cells hold.
+        # The first row with the label in a cell counts, and its last number.
         "c.md": (0, 11, 0, "PASS", True), "d.md": (0, 0, 0, "PASS", False),
     }
 
