@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from difftide.functions.text import ctrim, full_match, not_blank, text_or_null_word
+from difftide.functions.text import ctrim, full_match, text_or_null_word
 
 # Fixed values.
 ACTION_EVENTS = {"opened": "PR_OPENED", "synchronize": "PR_SYNCHRONIZED", "closed": "PR_CLOSED"}
@@ -74,4 +74,6 @@ def directive_of(body: Column) -> Column:
         F.nullif(F.regexp_extract(text, DIRECTIVE, 3), F.lit("")).alias("file_path"),
         line.alias("line_start"),
     )
-    return F.when(not_blank(body) & text.rlike(DIRECTIVE) & line.isNotNull(), directive)
+    # The plain prefix test spares ordinary comments the pattern.
+    could = F.lower(F.left(text, F.lit(len("/feedback")))) == "/feedback"
+    return F.when(could & text.rlike(DIRECTIVE) & line.isNotNull(), directive)

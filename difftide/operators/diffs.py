@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from difftide.functions.rows import keep
 from difftide.functions.text import LINE_ENDS, REST, ctrim, let, lines_of, not_blank
 
 # Marks of the unified diff format.
@@ -162,15 +163,18 @@ def hunks(files: DataFrame) -> DataFrame:
 def hunk_lines(hunk_rows: DataFrame) -> DataFrame:
     """One row per kept line of a hunk, with its position from 1 (DF7)."""
     return hunk_rows.select(
-        "task_id", "pr_id", "file_seq", "hunk_seq", "file_path", F.posexplode("lines").alias("pos", "line")
+        "task_id", "pr_id", "file_seq", "hunk_seq", "file_path",
+        # An expression and not the bare column: for that a size filter would be added below the
+        # parsing, which would then run twice.
+        F.posexplode(F.slice("lines", 1, REST)).alias("pos", "line"),
     ).withColumn("pos", F.col("pos") + 1)
 
 
 def file_imports(files: DataFrame) -> DataFrame:
     """Changed files with their distinct imports; files without any are left out (DF8)."""
-    return files.select(
-        "task_id", "pr_id", "file_seq", "file_path", imports_of(F.col("diff_content")).alias("imports")
-    ).where(F.size("imports") > 0)
+    keys = ["task_id", "pr_id", "file_seq", "file_path"]
+    rows = files.select(*keys, imports_of(F.col("diff_content")).alias("imports"))
+    return keep(rows, F.size("imports") > 0, *keys, "imports")
 
 
 def extension_counts(files: DataFrame) -> DataFrame:
@@ -184,8 +188,9 @@ def extension_counts(files: DataFrame) -> DataFrame:
 
 def dependency_edges(files: DataFrame) -> DataFrame:
     """One row per (changed file, imported name) (DF10)."""
-    return file_imports(files).select(
-        "task_id", "pr_id", "file_seq", "file_path", F.explode("imports").alias("imported")
+    return files.select(
+        "task_id", "pr_id", "file_seq", "file_path",
+        F.explode(imports_of(F.col("diff_content"))).alias("imported"),
     )
 
 

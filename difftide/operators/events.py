@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from difftide.functions.events import (
     branch_name, compare_url, directive_of, is_all_zeros, map_trigger,
 )
+from difftide.functions.rows import keep
 from difftide.functions.signing import signature_valid
 from difftide.functions.text import text_or_null_word
 
@@ -104,10 +105,12 @@ def dispositions(pr: DataFrame, push: DataFrame) -> DataFrame:
 
 def build_pr_tasks(pr: DataFrame) -> DataFrame:
     """Review tasks of the accepted PR deliveries (EV3); closed PRs are reviewed too."""
-    ok = pr_dispositions(pr).where(F.col("disposition.message") == PR_DONE)
-    ok = ok.withColumn("head", F.col("pull_request.head")).withColumn("base", F.col("pull_request.base"))
+    rows = pr_dispositions(pr).select(
+        "*", F.col("pull_request.head").alias("head"), F.col("pull_request.base").alias("base")
+    )
     repo = F.col("repository.full_name")
-    return ok.select(
+    return keep(
+        rows, F.col("disposition.message") == PR_DONE,
         F.col("delivery_id").alias("task_id"),
         F.concat(text_or_null_word(repo), F.lit("#"), F.col("number").cast("string")).alias("pr_id"),
         repo.alias("repo_name"),
@@ -125,10 +128,10 @@ def build_pr_tasks(pr: DataFrame) -> DataFrame:
 
 def build_push_tasks(push: DataFrame) -> DataFrame:
     """Review tasks of the accepted push deliveries (EV7)."""
-    ok = push_dispositions(push).where(F.col("disposition.message") == PUSH_DONE)
     repo = F.col("repository.full_name")
     branch = branch_name(F.col("ref"))
-    return ok.select(
+    return keep(
+        push_dispositions(push), F.col("disposition.message") == PUSH_DONE,
         F.col("delivery_id").alias("task_id"),
         F.concat(text_or_null_word(repo), F.lit("#push:"), F.col("after")).alias("pr_id"),
         repo.alias("repo_name"),
@@ -152,9 +155,9 @@ def review_tasks(pr_tasks: DataFrame, push_tasks: DataFrame) -> DataFrame:
 def feedback_directives(comments: DataFrame) -> DataFrame:
     """Comments that are feedback directives, with the parsed fields (EV10, EV11)."""
     found = comments.withColumn("directive", directive_of(F.col("body")))
-    return found.where(F.col("directive").isNotNull()).select(
-        *comments.columns, "directive.*"
-    )
+    d = F.col("directive")
+    fields = [d[n].alias(n) for n in ["feedback", "rule_category", "agent_type", "file_path", "line_start"]]
+    return keep(found, d.isNotNull(), *comments.columns, *fields)
 
 
 def to_feedback(comments: DataFrame) -> DataFrame:

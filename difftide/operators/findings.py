@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from difftide import schemas
+from difftide.functions.rows import keep
 from difftide.functions.text import not_blank
 from difftide.operators.bug_rules import BUG_RULES
 from difftide.operators.layer_rules import LAYER_RULES
@@ -143,25 +144,23 @@ def parse_responses(responses: DataFrame) -> DataFrame:
 
 def _finding_rows(parsed: DataFrame) -> DataFrame:
     """One finding per entry of `rows`, relabelled with the agent's id."""
-    rows = parsed.select("task_id", "pr_id", "agent_id", F.posexplode("rows").alias("pos", "r"))
-    return rows.select(
-        "task_id", "pr_id",
-        make_seq(F.col("agent_id"), False, F.lit(0), F.col("pos")).alias("seq"),
-        "agent_id",
-        F.col("r.severity").alias("severity"),
-        F.col("r.category").alias("category"),
-        F.col("r.filePath").alias("file_path"),
-        F.coalesce(F.col("r.lineStart"), F.lit(0)).alias("line_start"),
-        F.coalesce(F.col("r.lineEnd"), F.lit(0)).alias("line_end"),
-        F.col("r.title").alias("title"),
-        F.col("r.description").alias("description"),
-        F.col("r.suggestion").alias("suggestion"),
+    placed = F.transform(
+        "rows",
+        lambda r, i: F.struct(
+            i.alias("pos"), r["severity"].alias("severity"), r["category"].alias("category"),
+            r["filePath"].alias("file_path"), F.coalesce(r["lineStart"], F.lit(0)).alias("line_start"),
+            F.coalesce(r["lineEnd"], F.lit(0)).alias("line_end"), r["title"].alias("title"),
+            r["description"].alias("description"), r["suggestion"].alias("suggestion"),
+        ),
     )
+    rows = parsed.select("task_id", "pr_id", "agent_id", F.inline(placed))
+    seq = make_seq(F.col("agent_id"), False, F.lit(0), F.col("pos"))
+    return rows.withColumn("seq", seq).select(*FINDING_COLUMNS)
 
 
 def parse_agent_responses(responses: DataFrame) -> DataFrame:
-    """Findings of the readable responses (SR5)."""
-    return _finding_rows(parse_responses(responses).where(~F.col("failed")))
+    """Findings of the readable responses (SR5); a failed one has no rows."""
+    return _finding_rows(parse_responses(responses))
 
 
 def valid_findings(findings: DataFrame, files: DataFrame) -> DataFrame:
@@ -217,14 +216,14 @@ def _sentinel_rows(rows: DataFrame, row: Column) -> DataFrame:
 
 def no_issue_rows(responses: DataFrame, valid: DataFrame) -> DataFrame:
     """One INFO row per readable response without a valid finding (AG4)."""
-    readable = parse_responses(responses).where(~F.col("failed")).select("task_id", "pr_id", "agent_id")
+    readable = keep(parse_responses(responses), ~F.col("failed"), "task_id", "pr_id", "agent_id")
     empty = readable.join(valid.select("task_id", "agent_id"), ["task_id", "agent_id"], "left_anti")
     return _sentinel_rows(empty, no_issues(F.col("agent_id")))
 
 
 def agent_failures(responses: DataFrame) -> DataFrame:
     """One INFO row per failed response (AG5); the agent's tool findings are lost as well."""
-    failed = parse_responses(responses).where("failed")
+    failed = keep(parse_responses(responses), F.col("failed"), "task_id", "pr_id", "agent_id", "error")
     return _sentinel_rows(failed, failure(F.col("agent_id"), F.col("error")))
 
 
@@ -262,7 +261,7 @@ def all_findings(
     Tool rows of an agent whose response failed are dropped. `seq` fixes the order inside a task.
     With `paths`, model rows are validated strictly.
     """
-    failed = parse_responses(responses).where("failed").select("task_id", "agent_id")
+    failed = keep(parse_responses(responses), F.col("failed"), "task_id", "agent_id")
     tools = tool_findings(files).join(failed, ["task_id", "agent_id"], "left_anti")
     parts = [model_findings(responses, files, paths), tools, *custom]
     return reduce(DataFrame.unionByName, [p.select(*FINDING_COLUMNS) for p in parts])
