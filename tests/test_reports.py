@@ -126,7 +126,7 @@ def test_gate_from_text(spark, tmp_path):
     assert got == {
         "a.md": (3, 12, 0, "FAIL", True), "b.md": (0, 0, 0, "PASS", False),
         # The first row with the label in a cell counts, and its last number.
-        "c.md": (0, 11, 0, "PASS", True), "d.md": (0, 0, 0, "PASS", False),
+        "c.md": (1, 11, 0, "FAIL", True), "d.md": (0, 0, 0, "PASS", False),
     }
 
 
