@@ -68,11 +68,6 @@ def marked_text(text: Column, pattern: str, replacement: str = MARK + "$0") -> C
     return F.regexp_replace(clean, pattern, replacement)
 
 
-def match_pieces(text: Column, pattern: str) -> Column:
-    """The text cut in front of every match: what precedes the first one, then a piece per match."""
-    return F.split(marked_text(text, pattern), MARK)
-
-
 def _line_sums(marked: Column) -> Column:
     """Newlines in front of each mark."""
 
