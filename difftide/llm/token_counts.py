@@ -34,7 +34,7 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 _UNSAFE = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
-_OTHER = re.compile(r"[^\x00-Ԁ]")  # beyond, libraries differ in the Unicode version of their classes
+OTHER = re.compile(r"[^\x00-Ԁ]")  # beyond, libraries differ in the Unicode version of their classes
 
 
 def runs(text: str) -> list[str]:
@@ -85,7 +85,7 @@ class RunCounter:
         return len(self.model.tokenize(piece.encode().decode("latin-1").translate(self.characters)))
 
     def _run(self, run: str, space: str = " ") -> int:
-        if _OTHER.search(run):
+        if OTHER.search(run):
             return self.whole(space + run)
         return sum(map(self.pre_tokens.__getitem__, self.pattern.findall(space + run)))
 
