@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from difftide.llm import byte_bpe, packing, sharding
+from difftide.llm import ann, byte_bpe, packing, sharding
 from difftide.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near-equal bytes."""
     placed = sharding.shard_documents(_table(spark, sf_dir, "documents"))
     return placed.withColumns({"law": F.lit("bytes"), "shard": F.col("shard").cast("int"), "slot": F.col("slot").cast("long"), "grown_shard": F.lit(None).cast("int")})
+
+
+@query
+def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
