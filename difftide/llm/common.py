@@ -101,3 +101,54 @@ def usable(column: str) -> Column:
     c = F.col(column)
     finite = F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return c.isNotNull() & (F.size(c) > 0) & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(c, lambda x: x != 0), F.lit(False))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of complete groups and the groups' edges, from batches sorted by their first ``keys`` integer columns.
+
+    Only the group that a batch ends in waits for the next batch.
+    """
+    waiting: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        new[0] = last is None or last != tuple(c[0] for c in columns)
+        last = tuple(c[-1] for c in columns)
+        cuts = np.flatnonzero(new)
+        if not len(cuts):
+            waiting.append(batch)
+            continue
+        if waiting:
+            head = pa.concat_batches([*waiting, batch.slice(0, cuts[0])])
+            yield head, np.array([0, head.num_rows])
+        inner = batch.slice(cuts[0], cuts[-1] - cuts[0])
+        if inner.num_rows:
+            yield inner, cuts - cuts[0]
+        waiting = [batch.slice(cuts[-1])]
+    if waiting:
+        head = pa.concat_batches(waiting)
+        yield head, np.array([0, head.num_rows])
+
+
+class Forest:
+    """Union-find over 0..n-1; the root of a set is its least member."""
+
+    def __init__(self, n: int) -> None:
+        self.up = list(range(n))
+
+    def root(self, k: int) -> int:
+        up = self.up
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)

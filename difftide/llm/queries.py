@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from difftide.llm import ann, byte_bpe, packing, sharding
+from difftide.llm import ann, byte_bpe, packing, sharding, simhash
 from difftide.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of every hundredth vector."""
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document: shingles of three words, at most three bits apart."""
+    return simhash.simhash_groups(_table(spark, sf_dir, "documents"), words=3, radius=3)
