@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from difftide.llm import ann, byte_bpe, packing, sharding, simhash
+from difftide.llm import ann, byte_bpe, embedding_dedup, packing, sharding, simhash
 from difftide.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,9 @@ def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document: shingles of three words, at most three bits apart."""
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"), words=3, radius=3)
+
+
+@query
+def op4_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and group of every vector: same label, cosine of 0.93 or more."""
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), 0.93)
