@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from difftide.llm import ann, byte_bpe, embedding_dedup, packing, sharding, simhash
+from difftide.llm import ann, byte_bpe, embedding_dedup, packing, sharding, simhash, suffix_dedup
 from difftide.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,9 @@ def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and group of every vector: same label, cosine of 0.93 or more."""
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), 0.93)
+
+
+@query
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document loses to strings of 100 bytes that start earlier, and the digest of what stays."""
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
