@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+SLICE = 8 << 20  # bytes of a batch that Python works on at once
 INDEX_BITS = 33  # monotonically_increasing_id() = partition << 33 | row within the partition
 
 
@@ -26,6 +31,23 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, unless they have it on their path."""
+    package = Path(__file__).resolve().parents[1]
+    context = spark.sparkContext
+    if str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or context.applicationId in _SHIPPED:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="difftide-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
+_SHIPPED: set[str] = set()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The same rows, written as Parquet below the shared folder and read again.
 
@@ -71,19 +93,34 @@ def counts_within(df: DataFrame, key: str, out: str) -> DataFrame:
     return marked.withColumn("__local", local).join(offsets, [key, "__part"]).withColumn(out, F.col("__before") + F.col("__local")).drop("__row", "__part", "__before", "__local")
 
 
-def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Map every Arrow batch of ``df`` by ``step``."""
+def slices(batch: pa.RecordBatch, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``limit`` bytes (or one row), so that what is made of a slice stays small."""
+    rows = max(1, int(batch.num_rows * limit / max(1, batch.nbytes)))
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
+def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
+    """Map every slice of every Arrow batch of ``df`` by ``step``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = step(batch)
+            for part in slices(batch):
+                out = step(part)
                 if out is not None and out.num_rows:
                     yield out
 
     return df.mapInArrow(run, schema)
 
 
+def gathered(values: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the values of pieces ``at`` one after the other, the ends of each), for pieces of ``sizes`` lying in ``values``."""
+    starts = np.cumsum(sizes) - sizes
+    length = sizes[at]
+    ends = np.cumsum(length)
+    return values[np.repeat(starts[at] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 def record_batch(**columns: object) -> pa.RecordBatch:
     """A record batch of arrays, numpy arrays or lists; its columns in the order given."""
     arrays = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from difftide.llm import ann, byte_bpe, embedding_dedup, packing, sharding, simhash, suffix_dedup
+from difftide.llm import ann, byte_bpe, embedding_dedup, packing, quality, sharding, simhash, suffix_dedup, toxicity
+from difftide.llm.common import ship
 from difftide.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,8 +20,13 @@ CHECKS: dict[str, str] = {}
 
 
 def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[run.__name__] = run
-    return run
+    @functools.wraps(run)
+    def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return run(spark, sf_dir)
+
+    QUERIES[run.__name__] = shipped
+    return shipped
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,3 +83,15 @@ def op4_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document loses to strings of 100 bytes that start earlier, and the digest of what stays."""
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, by its nearest labelled examples."""
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by the weak-label model, and whether it is kept."""
+    return quality.quality(_table(spark, sf_dir, "documents"))
