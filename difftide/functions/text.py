@@ -16,12 +16,10 @@ REST = 1 << 30
 # Characters a regular-expression dot does not match.
 LINE_ENDS = r"\n\r\x{85}\x{2028}\x{2029}"
 
-# Mark put into a text while it is searched; a text that already holds it gets the stand-in there.
+# Mark put into a copy of a text while line numbers are counted; a text that already holds it gets the
+# stand-in in that copy. Nothing that is reported is taken from the copy.
 MARK, _STAND_IN = chr(0xE000), chr(0xE001)
 
-# Up to this many matches, line numbers are summed up match by match, beyond that line by line.
-_FEW = 500
-
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate `value` once and use it any number of times in `body`.
@@ -63,44 +61,23 @@ def count_char(text: Column, char: str) -> Column:
 
 
 def marked_text(text: Column, pattern: str, replacement: str = MARK + "$0") -> Column:
-    """The text with a mark in front of every match."""
+    """A copy of the text with a mark in front of every match, for counting only."""
     clean = F.when(text.contains(MARK), F.replace(text, F.lit(MARK), F.lit(_STAND_IN))).otherwise(text)
     return F.regexp_replace(clean, pattern, replacement)
 
 
 def _line_sums(marked: Column) -> Column:
-    """Newlines in front of each mark."""
-
-    def step(acc: Column, piece: Column) -> Column:
-        return F.struct(
-            (acc["sum"] + count_char(piece, "\n")).alias("sum"),
-            F.concat(acc["all"], F.array(acc["sum"])).alias("all"),
-        )
-
-    def by_match(pieces: Column) -> Column:
-        start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("all"))
-        sums = F.aggregate(pieces, start, step, lambda acc: acc["all"])
-        return F.slice(sums, 2, REST)
-
-    def by_line(lines: Column) -> Column:
-        per_line = F.transform(
-            lines, lambda line, i: F.when(line.contains(MARK), F.array_repeat(i, count_char(line, MARK)))
-        )
-        return F.flatten(F.array_compact(per_line))
-
-    # A sum per piece comes out one place late: the last piece has no mark behind it.
-    ended = F.split(marked, MARK)
-    return let(
-        ended,
-        lambda p: F.when(F.size(p) <= _FEW, by_match(p)).otherwise(by_line(lines_of(marked))),
+    """Newlines in front of each mark, counted line by line."""
+    per_line = F.transform(
+        lines_of(marked), lambda line, i: F.when(line.contains(MARK), F.array_repeat(i, count_char(line, MARK)))
     )
+    return F.flatten(F.array_compact(per_line))
 
 
 def match_lines(text: Column, pattern: str, at_end: bool = False) -> Column:
     """Zero-based line on which each match starts (or ends), in order of occurrence.
 
-    Linear in the text whatever the match count: few matches are summed up piece by piece, many line
-    by line.
+    Linear in the text whatever the match count.
     """
     marked = marked_text(text, pattern, "$0" + MARK if at_end else MARK + "$0")
     return let(marked, _line_sums)
@@ -114,11 +91,11 @@ def first_match_line(text: Column, pattern: str) -> Column:
     )
 
 
-def located_pieces(text: Column, pattern: str) -> Column:
-    """Every match as (line, before, rest): start line from 0, text since the last match, text from here.
+def located_pieces(text: Column, pattern: str, group: int = 0) -> Column:
+    """Every match as (line, before, value): start line from 0, text since the last match, the group's text.
 
-    The `before` texts up to a match put together are all the text in front of it, and `rest` begins
-    with the match.
+    The `before` texts up to a match put together are all the text in front of it, for searching and
+    counting; `value` is taken from the text itself.
     """
 
     def from_marked(marked: Column) -> Column:
@@ -126,7 +103,7 @@ def located_pieces(text: Column, pattern: str) -> Column:
             return F.arrays_zip(
                 _line_sums(marked).alias("line"),
                 F.slice(pieces, F.lit(1), F.size(pieces) - 1).alias("before"),
-                F.slice(pieces, 2, REST).alias("rest"),
+                F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"),
             )
 
         return let(F.split(marked, MARK), zipped)

@@ -139,7 +139,7 @@ def void_return(text: Column) -> Column:
 
     def summary(p: Column) -> Column:
         parts = F.split(p["before"], VOID_METHOD, -1)
-        value = ctrim(F.regexp_extract(p["rest"], RETURN_VALUE, 1))
+        value = ctrim(p["value"])
         return let(
             parts,
             lambda x: F.struct(
@@ -165,7 +165,7 @@ def void_return(text: Column) -> Column:
         F.lit(False).alias("seen"), F.lit(0).alias("depth"),
         F.array().cast("array<struct<number:int,value:string>>").alias("found"),
     )
-    pieces = F.transform(located_pieces(text, RETURN_VALUE), summary)
+    pieces = F.transform(located_pieces(text, RETURN_VALUE, 1), summary)
 
     def make(r: Column) -> Column:
         value = F.when(

@@ -81,12 +81,27 @@ def one(spark, rule, content):
     return [(r.line_number, r.rule) for r in scan(df, [rule]).orderBy("line_number").collect()]
 
 
-def test_many_matches_use_the_line_path(spark):
+def test_many_matches(spark):
     content = "catch (E e) { }\n" * 1200
     got = one(spark, bug_rules.empty_catch, content)
     assert [n for n, _ in got] == list(range(1200))
 
 
+def test_mark_characters_are_reported_unchanged(spark):
+    """A text with the mark and its stand-in: lines, and what is quoted from it, are those of the text."""
+    a, b = chr(0xE000), chr(0xE001)
+    text = f"{a}{b} x\npublic void f(int x) {{\n  return {a}{b}call();\n  {b} new FileReader(p{a})\n  }} catch (E e{a}) {{ }}\n else {{ }}{b}\n  \t{a}\n public int g{a}(int c) {{\n"
+    df = spark.createDataFrame([(1, text)], "file_seq int, content string")
+    rules = {
+        bug_rules.void_return: models.void_return, bug_rules.resource_leak: models.resource_leak, bug_rules.empty_catch: models.empty_catch,
+        style_rules.empty_block: models.empty_block, style_rules.javadoc: models.javadoc, style_rules.method_length: models.method_length,
+    }
+    for rule, model in rules.items():
+        expected = sorted(h[0] if isinstance(h, tuple) else h for h in model(text))
+        assert sorted(r.line_number for r in scan(df, [rule]).collect()) == expected, rule
+    assert f"'return {a}{b}call();'" in scan(df, [bug_rules.void_return]).first().description
+
+
 def test_simple_line_rules(spark):
     assert one(spark, bug_rules.string_eq, 'if (a == "x") { }\n// b == "y"\n  * "z" == c\nok.equals("q")') == [(1, "STRING_COMPARISON_USING_EQ")]
     assert one(spark, bug_rules.print_stack, "e.printStackTrace();\nx") == [(1, "PRINT_STACK_TRACE")]
@@ -99,7 +114,7 @@ def test_simple_line_rules(spark):
 
 def test_metadata_of_a_raw_diff_counts(spark):
     raw = "diff --git a/f b/f\nnew file mode 100644\n@@ -0,0 +1,20 @@\n+ x"
-    assert [n for n, _ in one(spark, style_rules.magic_number, raw)] == [2, 3]
+    assert [n for n, _ in one(spark, style_rules.magic_number, raw)] == [2]
     plus = "+catch (E e) {\n+}"
     assert one(spark, bug_rules.empty_catch, plus) == []
 
