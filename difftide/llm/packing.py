@@ -161,7 +161,7 @@ def packed(cut: DataFrame, window: int = WINDOW, order: tuple[str, ...] = ("doc_
     ``order`` breaks ties among pieces of one length; pieces that are equal in it too may swap places. The
     driver gets the histogram of lengths (``window`` entries at most) and makes the plan from it.
     """
-    ranked = stored(global_rank(cut, [F.col(length).desc(), *order], "__rank"))
+    ranked = stored(global_rank(stored(cut), [F.col(length).desc(), *order], "__rank"))  # stored: ranges are sampled first
     counts = {r[length]: r["n"] for r in ranked.groupBy(length).agg(F.count("*").alias("n")).collect()}
     first = dict(zip(sorted(counts, reverse=True), np.cumsum([0, *(counts[n] for n in sorted(counts, reverse=True))])[:-1].tolist()))
     rows = sorted((first[n] + rank, each, sequence, n, offset) for n, rank, _, sequence, each, offset in plan(counts, window))
