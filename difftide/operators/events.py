@@ -35,9 +35,13 @@ def with_signature_valid(df: DataFrame, secret: str | None) -> DataFrame:
     )
 
 
-def _signed(df: DataFrame) -> Column:
-    """Accepted signature; tables without the column have been checked before."""
-    return F.col("signature_valid") if "signature_valid" in df.columns else F.lit(True)
+def _signed(df: DataFrame, verified: bool) -> Column:
+    """Accepted signature. A table without the flag is refused unless its deliveries are known to be verified."""
+    if "signature_valid" in df.columns:
+        return F.col("signature_valid")
+    if not verified:
+        raise ValueError("no signature_valid column: use with_signature_valid, or verified=True for checked deliveries")
+    return F.lit(True)
 
 
 def _or_empty(value: Column) -> Column:
@@ -54,13 +58,13 @@ def _answer(status: int, message: str | Column) -> Column:
     return F.struct(F.lit(status).alias("status"), text.alias("message"))
 
 
-def pr_dispositions(pr: DataFrame) -> DataFrame:
+def pr_dispositions(pr: DataFrame, verified: bool = False) -> DataFrame:
     """Add status and message of each PR delivery (EV8, PR half)."""
     unsupported = map_trigger(F.col("action")).isNull()
     broken = F.col("pull_request").isNull() | F.col("repository").isNull()
     return pr.withColumn(
         "disposition",
-        F.when(~_signed(pr), _answer(401, BAD_SIGNATURE))
+        F.when(~_signed(pr, verified), _answer(401, BAD_SIGNATURE))
         .when(F.col("parse_error").isNotNull(), _answer(400, BAD_PAYLOAD))
         .when(
             unsupported,
@@ -81,12 +85,12 @@ def route_push(push: DataFrame) -> DataFrame:
     )
 
 
-def push_dispositions(push: DataFrame) -> DataFrame:
+def push_dispositions(push: DataFrame, verified: bool = False) -> DataFrame:
     """Add status and message of each push delivery (EV8, push half)."""
     routed = route_push(push)
     return routed.withColumn(
         "disposition",
-        F.when(~_signed(push), _answer(401, BAD_SIGNATURE))
+        F.when(~_signed(push, verified), _answer(401, BAD_SIGNATURE))
         .when(F.col("parse_error").isNotNull(), _answer(400, BAD_PAYLOAD))
         .when(F.col("skip_reason").isNotNull(), _answer(200, F.col("skip_reason")))
         .when(F.col("repository").isNull(), _answer(500, INCOMPLETE))
@@ -94,18 +98,18 @@ def push_dispositions(push: DataFrame) -> DataFrame:
     )
 
 
-def dispositions(pr: DataFrame, push: DataFrame) -> DataFrame:
+def dispositions(pr: DataFrame, push: DataFrame, verified: bool = False) -> DataFrame:
     """Deliveries per feed, status and message (EV8)."""
     both = (
-        pr_dispositions(pr).select(F.lit("pr").alias("feed"), "disposition.*")
-        .unionByName(push_dispositions(push).select(F.lit("push").alias("feed"), "disposition.*"))
+        pr_dispositions(pr, verified).select(F.lit("pr").alias("feed"), "disposition.*")
+        .unionByName(push_dispositions(push, verified).select(F.lit("push").alias("feed"), "disposition.*"))
     )
     return both.groupBy("feed", "status", "message").agg(F.count("*").alias("deliveries"))
 
 
-def build_pr_tasks(pr: DataFrame) -> DataFrame:
+def build_pr_tasks(pr: DataFrame, verified: bool = False) -> DataFrame:
     """Review tasks of the accepted PR deliveries (EV3); closed PRs are reviewed too."""
-    rows = pr_dispositions(pr).select(
+    rows = pr_dispositions(pr, verified).select(
         "*", F.col("pull_request.head").alias("head"), F.col("pull_request.base").alias("base")
     )
     repo = F.col("repository.full_name")
@@ -126,12 +130,12 @@ def build_pr_tasks(pr: DataFrame) -> DataFrame:
     )
 
 
-def build_push_tasks(push: DataFrame) -> DataFrame:
+def build_push_tasks(push: DataFrame, verified: bool = False) -> DataFrame:
     """Review tasks of the accepted push deliveries (EV7)."""
     repo = F.col("repository.full_name")
     branch = branch_name(F.col("ref"))
     return keep(
-        push_dispositions(push), F.col("disposition.message") == PUSH_DONE,
+        push_dispositions(push, verified), F.col("disposition.message") == PUSH_DONE,
         F.col("delivery_id").alias("task_id"),
         F.concat(text_or_null_word(repo), F.lit("#push:"), F.col("after")).alias("pr_id"),
         repo.alias("repo_name"),

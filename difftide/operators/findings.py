@@ -47,9 +47,9 @@ TOOL_RULES = {"security": BUG_RULES, "code-style": STYLE_RULES, "architecture":
 
 FINDING_COLUMNS = schemas.FINDING.fieldNames()
 
-# A finding's `seq` orders it inside its task: agent, then model rows before tool rows, then file,
-# then position. The parts are packed into one long.
-_AGENT_SHIFT, _KIND_SHIFT, _FILE_SHIFT = 56, 55, 30
+# A finding's `seq` orders it inside its task: agent, then model rows before tool rows before the rows of
+# custom agents, then file, rule and place. It is a struct, so no part can run into another.
+MODEL, TOOL, CUSTOM = 0, 1, 2
 
 
 def _pick(values: dict[str, str], key: Column, default: Column | None = None) -> Column:
@@ -67,12 +67,10 @@ def agent_order(agent: Column) -> Column:
     return out.otherwise(len(schemas.AGENTS))
 
 
-def make_seq(agent: Column, tool: bool, file_seq: Column, pos: Column) -> Column:
-    return (
-        F.shiftleft(agent_order(agent).cast("long"), _AGENT_SHIFT)
-        + F.lit((1 << _KIND_SHIFT) if tool else 0)
-        + F.shiftleft(file_seq.cast("long"), _FILE_SHIFT)
-        + pos.cast("long")
+def make_seq(agent: Column, kind: int, file_seq: Column, rule: Column, place: Column) -> Column:
+    return F.struct(
+        agent_order(agent).alias("agent_order"), agent.alias("agent"), F.lit(kind).alias("kind"),
+        file_seq.cast("long").alias("file"), rule.cast("int").alias("rule"), place.cast("long").alias("place"),
     )
 
 
@@ -95,7 +93,7 @@ def hits_to_findings(hits: DataFrame) -> DataFrame:
     line = F.when(agent == "architecture", 0).otherwise(F.col("line_number"))
     return rows.select(
         "task_id", "pr_id",
-        make_seq(agent, True, F.col("file_seq"), F.col("hit_pos")).alias("seq"),
+        make_seq(agent, TOOL, F.col("file_seq"), F.col("hit_rule"), F.col("hit_place")).alias("seq"),
         "agent_id",
         map_severity(F.col("rule")).alias("severity"),
         F.lit(TOOL_CATEGORY).alias("category"),
@@ -154,7 +152,7 @@ def _finding_rows(parsed: DataFrame) -> DataFrame:
         ),
     )
     rows = parsed.select("task_id", "pr_id", "agent_id", F.inline(placed))
-    seq = make_seq(F.col("agent_id"), False, F.lit(0), F.col("pos"))
+    seq = make_seq(F.col("agent_id"), MODEL, F.lit(0), F.lit(0), F.col("pos"))
     return rows.withColumn("seq", seq).select(*FINDING_COLUMNS)
 
 
@@ -281,8 +279,14 @@ def registered_agents() -> list[str]:
 
 
 def run_agent(name: str, contexts: DataFrame, files: DataFrame) -> DataFrame:
-    """Findings of a registered agent, relabelled with its name."""
-    return _AGENTS[name](contexts, files).withColumn("agent_id", F.lit(name)).select(*FINDING_COLUMNS)
+    """Findings of a registered agent, relabelled with its name.
+
+    The agent's own `seq` orders its rows in a task; findings that share one are told apart by a hash of what they
+    say, so that (task, seq) stays unique in the fan-in. Rows that are the same in everything count once.
+    """
+    rows = _AGENTS[name](contexts, files).withColumn("agent_id", F.lit(name)).select(*FINDING_COLUMNS).distinct()
+    said = F.xxhash64(*[c for c in FINDING_COLUMNS if c not in ("task_id", "pr_id", "seq")])
+    return rows.withColumn("seq", make_seq(F.lit(name), CUSTOM, F.col("seq"), F.lit(0), said))
 
 
 def run_agents(contexts: DataFrame, files: DataFrame, names: Sequence[str] | None = None) -> list[DataFrame]:

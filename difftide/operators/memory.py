@@ -203,14 +203,15 @@ def _judged(findings: DataFrame, stats: DataFrame, normalize_agent_ids: bool) ->
     The statistics are joined without a hint: their size depends on how many categories people
     type, so the planner broadcasts them only when they are measured to be small.
     """
-    flagged = stats.where("is_downgraded").select(
-        F.col("agent_type").alias("_agent"), F.col("rule_category").alias("_rule"),
-        (F.col("dismissed") > F.col("accepted")).alias("_drop"),
-    )
-    agent = F.col("agent_id")
+    agent, name = F.col("agent_id"), F.col("agent_type")
     if normalize_agent_ids:
-        agent = F.replace(agent, F.lit("-"), F.lit(""))
-        flagged = flagged.withColumn("_agent", F.replace("_agent", F.lit("-"), F.lit("")))
+        agent, name = (F.replace(c, F.lit("-"), F.lit("")) for c in (agent, name))
+    # Spellings that normalise to one agent are one rule: counters add up and a flag that one has, all have.
+    flagged = (
+        stats.groupBy(name.alias("_agent"), F.col("rule_category").alias("_rule"))
+        .agg(F.bool_or("is_downgraded").alias("_flag"), (F.sum("dismissed") > F.sum("accepted")).alias("_drop"))
+        .where("_flag")
+    )
     usable = not_blank(F.col("agent_id")) & not_blank(F.col("category"))
     joined = findings.join(
         flagged, usable & (agent == F.col("_agent")) & (F.col("category") == F.col("_rule")), "left"

@@ -60,7 +60,7 @@ def _diff_blocks(blocks: Column) -> Column:
 
 
 def review_prompts(contexts: DataFrame) -> DataFrame:
-    """One prompt per (task, agent) (AG1). The agents are a literal array, so nothing is joined."""
+    """System and user prompt per (task, agent) (AG1, AG2). The agents are a literal array, so nothing is joined."""
     body = contexts.withColumn(
         "body",
         F.concat(
@@ -69,7 +69,10 @@ def review_prompts(contexts: DataFrame) -> DataFrame:
         ),
     )
     agents = F.array(
-        *[F.struct(F.lit(a).alias("agent_id"), F.lit(s).alias("subject")) for a, s in SUBJECT.items()]
+        *[
+            F.struct(F.lit(a).alias("agent_id"), F.lit(s).alias("subject"), F.lit(CHECKLIST[a] + COMMON_RULE).alias("system"))
+            for a, s in SUBJECT.items()
+        ]
     )
     rows = body.withColumn("agent", F.explode(agents))
     graph, history = F.col("dependency_graph"), F.col("related_history")
@@ -83,7 +86,7 @@ def review_prompts(contexts: DataFrame) -> DataFrame:
         .otherwise(F.lit("")),
     )
     return rows.select(
-        "task_id", "pr_id", "agent.agent_id",
+        "task_id", "pr_id", "agent.agent_id", F.col("agent.system").alias("system_prompt"),
         F.concat(
             F.lit("Review the following pull request for "), "agent.subject", F.lit(".\n"), "body",
             F.when(F.col("agent.agent_id") == "architecture", layered).otherwise(plain),

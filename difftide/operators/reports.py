@@ -2,7 +2,7 @@
 
 A task may hold a large share of all findings, so nothing here sorts or collects a whole task in
 one place. Deduplication is an aggregate that starts before the shuffle; positions are block
-offsets (from counts) plus a position inside a block; report text is built in parts of bounded size.
+offsets (from counts) plus a position inside a block; report text comes as one row per piece with its position.
 """
 
 from __future__ import annotations
@@ -21,9 +21,6 @@ from difftide.functions.text import not_blank
 UNKNOWN_FILE = "(unknown)"
 UNKNOWN_AGENT = "unknown"
 
-# Table rows per part of a rendered report.
-PART_ROWS = 2000
-
 _PAYLOAD = ["agent_id", "severity", "category", "file_path", "title", "description", "suggestion"]
 
 
@@ -152,8 +149,8 @@ def findings_by_agent(deduped: DataFrame) -> DataFrame:
 
 
 # -- Markdown --------------------------------------------------------------------------------
-def report_rows(deduped: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """Every table row of the reports with its position, part and text."""
+def report_rows(deduped: DataFrame) -> DataFrame:
+    """Every table row of the reports with its position and text."""
     files = findings_by_file(deduped).select("task_id", "file", "file_order", "findings", "rows_before")
     rows = deduped.withColumn("file", _file_group()).withColumn(
         "_null", F.col("file_path").isNull()
@@ -170,25 +167,16 @@ def report_rows(deduped: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
         F.when(F.col("_pos") == F.col("findings"), "\n").otherwise(F.lit("")),
     )
     position = (F.col("rows_before") + F.col("_pos")).cast("long")
-    return placed.select(
-        "task_id", "pr_id", position.alias("position"),
-        F.floor((position - 1) / part_rows).cast("int").alias("part"), text.alias("text"),
-    )
+    return placed.select("task_id", "pr_id", position.alias("position"), text.alias("text"))
 
 
-def report_markdown(heads: DataFrame, deduped: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """Markdown report per task, in parts (RP5).
+def report_markdown(heads: DataFrame, deduped: DataFrame) -> DataFrame:
+    """Markdown report per task, as pieces: (task_id, pr_id, position, kind, text) (RP5).
 
-    A report of up to `part_rows` table rows has the single part 0. The parts of a longer one, put
-    together in order, are the whole text: the head is in front of the first part and the agent
-    summary behind the last.
+    The head is at position 0, table rows follow from 1 on, and the agent summary comes last. The pieces of a
+    task put together in order are its whole report, whatever its size; how they are laid out is up to the sink.
     """
-    bodies = (
-        report_rows(deduped, part_rows)
-        .groupBy("task_id", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("position", "text"))).alias("_rows"))
-        .select("task_id", "part", F.array_join(F.transform("_rows", lambda r: r["text"]), "").alias("body"))
-    )
+    rows = report_rows(deduped).select("task_id", "position", F.lit("row").alias("kind"), "text")
     line = F.concat(
         F.lit("- **"), escape_md(F.col("agent")), F.lit("**: "), F.col("findings").cast("string"),
         F.when(F.col("findings") == 1, " finding\n").otherwise(" findings\n"),
@@ -196,8 +184,11 @@ def report_markdown(heads: DataFrame, deduped: DataFrame, part_rows: int = PART_
     agents = (
         findings_by_agent(deduped)
         .groupBy("task_id")
-        .agg(F.array_sort(F.collect_list(F.struct("agent_order", line.alias("text")))).alias("_rows"))
-        .select("task_id", F.array_join(F.transform("_rows", lambda r: r["text"]), "").alias("agents"))
+        .agg(F.array_sort(F.collect_list(F.struct("agent_order", line.alias("text")))).alias("_rows"), F.sum("findings").alias("_total"))
+        .select(
+            "task_id", (F.col("_total") + 1).cast("long").alias("position"), F.lit("agents").alias("kind"),
+            F.concat(F.lit(AGENTS_HEADER), F.array_join(F.transform("_rows", lambda r: r["text"]), "")).alias("text"),
+        )
     )
     head = F.concat(
         F.lit(REPORT_TITLE), escape_md(F.col("pr_id")), F.lit("\n\n"),
@@ -205,23 +196,9 @@ def report_markdown(heads: DataFrame, deduped: DataFrame, part_rows: int = PART_
         F.lit("\n"), escape_md(F.col("summary")), F.lit("\n\n"),
         F.when(F.col("total_count") == 0, NO_FINDINGS).otherwise(FILES_HEADER),
     )
-    last = F.floor((F.greatest(F.col("total_count"), F.lit(1)) - 1) / part_rows).cast("int")
-    framed = heads.select("task_id", "pr_id", head.alias("head"), last.alias("last_part")).join(
-        agents, "task_id", "left"
-    )
-    full = framed.join(bodies, "task_id", "left")
-    part = F.coalesce("part", F.lit(0))
-    return full.select(
-        "task_id", "pr_id", part.alias("part"),
-        F.concat(
-            F.when(part == 0, F.col("head")).otherwise(F.lit("")),
-            F.coalesce("body", F.lit("")),
-            F.when(
-                (part == F.col("last_part")) & F.col("agents").isNotNull(),
-                F.concat(F.lit(AGENTS_HEADER), F.col("agents")),
-            ).otherwise(F.lit("")),
-        ).alias("markdown"),
-    )
+    first = heads.select("task_id", "pr_id", F.lit(0).cast("long").alias("position"), F.lit("head").alias("kind"), head.alias("text"))
+    body = rows.unionByName(agents).join(heads.select("task_id", "pr_id"), "task_id")
+    return first.unionByName(body)
 
 
 def missing_report() -> Column:

@@ -82,15 +82,12 @@ def guarded(text: Column, words: Sequence[str], hits: Column) -> Column:
 
 _HIT = ["line_number", "rule", "description"]
 
-# Bits of `hit_pos` for the place inside one rule; the rule's place is above them.
-ORDINAL_BITS = 25
-
 
 def scan(files: DataFrame, rules: Sequence[Rule], keep_position: bool = False) -> DataFrame:
     """All hits of the rules on the column `diff_content` (or `content`) of a file table.
 
-    Blank texts have no hits. With `keep_position`, `hit_pos` orders the hits of one file by rule
-    and then by place.
+    Blank texts have no hits. With `keep_position`, `hit_rule` and `hit_place` order the hits of one
+    file by rule and then by place.
     """
     name = "diff_content" if "diff_content" in files.columns else "content"
     keys = [c for c in ("task_id", "pr_id", "file_seq", "file_path") if c in files.columns]
@@ -114,16 +111,15 @@ def scan(files: DataFrame, rules: Sequence[Rule], keep_position: bool = False) -
     def line_hit(bit: int, order: int, rule: LineRule) -> Column:
         found = rule.hit(part, unit)
         if keep_position:
-            at = (F.lit(order << ORDINAL_BITS) + unit).alias("hit_pos")
-            found = F.struct(at, *[found[c].alias(c) for c in _HIT])
+            found = F.struct(F.lit(order).alias("hit_rule"), unit.alias("hit_place"), *[found[c].alias(c) for c in _HIT])
         return F.when(fired.bitwiseAND(1 << bit) != 0, found)
 
     def text_hits(order: int, rule: TextRule) -> Column:
         if not keep_position:
             return rule(part)
-        base = F.lit(order << ORDINAL_BITS)
         return F.transform(
-            rule(part), lambda h, i: F.struct((base + i).alias("hit_pos"), *[h[c].alias(c) for c in _HIT])
+            rule(part),
+            lambda h, i: F.struct(F.lit(order).alias("hit_rule"), i.alias("hit_place"), *[h[c].alias(c) for c in _HIT]),
         )
 
     in_text = F.concat(*[text_hits(i, r) for i, r in whole]) if whole else None

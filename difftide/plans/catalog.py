@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from difftide.functions.signing import hmac_sha256_hex
 from difftide.operators import diffs as df_ops
 from difftide.operators import events as ev
 from difftide.operators import extras, findings as fi, gate, layer_rules, memory, prompts, reports
@@ -44,6 +45,19 @@ def _push(spark: SparkSession, sf: str) -> DataFrame:
     return webhooks.read_push_webhooks(derived(spark, sf, "fx_push_webhooks"))
 
 
+def _signed(raw: DataFrame, all_good: bool = False) -> DataFrame:
+    """Raw deliveries with a signature; of every seven one has none and one a wrong one, unless all are good."""
+    good = F.concat(F.lit("sha256="), hmac_sha256_hex(F.col("body"), WEBHOOK_SECRET))
+    k = F.col("delivery_id")
+    mixed = F.when(k % 7 == 0, F.lit(None).cast("string")).when(k % 7 == 3, F.concat(F.lit("sha256="), F.sha2("body", 256))).otherwise(good)
+    return raw.withColumn("signature", good if all_good else mixed)
+
+
+def _numbered(findings: DataFrame) -> DataFrame:
+    """Findings with the agent and the place of their `seq` as plain columns."""
+    return findings.withColumns({"seq_agent": F.col("seq.agent_order"), "seq_place": F.col("seq.place")}).drop("seq")
+
+
 def _files(spark: SparkSession, sf: str) -> DataFrame:
     return df_ops.changed_files(derived(spark, sf, "fx_diffs"))
 
@@ -124,7 +138,7 @@ def comment_parse_strict(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def diff_fetch_clean(spark: SparkSession, sf: str) -> DataFrame:
-    clean = diff_sources.clean_diffs(ev.build_pr_tasks(_pr(spark, sf)), derived(spark, sf, "fx_fetches"))
+    clean = diff_sources.clean_diffs(ev.build_pr_tasks(_pr(spark, sf), verified=True), derived(spark, sf, "fx_fetches"))
     return clean.select("task_id", "pr_id", F.length("body").alias("chars"), F.md5("body").alias("body_md5"))
 
 
@@ -137,14 +151,12 @@ def page_fetch_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def agent_response_parse(spark: SparkSession, sf: str) -> DataFrame:
-    return fi.parse_agent_responses(_responses(spark, sf))
+    return _numbered(fi.parse_agent_responses(_responses(spark, sf)))
 
 
 # -- events ----------------------------------------------------------------------------------
 @query
 def signature_valid(spark: SparkSession, sf: str) -> DataFrame:
-    from difftide.functions.signing import hmac_sha256_hex
-
     raw = derived(spark, sf, "fx_pr_webhooks")
     k = F.col("delivery_id")
     digest = hmac_sha256_hex(F.col("body"), WEBHOOK_SECRET)
@@ -166,7 +178,7 @@ def trigger_map(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def pr_tasks(spark: SparkSession, sf: str) -> DataFrame:
-    return ev.build_pr_tasks(_pr(spark, sf))
+    return ev.build_pr_tasks(_pr(spark, sf), verified=True)
 
 
 @query
@@ -177,17 +189,20 @@ def push_routing(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def push_tasks(spark: SparkSession, sf: str) -> DataFrame:
-    return ev.build_push_tasks(_push(spark, sf))
+    return ev.build_push_tasks(_push(spark, sf), verified=True)
 
 
 @query
 def webhook_dispositions(spark: SparkSession, sf: str) -> DataFrame:
-    return ev.dispositions(_pr(spark, sf), _push(spark, sf))
+    pr, push = (
+        ev.with_signature_valid(_signed(derived(spark, sf, name)), WEBHOOK_SECRET) for name in ("fx_pr_webhooks", "fx_push_webhooks")
+    )
+    return ev.dispositions(webhooks.read_pr_webhooks(pr), webhooks.read_push_webhooks(push))
 
 
 @query
 def review_tasks(spark: SparkSession, sf: str) -> DataFrame:
-    return ev.review_tasks(ev.build_pr_tasks(_pr(spark, sf)), ev.build_push_tasks(_push(spark, sf)))
+    return ev.review_tasks(ev.build_pr_tasks(_pr(spark, sf), verified=True), ev.build_push_tasks(_push(spark, sf), verified=True))
 
 
 @query
@@ -306,28 +321,28 @@ def source_tool_findings(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def review_prompts(spark: SparkSession, sf: str) -> DataFrame:
     rows = prompts.review_prompts(df_ops.contexts(derived(spark, sf, "fx_diffs")))
-    return rows.select("task_id", "agent_id", F.length("prompt").alias("chars"), F.md5("prompt").alias("prompt_md5"))
+    return rows.select("task_id", "agent_id", F.length("prompt").alias("chars"), F.md5("prompt").alias("prompt_md5"), F.md5("system_prompt").alias("system_md5"))
 
 
 @query
 def valid_findings(spark: SparkSession, sf: str) -> DataFrame:
-    return _valid(spark, sf)
+    return _numbered(_valid(spark, sf))
 
 
 @query
 def valid_findings_strict(spark: SparkSession, sf: str) -> DataFrame:
     rows = fi.parse_agent_responses(_responses(spark, sf))
-    return fi.valid_findings_strict(rows, df_ops.changed_paths(derived(spark, sf, "fx_diffs")))
+    return _numbered(fi.valid_findings_strict(rows, df_ops.changed_paths(derived(spark, sf, "fx_diffs"))))
 
 
 @query
 def no_issue_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return fi.no_issue_rows(_responses(spark, sf), _valid(spark, sf))
+    return _numbered(fi.no_issue_rows(_responses(spark, sf), _valid(spark, sf)))
 
 
 @query
 def agent_failures(spark: SparkSession, sf: str) -> DataFrame:
-    return fi.agent_failures(_responses(spark, sf))
+    return _numbered(fi.agent_failures(_responses(spark, sf)))
 
 
 @query
@@ -351,7 +366,19 @@ def big_change_agent(contexts: DataFrame, files: DataFrame) -> DataFrame:
 def custom_agent(spark: SparkSession, sf: str) -> DataFrame:
     fi.register_agent("size", big_change_agent)
     diffs = derived(spark, sf, "fx_diffs")
-    return fi.run_agent("size", df_ops.contexts(diffs), df_ops.changed_files(diffs))
+    rows = fi.run_agent("size", df_ops.contexts(diffs), df_ops.changed_files(diffs))
+    return rows.withColumn("seq", F.col("seq.file"))
+
+
+@query
+def all_findings_custom(spark: SparkSession, sf: str) -> DataFrame:
+    """The fan-in with a registered agent, less what an allowlist permits."""
+    fi.register_agent("size", big_change_agent)
+    diffs = derived(spark, sf, "fx_diffs")
+    files = df_ops.changed_files(diffs)
+    found = fi.all_findings(_responses(spark, sf), files, *fi.run_agents(df_ops.contexts(diffs), files, ["size"]))
+    allowed = spark.createDataFrame([("big-change", "src/m1"), ("static-analysis", "src/m2")], "rule_category string, path string")
+    return extras.allowlist_filter(found, allowed).drop("seq")
 
 
 # -- memory ----------------------------------------------------------------------------------
@@ -451,7 +478,7 @@ def report_markdown(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def report_markdown_parts(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.report_markdown(_heads(spark, sf), _deduped(spark, sf), part_rows=100)
+    return outputs.report_parts(reports.report_markdown(_heads(spark, sf), _deduped(spark, sf)), part_rows=100)
 
 
 @query
@@ -488,14 +515,35 @@ def quality_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def gate_from_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    first = reports.report_markdown(_heads(spark, sf), _deduped(spark, sf)).where(F.col("part") == 0)
-    return gate.gate_from_markdown(first.select("task_id", "pr_id", "markdown"), GATE_THRESHOLD)
+    """Reports written as files, read again as a build server finds them, and judged."""
+    folder = shared_folder(spark, "reports")
+    pieces = reports.report_markdown(_heads(spark, sf), _deduped(spark, sf))
+    name = F.concat(F.lit("task-"), F.col("task_id").cast("string"), F.lit(".md"))
+    outputs.write_report_files(pieces.withColumn("file_name", name), folder)
+    files = webhooks.read_reports(spark, folder)
+    named = _tasks(spark, sf).select("task_id", "pr_id", name.alias("file_name"))
+    return gate.gate_from_markdown(named.join(files, "file_name").select("task_id", "pr_id", "markdown"), GATE_THRESHOLD)
+
+
+@query
+def push_report_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports of the push tasks, written as files and read again. Of tasks that share a name the latest id stays."""
+    folder = shared_folder(spark, "push-reports")
+    tasks = _tasks(spark, sf)
+    names = outputs.push_report_names(tasks).groupBy("file_name").agg(F.max("task_id").alias("task_id"))
+    pieces = reports.report_markdown(_heads(spark, sf), _deduped(spark, sf))
+    outputs.write_push_reports(pieces, tasks.join(names.select("task_id"), "task_id", "left_semi"), folder)
+    read = webhooks.read_reports(spark, folder)
+    return read.select("file_name", F.length("markdown").alias("chars"), F.md5("markdown").alias("markdown_md5"))
 
 
 # -- sinks -----------------------------------------------------------------------------------
 @query
 def feedback_log(spark: SparkSession, sf: str) -> DataFrame:
-    return outputs.feedback_log(_feedback(spark, sf)).drop("code_snippet").withColumn("day", F.col("day").cast("string"))
+    """The feedback log, appended to and read again."""
+    folder = shared_folder(spark, "feedback-log")
+    outputs.append_feedback(_feedback(spark, sf), folder)
+    return spark.read.parquet(folder).drop("code_snippet").withColumn("day", F.col("day").cast("string"))
 
 
 @query
@@ -520,29 +568,52 @@ def review_results(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # -- streaming -------------------------------------------------------------------------------
-def _landed(df: DataFrame, folder: str, files: int = 4) -> str:
+def _landed(df: DataFrame, folder: str) -> str:
     """Write deliveries as files for a stream to pick up."""
-    df.repartition(files, "delivery_id").write.mode("overwrite").parquet(folder)
+    df.write.mode("overwrite").parquet(folder)
     return folder
 
 
+def _state(spark: SparkSession, sf: str, root: str) -> DataFrame:
+    """Rule statistics after the whole comment feed has run through the stream."""
+    signed = F.lit(None).cast("string").alias("signature")
+    landed = _landed(derived(spark, sf, "fx_comment_payloads").select("*", signed), f"{root}/comments")
+    return feeds.stream_rule_stats(spark, landed, f"{root}/state", f"{root}/state-progress")
+
+
 @query
 def stream_tasks(spark: SparkSession, sf: str) -> DataFrame:
     root = shared_folder(spark, "stream-tasks")
-    signed = F.lit(None).cast("string").alias("signature")
-    pr = _landed(derived(spark, sf, "fx_pr_webhooks").select("*", signed), f"{root}/pr")
-    push = _landed(derived(spark, sf, "fx_push_webhooks").select("*", signed), f"{root}/push")
-    feeds.run_to_table(feeds.stream_tasks(spark, pr, push), f"{root}/tasks", f"{root}/progress")
+    pr = _landed(_signed(derived(spark, sf, "fx_pr_webhooks"), all_good=True), f"{root}/pr")
+    push = _landed(_signed(derived(spark, sf, "fx_push_webhooks"), all_good=True), f"{root}/push")
+    feeds.run_to_table(feeds.stream_tasks(spark, WEBHOOK_SECRET, pr, push), f"{root}/tasks", f"{root}/progress")
     return spark.read.parquet(f"{root}/tasks")
 
 
 @query
 def stream_rule_stats(spark: SparkSession, sf: str) -> DataFrame:
-    root = shared_folder(spark, "stream-stats")
-    signed = F.lit(None).cast("string").alias("signature")
-    comments = derived(spark, sf, "fx_comment_payloads").select("*", signed)
-    landed = _landed(comments, f"{root}/in", files=1)
-    return feeds.stream_rule_stats(spark, landed, f"{root}/state", f"{root}/progress")
+    return _state(spark, sf, shared_folder(spark, "stream-stats"))
+
+
+@query
+def stream_reviewed(spark: SparkSession, sf: str) -> DataFrame:
+    """The findings feed, filtered in micro-batches with the rule statistics of the comment stream."""
+    root = shared_folder(spark, "stream-reviewed")
+    _state(spark, sf, root)
+    landed = _landed(_findings(spark, sf), f"{root}/findings")
+    found = spark.readStream.schema(_findings(spark, sf).schema).option("maxFilesPerTrigger", 4).parquet(landed)
+    return feeds.stream_reviewed(found, f"{root}/state", f"{root}/kept", f"{root}/progress")
+
+
+@query
+def stream_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports of all tasks from the findings stream; reviews that are split over micro-batches are one."""
+    root = shared_folder(spark, "stream-reports")
+    _state(spark, sf, root)
+    landed = _landed(_findings(spark, sf), f"{root}/findings")
+    found = spark.readStream.schema(_findings(spark, sf).schema).option("maxFilesPerTrigger", 4).parquet(landed)
+    rows = feeds.stream_reports(_tasks(spark, sf), found, f"{root}/state", f"{root}/kept", f"{root}/progress", token="t")
+    return rows.select("task_id", "position", "kind", "delivery", F.md5("text").alias("text_md5"))
 
 
 # -- described operators ---------------------------------------------------------------------
@@ -563,12 +634,16 @@ def context_chunks(spark: SparkSession, sf: str) -> DataFrame:
 def review_kpis(spark: SparkSession, sf: str) -> DataFrame:
     files = _files(spark, sf)
     changed = F.col("additions") + F.col("deletions")
-    reviews = files.groupBy("task_id").agg(
+    lines = files.groupBy("task_id").agg(
         F.sum(changed).alias("changed_lines"),
         F.sum(F.when(F.col("change_type") != "DELETED", changed).otherwise(0)).alias("reviewed_lines"),
-    ).select(
-        "*", (F.col("task_id") % 900).alias("response_seconds"), (F.col("task_id") % 7 == 0).alias("blocked"),
-        (F.col("task_id") % 21 == 0).alias("false_block"),
+    )
+    verdicts = gate.quality_gate(_heads(spark, sf), GATE_THRESHOLD).select("task_id", (F.col("gate") == "FAIL").alias("failed"))
+    blocked = F.coalesce("failed", F.lit(False))
+    # Made inputs: the given tables hold neither response times nor judgements of blocks.
+    reviews = lines.join(verdicts, "task_id", "left").select(
+        "task_id", "changed_lines", "reviewed_lines", (F.col("task_id") % 900).alias("response_seconds"), blocked.alias("blocked"),
+        (blocked & (F.col("task_id") % 3 == 0)).alias("false_block"),
     )
     return extras.review_kpis(reviews, _findings(spark, sf), _feedback(spark, sf))
 
@@ -597,16 +672,15 @@ def allowlist_filter(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def similar_vectors(spark: SparkSession, sf: str) -> DataFrame:
     corpus = table(spark, sf, "embeddings")
-    first = corpus.groupBy("label").agg(F.min(F.struct("vec_id", "embedding")).alias("v"))
-    queries = first.select("v.vec_id", "label", "v.embedding")
-    return extras.similar_vectors(queries, corpus, k=5).select("query_id", "rank", "vec_id")
+    found = extras.similar_vectors(corpus.where(F.col("vec_id") % 20 == 0), corpus, k=5)
+    return found.select("query_id", "rank", "vec_id", F.round("cosine", 6).alias("cosine"))
 
 
 # -- whole review ----------------------------------------------------------------------------
 @query
 def review_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     """Webhooks and fetch log to gate verdicts: all stages of a review for every task."""
-    tasks = ev.build_pr_tasks(_pr(spark, sf))
+    tasks = ev.build_pr_tasks(_pr(spark, sf), verified=True)
     clean = diff_sources.clean_diffs(tasks, derived(spark, sf, "fx_fetches"))
     files = df_ops.changed_files(clean)
     answers = _responses(spark, sf).join(tasks.select("task_id"), "task_id", "left_semi")

@@ -109,11 +109,12 @@ _check("review_tasks", "SELECT * FROM all_tasks", "all_tasks")
 _check("stream_tasks", "SELECT * FROM all_tasks", "all_tasks")
 _check("webhook_dispositions", """
 SELECT feed, cast(status AS int) AS status, message, count(*) AS deliveries FROM (
- SELECT 'pr' AS feed, CASE WHEN NOT ok THEN 400 WHEN trigger_event IS NULL THEN 400 WHEN NOT coalesce(has_pr, false) THEN 500 ELSE 200 END AS status,
-  CASE WHEN NOT ok THEN 'Invalid payload' WHEN trigger_event IS NULL THEN 'Unsupported action: ' || coalesce(action, 'null')
+ SELECT 'pr' AS feed, CASE WHEN delivery_id % 7 IN (0, 3) THEN 401 WHEN NOT ok THEN 400 WHEN trigger_event IS NULL THEN 400 WHEN NOT coalesce(has_pr, false) THEN 500 ELSE 200 END AS status,
+  CASE WHEN delivery_id % 7 IN (0, 3) THEN 'Signature mismatch' WHEN NOT ok THEN 'Invalid payload' WHEN trigger_event IS NULL THEN 'Unsupported action: ' || coalesce(action, 'null')
        WHEN NOT coalesce(has_pr, false) THEN 'Incomplete payload' ELSE 'Webhook processed successfully' END AS message FROM pr_trigger
- UNION ALL SELECT 'push', 200, coalesce(skip_reason, 'Push webhook processed successfully') FROM push_route
- UNION ALL SELECT 'push', 400, 'Invalid payload' FROM push WHERE NOT ok) GROUP BY ALL""", "pr_trigger", "push_route", "push")
+ UNION ALL SELECT 'push', CASE WHEN delivery_id % 7 IN (0, 3) THEN 401 WHEN NOT ok THEN 400 ELSE 200 END,
+  CASE WHEN delivery_id % 7 IN (0, 3) THEN 'Signature mismatch' WHEN NOT ok THEN 'Invalid payload' ELSE coalesce(r.skip_reason, 'Push webhook processed successfully') END
+ FROM push LEFT JOIN (SELECT delivery_id, skip_reason FROM push_route) r USING (delivery_id)) GROUP BY ALL""", "pr_trigger", "push_route", "push")
 _check("review_records", """
 SELECT arg_max(task_id, (received_at, task_id)) AS id, pr_id, arg_max(repo_name, (received_at, task_id)) AS repo_name, arg_max(pr_number, (received_at, task_id)) AS pr_number,
  'PENDING' AS status, arg_max(trigger_event, (received_at, task_id)) AS trigger_event, min(received_at) AS created_at, max(received_at) AS updated_at
@@ -275,17 +276,21 @@ FROM md_head h LEFT JOIN md_agents a USING (task_id)
 LEFT JOIN (SELECT task_id, (position - 1) // {part_rows} AS part, string_agg(text, '' ORDER BY position) AS body FROM md_rows GROUP BY ALL) b USING (task_id)"""
 
 
-_cte("markdown", _markdown(2000), "md_head", "md_agents", "md_rows")
+_cte("report_pieces", """
+SELECT task_id, pr_id, cast(0 AS bigint) AS position, 'head' AS kind, head AS text FROM md_head
+UNION ALL SELECT r.task_id, h.pr_id, cast(r.position AS bigint), 'row', r.text FROM md_rows r JOIN md_head h USING (task_id)
+UNION ALL SELECT a.task_id, h.pr_id, cast(h.total_count + 1 AS bigint), 'agents', a.agents FROM md_agents a JOIN md_head h USING (task_id)""", "md_head", "md_rows", "md_agents")
+_cte("markdown", "SELECT task_id, pr_id, string_agg(text, '' ORDER BY position) AS markdown FROM report_pieces GROUP BY ALL", "report_pieces")
 _check("dedup_findings", "SELECT * FROM deduped", "deduped")
 _check("ranked_findings", "SELECT * FROM ranked", "ranked")
 _check("report_counts", "SELECT * FROM counts", "counts")
 _check("report_summary", "SELECT * FROM heads", "heads")
 _check("findings_by_file", "SELECT * FROM by_file", "by_file")
 _check("findings_by_agent", "SELECT * FROM by_agent", "by_agent")
-_check("report_markdown", "SELECT * FROM markdown", "markdown")
+_check("report_markdown", "SELECT * FROM report_pieces", "report_pieces")
 _check("report_markdown_parts", _markdown(100), "md_head", "md_agents", "md_rows")
 _check("summary_comments", """
-SELECT t.task_id, m.pr_id, t.repo_name, t.pr_number, m.part, m.markdown AS body FROM fx_tasks t JOIN markdown m USING (task_id) WHERE t.trigger_event <> 'PUSH'""", "fx_tasks", "markdown")
+SELECT t.task_id, m.pr_id, t.repo_name, t.pr_number, m.markdown AS body FROM fx_tasks t JOIN markdown m USING (task_id) WHERE t.trigger_event <> 'PUSH'""", "fx_tasks", "markdown")
 _cte("located", """
 SELECT d.*, t.commit_sha FROM deduped d JOIN fx_tasks t USING (task_id) WHERE t.commit_sha IS NOT NULL AND trim(d.file_path) <> '' AND d.line_start > 0""", "deduped", "fx_tasks")
 _HEAD = "'**' || severity || '**' || coalesce(' [' || category || ']', '') || ': ' || title || chr(10) || chr(10)"
@@ -300,6 +305,10 @@ _GATE = f"CASE WHEN critical_count > 0 THEN 'FAIL' ELSE 'PASS' END AS gate, majo
 _check("quality_gate", f"SELECT task_id, pr_id, critical_count, major_count, minor_count, {_GATE} FROM heads", "heads")
 _check("gate_from_markdown", f"""
 SELECT task_id, pr_id, critical_count::bigint AS critical_count, major_count::bigint AS major_count, minor_count::bigint AS minor_count, info_count::bigint AS info_count, {_GATE} FROM heads""", "heads")
+_check("push_report_files", """
+SELECT file_name, cast(length(markdown) AS int) AS chars, md5(markdown) AS markdown_md5 FROM (
+ SELECT max(task_id) AS task_id, 'review-' || replace(repo_name, '/', '_') || '-' || strftime(received_at, '%Y%m%d-%H%M%S') || '.md' AS file_name FROM fx_tasks WHERE trigger_event = 'PUSH' GROUP BY 2) n
+JOIN markdown USING (task_id)""", "fx_tasks", "markdown")
 _check("push_report_names", """
 SELECT task_id, pr_id, 'review-' || replace(repo_name, '/', '_') || '-' || strftime(received_at, '%Y%m%d-%H%M%S') || '.md' AS file_name FROM fx_tasks WHERE trigger_event = 'PUSH'""", "fx_tasks")
 _check("review_results", """
@@ -375,10 +384,12 @@ _check("dependency_graph", "SELECT * FROM graphs", "graphs")
 _check("contexts", """
 SELECT g.task_id, g.pr_id, coalesce(f.file_count, 0) AS file_count, coalesce(b.hunk_count, 0) AS hunk_count, coalesce(f.files, '') AS files, coalesce(b.headers, '') AS headers, g.dependency_graph, '' AS related_history
 FROM graphs g LEFT JOIN file_text f USING (task_id) LEFT JOIN block_text b USING (task_id)""", "graphs", "file_text", "block_text")
-_subjects = " UNION ALL ".join(f"SELECT '{a}' AS agent_id, '{s}' AS subject" for a, s in pr_text.SUBJECT.items())
+_subjects = " UNION ALL ".join(
+    f"SELECT '{a}' AS agent_id, '{s}' AS subject, md5({_q(pr_text.CHECKLIST[a] + pr_text.COMMON_RULE)}) AS system_md5" for a, s in pr_text.SUBJECT.items()
+)
 _check("review_prompts", f"""
-SELECT task_id, agent_id, cast(length(prompt) AS int) AS chars, md5(prompt) AS prompt_md5 FROM (
-SELECT g.task_id, a.agent_id, 'Review the following pull request for ' || a.subject || '.' || chr(10) || 'PR ID: ' || g.pr_id || chr(10) || chr(10)
+SELECT task_id, agent_id, cast(length(prompt) AS int) AS chars, md5(prompt) AS prompt_md5, system_md5 FROM (
+SELECT g.task_id, a.agent_id, a.system_md5, 'Review the following pull request for ' || a.subject || '.' || chr(10) || 'PR ID: ' || g.pr_id || chr(10) || chr(10)
  || CASE WHEN f.bullets IS NULL THEN {_nl(pr_text.NO_FILES)} ELSE '## Changed Files' || chr(10) || f.bullets || chr(10) END
  || CASE WHEN b.blocks IS NULL THEN '' ELSE '## Code Changes (Diff)' || chr(10) || b.blocks END
  || CASE WHEN trim(g.dependency_graph) = '' THEN '' WHEN a.agent_id = 'architecture' THEN '## Dependency Graph' || chr(10) || g.dependency_graph || chr(10) || chr(10)
@@ -399,12 +410,13 @@ _check("custom_agent", """
 SELECT task_id, pr_id, cast(file_seq AS bigint) AS seq, 'size' AS agent_id, 'MINOR' AS severity, 'big-change' AS category, file_path, cast(1 AS int) AS line_start, additions + deletions AS line_end,
  'Big change' AS title, (additions + deletions) || ' changed lines' AS description, 'Split the change.' AS suggestion FROM files WHERE additions + deletions > 10""", "files")
 _cte("reviews", """
-SELECT task_id, sum(additions + deletions) AS changed, sum(CASE WHEN change_type <> 'DELETED' THEN additions + deletions ELSE 0 END) AS reviewed, task_id % 900 AS seconds, task_id % 7 = 0 AS blocked, task_id % 21 = 0 AS false_block
-FROM files GROUP BY task_id""", "files")
+SELECT f.*, task_id % 900 AS seconds, coalesce(h.critical_count > 0, false) AS blocked, coalesce(h.critical_count > 0, false) AND task_id % 3 = 0 AS false_block FROM (
+ SELECT task_id, sum(additions + deletions) AS changed, sum(CASE WHEN change_type <> 'DELETED' THEN additions + deletions ELSE 0 END) AS reviewed FROM files GROUP BY task_id) f
+LEFT JOIN (SELECT task_id, critical_count FROM heads) h USING (task_id)""", "files", "heads")
 _check("review_kpis", """
-SELECT r.*, f.*, b.* FROM
+SELECT r.* EXCLUDE (changed), f.*, cast(f.severe_findings * 1000 // r.changed AS bigint) AS severe_per_1000_lines, b.* FROM
  (SELECT count(*) AS reviews, cast(sum(reviewed) * 10000 // sum(changed) AS bigint) AS coverage_bp, cast(sum(seconds) // count(*) AS bigint) AS mean_response,
-  cast(floor(quantile_cont(seconds, 0.99)) AS bigint) AS p99_response, cast(count(*) FILTER (false_block) * 10000 // count(*) FILTER (blocked) AS bigint) AS false_block_bp FROM reviews) r,
+  cast(floor(quantile_cont(seconds, 0.99)) AS bigint) AS p99_response, cast(CASE WHEN bool_or(blocked) THEN count(*) FILTER (false_block) * 10000 // count(*) FILTER (blocked) ELSE 0 END AS bigint) AS false_block_bp, sum(changed) AS changed FROM reviews) r,
  (SELECT count(*) AS findings, count(*) FILTER (severity = 'CRITICAL') AS severe_findings FROM fx_findings) f,
  (SELECT count(*) AS feedback_rows, cast(count(*) FILTER (feedback = 'DISMISSED') * 10000 // count(*) AS bigint) AS dismiss_bp, cast(count(*) FILTER (feedback = 'ACCEPTED') * 10000 // count(*) AS bigint) AS accept_bp FROM feedback) b""", "reviews", "fx_findings", "feedback")
 
@@ -553,13 +565,13 @@ SELECT task_id, pr_id, agent_id, error, error IS NOT NULL OR NOT json_valid(resp
  CASE WHEN json_valid(response) THEN coalesce(from_json(json_extract(response, '$.results'), '[{"severity":"VARCHAR","category":"VARCHAR","filePath":"VARCHAR","lineStart":"INTEGER","lineEnd":"INTEGER","title":"VARCHAR","description":"VARCHAR","suggestion":"VARCHAR"}]'), []) ELSE [] END AS results
 FROM fx_responses""", "fx_responses")
 _cte("model_rows", f"""
-SELECT task_id, pr_id, cast({_AGENT_NO} AS bigint) * 72057594037927936 + (i - 1) AS seq, agent_id, r.severity AS severity, r.category AS category, r.filePath AS file_path, r.lineStart AS line_start, r.lineEnd AS line_end,
+SELECT task_id, pr_id, cast({_AGENT_NO} AS int) AS seq_agent, cast(i - 1 AS bigint) AS seq_place, agent_id, r.severity AS severity, r.category AS category, r.filePath AS file_path, r.lineStart AS line_start, r.lineEnd AS line_end,
  r.title AS title, r.description AS description, r.suggestion AS suggestion
 FROM (SELECT *, unnest(results) AS r, generate_subscripts(results, 1) AS i FROM answers WHERE NOT failed)""", "answers")
 _cte("valid", "SELECT m.* FROM model_rows m WHERE trim(file_path) <> '' AND task_id IN (SELECT task_id FROM files)", "model_rows", "files")
 _cte("valid_strict", """
 SELECT m.* FROM model_rows m WHERE trim(file_path) <> '' AND EXISTS (SELECT 1 FROM files f WHERE f.task_id = m.task_id AND contains(f.file_path, replace(m.file_path, chr(92), '/')))""", "model_rows", "files")
-_SENT = f"""SELECT task_id, pr_id, cast({_AGENT_NO} AS bigint) * 72057594037927936 AS seq, agent_id, 'INFO' AS severity, agent_id || '-review' AS category, '' AS file_path, cast(0 AS int) AS line_start, cast(0 AS int) AS line_end, """
+_SENT = f"""SELECT task_id, pr_id, cast({_AGENT_NO} AS int) AS seq_agent, cast(0 AS bigint) AS seq_place, agent_id, 'INFO' AS severity, agent_id || '-review' AS category, '' AS file_path, cast(0 AS int) AS line_start, cast(0 AS int) AS line_end, """
 _case = lambda values: "CASE agent_id " + " ".join(f"WHEN {_q(a)} THEN {_q(v)}" for a, v in values.items()) + " END"
 _cte("no_issue", f"""{_SENT} 'No ' || {_case(fi.AGENT_WORDS)} || ' issues found' AS title, {_case(fi.NO_ISSUE_TEXT)} AS description, '' AS suggestion
 FROM answers a WHERE NOT failed AND NOT EXISTS (SELECT 1 FROM valid v WHERE v.task_id = a.task_id AND v.agent_id = a.agent_id)""", "answers", "valid")
@@ -587,10 +599,21 @@ SELECT task_id, pr_id, agent_id, {_SEVERITY} AS severity, 'static-analysis' AS c
  {_case(fi.SUGGESTION_OF_AGENT)} AS suggestion FROM tool_hits""", "tool_hits")
 _check("tool_findings", "SELECT * FROM tool_rows", "tool_rows")
 _check("all_findings", """
-SELECT * FROM (SELECT * EXCLUDE (seq) FROM valid UNION ALL SELECT * EXCLUDE (seq) FROM no_issue UNION ALL SELECT * EXCLUDE (seq) FROM failures
+SELECT * FROM (SELECT * EXCLUDE (seq_agent, seq_place) FROM valid UNION ALL SELECT * EXCLUDE (seq_agent, seq_place) FROM no_issue UNION ALL SELECT * EXCLUDE (seq_agent, seq_place) FROM failures
  UNION ALL BY NAME SELECT t.* FROM tool_rows t WHERE NOT EXISTS (SELECT 1 FROM failures f WHERE f.task_id = t.task_id AND f.agent_id = t.agent_id))""", "valid", "no_issue", "failures", "tool_rows")
 
 
+_cte("custom_rows", f"""
+SELECT task_id, pr_id, 'size' AS agent_id, 'MINOR' AS severity, 'big-change' AS category, file_path, cast(1 AS int) AS line_start, additions + deletions AS line_end,
+ 'Big change' AS title, (additions + deletions) || ' changed lines' AS description, 'Split the change.' AS suggestion FROM files WHERE additions + deletions > 10""", "files")
+_check("all_findings_custom", """
+SELECT * FROM (SELECT * EXCLUDE (seq_agent, seq_place) FROM valid UNION ALL SELECT * EXCLUDE (seq_agent, seq_place) FROM no_issue UNION ALL SELECT * EXCLUDE (seq_agent, seq_place) FROM failures
+ UNION ALL BY NAME SELECT t.* FROM tool_rows t WHERE NOT EXISTS (SELECT 1 FROM failures f WHERE f.task_id = t.task_id AND f.agent_id = t.agent_id)
+ UNION ALL BY NAME SELECT * FROM custom_rows)
+WHERE NOT coalesce((category = 'big-change' AND starts_with(file_path || '/', 'src/m1/')) OR (category = 'static-analysis' AND starts_with(file_path || '/', 'src/m2/')), false)""",
+ "valid", "no_issue", "failures", "tool_rows", "custom_rows")
+
+
 def _variant(name: str, suffix: str, renamed: dict[str, str]) -> None:
     """Copy of a common table expression that reads other tables."""
     sql, uses = _CTE[name]
@@ -615,7 +638,7 @@ _renamed = {**{n: n + "_e" for n in _chain}, "fx_diffs": "clean", "fx_responses"
 for _name in _chain:
     _variant(_name, "_e", _renamed)
 _cte("found_e", """
-SELECT * FROM (SELECT * EXCLUDE (seq) FROM valid_e UNION ALL SELECT * EXCLUDE (seq) FROM no_issue_e UNION ALL SELECT * EXCLUDE (seq) FROM failures_e
+SELECT * FROM (SELECT * EXCLUDE (seq_agent, seq_place) FROM valid_e UNION ALL SELECT * EXCLUDE (seq_agent, seq_place) FROM no_issue_e UNION ALL SELECT * EXCLUDE (seq_agent, seq_place) FROM failures_e
  UNION ALL BY NAME SELECT t.* FROM tool_rows_e t WHERE NOT EXISTS (SELECT 1 FROM failures_e f WHERE f.task_id = t.task_id AND f.agent_id = t.agent_id))""", "valid_e", "no_issue_e", "failures_e", "tool_rows_e")
 _variant("judged", "_e", {"fx_findings": "found_e"})
 _cte("filtered_e", _SOFT + "judged_e WHERE verdict <> 'drop'", "judged_e")
@@ -626,6 +649,18 @@ _check("review_end_to_end", f"""
 SELECT *, {_GATE} FROM (SELECT t.task_id, t.pr_id, coalesce(critical_count, 0) AS critical_count, coalesce(major_count, 0) AS major_count, coalesce(minor_count, 0) AS minor_count
  FROM pr_tasks t LEFT JOIN counts_e USING (task_id))""".replace("> 140", "> 10"), "pr_tasks", "counts_e")
 _check("similar_vectors", """
-SELECT query_id, cast(rank AS int) AS rank, vec_id FROM (
- SELECT q.vec_id AS query_id, c.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::double[], c.embedding::double[]) DESC, c.vec_id) AS rank
- FROM (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) q JOIN embeddings c ON q.label = c.label AND q.vec_id <> c.vec_id) WHERE rank <= 5""")
+SELECT query_id, cast(rank AS int) AS rank, vec_id, round(cosine, 6) AS cosine FROM (
+ SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.embedding::double[], c.embedding::double[]) AS cosine, row_number() OVER (PARTITION BY q.vec_id ORDER BY cosine DESC, c.vec_id) AS rank
+ FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q JOIN embeddings c ON q.label = c.label AND q.vec_id <> c.vec_id) WHERE rank <= 5""")
+
+# Streams: the filter with the statistics of the comment stream, and the reports of what it keeps.
+_variant("judged", "_p", {"reset_stats": "payload_stats"})
+_cte("kept_p", _SOFT + "judged_p WHERE verdict <> 'drop'", "judged_p")
+_check("stream_reviewed", "SELECT * FROM kept_p", "kept_p")
+_streamed = {"fx_findings": "kept_p"}
+for _name in ["deduped", "ranked", "counts", "heads", "by_file", "by_agent", "md_rows", "md_head", "md_agents", "report_pieces"]:
+    _variant(_name, "_p", _streamed)
+    _streamed[_name] = f"{_name}_p"
+_check("stream_reports", """
+SELECT p.task_id, p.position, p.kind, CASE WHEN t.trigger_event = 'PUSH' THEN 'file' ELSE 'comments' END AS delivery, md5(p.text) AS text_md5
+FROM report_pieces_p p JOIN fx_tasks t USING (task_id)""", "report_pieces_p", "fx_tasks")

@@ -7,6 +7,8 @@ from one row of its source table: nothing is grouped, so the inputs grow and spl
 
 from __future__ import annotations
 
+import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -336,20 +338,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Rows of a table that is one small file, spread over all cores.
+def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the derived tables.
 
-    A derived row is much larger than its source row, so a small file would leave one task with all
-    the work. Tables of many files are split well enough and stay as they are.
+    The given tables are read through views of their own, which are gone when the plan is made. A derived row is
+    much larger than its source row, so the rows are dealt out to all cores first (a step of the fixture: the given
+    tables are single small files).
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the derived tables."""
-    sql = derived_sql(name, spark=True)
-    for source in SOURCE_TABLES:
-        if f"FROM {source}" in sql:
-            _spread(table(spark, sf_dir, source)).createOrReplaceTempView(source)
-    return spark.sql(sql)
+    cores = spark.sparkContext.defaultParallelism
+    sql, views = derived_sql(name, spark=True), []
+    try:
+        for source in SOURCE_TABLES:
+            if re.search(rf"FROM {source}\b", sql):
+                views.append(f"difftide_{source}_{uuid.uuid4().hex}")
+                table(spark, sf_dir, source).repartition(cores).createOrReplaceTempView(views[-1])
+                sql = re.sub(rf"FROM {source}\b", f"FROM {views[-1]}", sql)
+        return spark.sql(sql)
+    finally:
+        for view in views:
+            spark.catalog.dropTempView(view)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,10 +36,12 @@ def build_session(app: str = "difftide", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the cluster's shared checkpoint folder.
 
-    The folder is the one named by `spark.checkpoint.dir`. Only when that is unset (local tests) is
-    a temporary folder of this machine used.
+    The folder is the one named by `spark.checkpoint.dir`. Without it a run in one process (local tests) uses a
+    temporary folder, and a cluster is refused: its machines would not see each other's files.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="difftide-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -108,8 +108,10 @@ def read_comment_webhooks(df_raw: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Report files as (file_name, markdown), one row per file (SR7)."""
-    return spark.read.text(path, wholetext=True).select(
-        F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file_name"),
-        F.col("value").alias("markdown"),
-    )
+    """Report files as (file_name, markdown), one row per file (SR7).
+
+    Reads plain files as well as the folders that `outputs.write_report_files` leaves.
+    """
+    texts = spark.read.text(path, wholetext=True)
+    name = F.col("file_name") if "file_name" in texts.columns else F.element_at(F.split(F.input_file_name(), "/"), -1)
+    return texts.select(name.alias("file_name"), F.col("value").alias("markdown"))

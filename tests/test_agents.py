@@ -74,5 +74,8 @@ def test_custom_agents(spark):
     assert {"all", "size"} <= set(fi.registered_agents())
     extra = fi.run_agents(diffs.contexts(df), changed, ["all", "size"])
     rows = responses(spark, [(1, "logic", [], None)])
-    got = sorted((r.agent_id, r.title) for r in fi.all_findings(rows, changed, *extra).collect())
+    found = fi.all_findings(rows, changed, *extra).collect()
+    assert len({(r.task_id, r.seq) for r in found}) == len(found)
+    assert [r.agent_id for r in sorted(found, key=lambda r: r.seq)][-1] == "all"
+    got = sorted((r.agent_id, r.title) for r in found)
     assert got == [("all", "t"), ("logic", "No logic issues found"), ("security", "SYSTEM_OUT_USAGE")]

@@ -100,3 +100,10 @@ def test_chunks_and_increments(spark):
     hunks = ops.hunks(ops.changed_files(table(spark, DELETED)))
     assert extras.incremental_hunks(hunks, extras.reviewed_hunks(hunks)).count() == 0
     assert extras.incremental_hunks(hunks, extras.reviewed_hunks(hunks.where("false"))).count() == 1
+
+
+def test_one_fetch_of_several_counts(spark):
+    tasks = spark.createDataFrame([(k, f"p{k}", "u") for k in (1, 2, 3, 4)], "task_id long, pr_id string, diff_url string")
+    rows = [(1, 200, "old", 1), (1, 200, "new", 2), (1, 500, "oops", 3), (2, 404, "x", 1), (2, 200, "<html>", 2), (3, 200, "one", None), (3, 200, "one", None)]
+    log = spark.createDataFrame(rows, "task_id long, http_status int, body string, fetched_at int")
+    assert sorted((r.task_id, r.body) for r in clean_diffs(tasks, log).collect()) == [(1, "new"), (2, ""), (3, "one"), (4, "")]

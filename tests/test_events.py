@@ -47,12 +47,12 @@ def test_pr_tasks_and_dispositions(spark):
         pr_body(number="x"), pr_body(number="gone", pull_request={"head": {"ref": None, "sha": None}}),
     ]
     pr = webhooks.read_pr_webhooks(raw(spark, bodies))
-    got = [(r.disposition.status, r.disposition.message) for r in ev.pr_dispositions(pr).orderBy("delivery_id").collect()]
+    got = [(r.disposition.status, r.disposition.message) for r in ev.pr_dispositions(pr, verified=True).orderBy("delivery_id").collect()]
     assert got[:3] == [(200, ev.PR_DONE)] * 3
     assert got[3] == (400, "Unsupported action: labeled") and got[4] == (400, "Unsupported action: null")
     assert got[5:8] == [(400, ev.BAD_PAYLOAD)] * 3
     assert [g[0] for g in got[8:10]] == [500, 500] and got[10] == (400, ev.BAD_PAYLOAD)
-    tasks = {r.task_id: r for r in ev.build_pr_tasks(pr).collect()}
+    tasks = {r.task_id: r for r in ev.build_pr_tasks(pr, verified=True).collect()}
     assert sorted(tasks) == [0, 1, 2, 11]
     t = tasks[0]
     assert (t.pr_id, t.pr_title, t.pr_description, t.source_branch, t.target_branch, t.commit_sha) == (
@@ -77,11 +77,11 @@ def test_push_order_and_tasks(spark):
         push(ref="refs/tags/v"), push(ref="plain", before=None, head_commit={"message": "m"}), "[1",
     ]
     p = webhooks.read_push_webhooks(raw(spark, bodies))
-    got = [r.disposition.message for r in ev.push_dispositions(p).orderBy("delivery_id").collect()]
+    got = [r.disposition.message for r in ev.push_dispositions(p, verified=True).orderBy("delivery_id").collect()]
     assert got == [
         ev.PUSH_DONE, ev.SKIP_DELETE, ev.SKIP_DELETE, ev.SKIP_NEW_BRANCH, ev.SKIP_TAG, ev.PUSH_DONE, ev.BAD_PAYLOAD,
     ]
-    tasks = {r.task_id: r for r in ev.build_push_tasks(p).collect()}
+    tasks = {r.task_id: r for r in ev.build_push_tasks(p, verified=True).collect()}
     assert tasks[0].pr_id == "o/r#push:a1" and tasks[0].pr_title == "Push: main"
     assert tasks[0].diff_url == "https://api.github.com/repos/o/r/compare/b1...a1"
     assert tasks[0].pr_description == "" and tasks[5].pr_description == "m"

@@ -112,3 +112,13 @@ def test_filter_verdicts(spark):
     assert sorted(r.seq for r in memory.fp_filter(df, stats, normalize_agent_ids=True).collect()) == [0, 1, 2, 3, 5, 6, 7, 8, 9]
     s = memory.fp_filter_stats(df, stats).first()
     assert (s.rows_in, s.suppressed, s.downgraded, s.rows_out) == (11, 1, 4, 10)
+
+
+def test_two_spellings_of_an_agent_are_one_rule(spark):
+    stats = spark.createDataFrame(
+        [("code-style", "r", 5, 4, 1, 0.2, False), ("codestyle", "r", 9, 2, 7, 0.7, True), ("code-style", "s", 9, 8, 1, 0.1, True), ("codestyle", "s", 3, 1, 2, 0.6, True)],
+        "agent_type string, rule_category string, total long, accepted long, dismissed long, dismiss_ratio double, is_downgraded boolean",
+    )
+    df = spark.createDataFrame([(1, "p", i, "code-style", "MAJOR", c, "f", 1, 1, "t", "d", None) for i, c in enumerate("rs")], FINDING)
+    rows = {r.seq: r.severity for r in memory.fp_filter(df, stats, normalize_agent_ids=True).collect()}
+    assert rows == {1: "MINOR"}  # r: 8 of 14 dismissed, dropped; s: 3 of 12, softened once

@@ -47,12 +47,11 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 10
 
 
-def test_similar_vectors_in_blocks(spark, monkeypatch):
+def test_similar_vectors_in_blocks(spark):
     corpus = spark.read.parquet(str(SF / "embeddings.parquet"))
     queries = corpus.where(F.col("vec_id") % 5 == 0)
     want = {tuple(r) for r in extras.similar_vectors(queries, corpus, 3).select("query_id", "rank", "vec_id").collect()}
-    monkeypatch.setattr(extras, "QUERY_BLOCK_BYTES", 2000)
-    got = {tuple(r) for r in extras.similar_vectors(queries, corpus, 3).select("query_id", "rank", "vec_id").collect()}
+    got = {tuple(r) for r in extras.similar_vectors(queries, corpus, 3, corpus_block=40, query_block=7).select("query_id", "rank", "vec_id").collect()}
     assert got == want
     rows = [(r.vec_id, r.label, np.asarray(r.embedding, dtype=float)) for r in corpus.collect()]
     unit = lambda v: v / np.linalg.norm(v)

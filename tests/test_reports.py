@@ -86,7 +86,7 @@ def test_markdown_text(spark):
     f = table(spark, rows)
     deduped = reports.dedup_findings(f)
     heads = reports.reports(tasks(spark, 1, 2), f)
-    got = {r.task_id: r.markdown for r in reports.report_markdown(heads, deduped).collect()}
+    got = {r.task_id: r.markdown for r in outputs.whole_reports(reports.report_markdown(heads, deduped)).collect()}
     assert got[1] == (
         "## AI Code Review Report for PR o/r#1\n\n### Summary\n\n| Severity | Count |\n|----------|-------|\n| :red_circle: Critical | 1 |\n"
         "| :orange_circle: Major | 0 |\n| :yellow_circle: Minor | 2 |\n| :information_source: Info | 0 |\n\n"
@@ -104,9 +104,10 @@ def test_parts_put_together_are_the_whole_text(spark):
     rows = [finding(1, i, LEVELS[i % 4], "c", f"F{i % 7}.java", i, i) for i in range(100)] + [finding(2, 0)]
     f = table(spark, rows)
     heads, deduped = reports.reports(tasks(spark, 1, 2, 3), f), reports.dedup_findings(f)
-    whole = {r.task_id: r.markdown for r in reports.report_markdown(heads, deduped).collect()}
+    pieces = reports.report_markdown(heads, deduped)
+    whole = {r.task_id: r.markdown for r in outputs.whole_reports(pieces).collect()}
     for size in (1, 7, 100):
-        parts = reports.report_markdown(heads, deduped, part_rows=size).orderBy("task_id", "part").collect()
+        parts = outputs.report_parts(pieces, part_rows=size).orderBy("task_id", "part").collect()
         text = {}
         for p in parts:
             text[p.task_id] = text.get(p.task_id, "") + p.markdown
@@ -154,7 +155,8 @@ def test_sinks(spark, tmp_path):
     f = table(spark, [finding(1, 0), finding(2, 0)])
     text = reports.report_markdown(reports.reports(t, f), reports.dedup_findings(f))
     outputs.write_push_reports(text, t, str(tmp_path / "r"))
-    assert [r.file_name for r in spark.read.parquet(str(tmp_path / "r")).collect()] == ["review-o_r-20240506-070809.md"]
+    whole = {r.task_id: r.markdown for r in outputs.whole_reports(text).collect()}
+    assert [tuple(r) for r in read_reports(spark, str(tmp_path / "r")).collect()] == [("review-o_r-20240506-070809.md", whole[1])]
     assert [r.task_id for r in outputs.summary_comments(text, t).collect()] == [2]
     assert outputs.review_results(f).first().details == '{"category":"c","file_path":"F.java","line_start":1,"line_end":1,"description":"d","suggestion":"s"}'
 

@@ -1,3 +1,5 @@
+import hashlib
+import hmac
 import json
 from datetime import datetime, timedelta
 
@@ -46,18 +48,41 @@ def test_a_repeated_batch_does_not_count_twice(spark, tmp_path):
 
 
 def test_reviews_use_the_newest_statistics(spark, tmp_path):
-    state, out = str(tmp_path / "state"), str(tmp_path / "out")
+    """A review that is split over batches is one, and a task without findings has a report."""
+    state, out, progress = (str(tmp_path / n) for n in ("state", "out", "p"))
     schema = "task_id long, pr_id string, seq long, agent_id string, severity string, category string, file_path string, line_start int, line_end int, title string, description string, suggestion string"
+    tasks = spark.createDataFrame([(k, f"p{k}", "PUSH" if k == 3 else "PR_OPENED") for k in (1, 2, 3)], "task_id long, pr_id string, trigger_event string")
 
-    def found(task):
-        return spark.createDataFrame([(task, f"p{task}", 0, "security", "CRITICAL", "XSS", "F", 1, 1, "t", "d", "s")], schema)
+    def found(task, line):
+        return spark.createDataFrame([(task, f"p{task}", line, "security", "CRITICAL", "XSS", "F", line, line, "t", "d", "s")], schema)
 
     feed = str(tmp_path / "findings")
-    found(1).write.parquet(feed)
+    found(1, 1).write.parquet(feed)
     stream = lambda: spark.readStream.schema(schema).parquet(feed)
-    feeds.stream_reports(stream(), state, out, str(tmp_path / "p"))
+    assert feeds.stream_reviewed(stream(), state, out, progress).count() == 1
+    found(1, 5).write.mode("append").parquet(feed)
+    reports = feeds.stream_reports(tasks, stream(), state, out, progress, token="t")
+    text = {t: "".join(r.text for r in sorted(reports.where(f"task_id = {t}").collect(), key=lambda r: r.position)) for t in (1, 2, 3)}
+    assert "Found 2 critical" in text[1] and "No issues found." in text[2] and "| 5 |" in text[1]
+    assert {r.task_id: r.delivery for r in reports.collect()} == {1: "comments", 2: "comments", 3: "file"}
     feeds.rule_stats_batch(state)(to_feedback(read_comment_webhooks(comments(spark, "dd", 0))), 0)
-    found(2).write.mode("append").parquet(feed)
-    feeds.stream_reports(stream(), state, out, str(tmp_path / "p"))
-    got = {r.task_id: r.critical_count for r in spark.read.parquet(out + "/batch=0", out + "/batch=1").collect()}
-    assert got == {1: 1, 2: 0}
+    found(2, 1).write.mode("append").parquet(feed)
+    assert sorted(r.task_id for r in feeds.stream_reviewed(stream(), state, out, progress).collect()) == [1, 1]
+
+
+def test_unsigned_deliveries_give_no_task(spark, tmp_path):
+    body = json.dumps({"action": "opened", "number": 1, "pull_request": {"title": "t", "head": {}, "base": {}}, "repository": {"full_name": "o/r"}})
+    good = "sha256=" + hmac.new(b"key", body.encode(), hashlib.sha256).hexdigest()
+    rows = [(1, T0, body, good), (2, T0, body, "sha256=00"), (3, T0, body, None)]
+    spark.createDataFrame(rows, RAW).write.parquet(str(tmp_path / "in"))
+    feeds.run_to_table(feeds.stream_tasks(spark, "key", str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "p"))
+    assert [r.task_id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1]
+
+
+def test_state_takes_two_folders(spark, tmp_path):
+    run = feeds.rule_stats_batch(str(tmp_path))
+    feedback = to_feedback(read_comment_webhooks(comments(spark, "ddd", 0)))
+    for n in range(5):
+        run(feedback, n)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["slot=0", "slot=1"] and feeds.latest_batch(spark, str(tmp_path)) == 4
+    assert feeds.read_state(spark, str(tmp_path), 4).first().total == 15
