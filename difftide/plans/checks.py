@@ -18,6 +18,25 @@ from difftide.plans.derived import WEBHOOK_SECRET, derived_sql
 
 GATE_THRESHOLD = 140
 
+# Fixed values, spelled out here and not taken from the operators: patterns, look-up tables, message texts.
+EMPTY_CATCH = r"catch\s*\([^)]*\)\s*\{\s*\}"
+STRING_EQ = r'"[^"]*"\s*==\s*\w+|\w+\s*==\s*"[^"]*"'
+SYSTEM_OUT = r"System\.(out|err)\s*\.\s*(print|println|printf)"
+TODO = r"//\s*(TODO|FIXME|HACK|XXX)\b"
+RESOURCE_OPEN = r"new\s+(FileInputStream|FileOutputStream|FileReader|FileWriter|BufferedReader|BufferedWriter)\s*\("
+RETURN_VALUE = r"(?m)^[+\- ]?\s*return\s+([^;]+)\s*;\s*$"
+VOID_METHOD = r"[+\- ]?(?:public|private|protected|static|\s)\s+void\s+\w+\s*\("
+LAYERS = ["controller", "service", "repository", "model", "config", "tool", "agent", "orchestration"]
+SEVERITY_OF_RULE = {
+    "EMPTY_CATCH_BLOCK": "MAJOR", "RESOURCE_LEAK": "MAJOR", "RETURN_IN_VOID_METHOD": "MAJOR", "EmptyBlock": "MAJOR", "CYCLIC_DEPENDENCY": "MAJOR",
+    "STRING_COMPARISON_USING_EQ": "MINOR", "PRINT_STACK_TRACE": "MINOR", "MagicNumber": "MINOR", "MethodLength": "MINOR", "ParameterNumber": "MINOR",
+    "LAYER_VIOLATION": "CRITICAL",
+}
+AGENT_WORDS = {"architecture": "architecture", "code-style": "code style", "logic": "logic", "security": "security"}
+FAILED_TITLE = {
+    "architecture": "Architecture review failed", "code-style": "Code style review failed", "logic": "Logic review failed", "security": "Security review failed",
+}
+
 _CTE: dict[str, tuple[str, list[str]]] = {}
 
 
@@ -442,10 +461,10 @@ def _pair(texts: tuple[str, ...], number: str = "n") -> str:
 _TRIM = "trim(line, ' ' || chr(9) || chr(13))"
 _rule_sql: dict[str, tuple[str, list[str]]] = {}
 _rule_sql["rule_string_eq"] = (_line_rule(
-    "STRING_COMPARISON_USING_EQ", rf"""regexp_matches(line, {_q(bug.STRING_EQ)}) AND NOT regexp_matches({_TRIM}, '^(//|\*|/\*)')""", _pair(bug.STRING_EQ_TEXT)), ["lines"])
+    "STRING_COMPARISON_USING_EQ", rf"""regexp_matches(line, {_q(STRING_EQ)}) AND NOT regexp_matches({_TRIM}, '^(//|\*|/\*)')""", _pair(bug.STRING_EQ_TEXT)), ["lines"])
 _rule_sql["rule_print_stack"] = (_line_rule("PRINT_STACK_TRACE", "contains(line, '.printStackTrace()')", _q(bug.PRINT_STACK_TEXT)), ["lines"])
-_rule_sql["rule_system_out"] = (_line_rule("SYSTEM_OUT_USAGE", f"regexp_matches(line, {_q(bug.SYSTEM_OUT)})", _q(bug.SYSTEM_OUT_TEXT)), ["lines"])
-_rule_sql["rule_todo"] = (_line_rule("TODO_COMMENT", f"regexp_matches(line, {_q(bug.TODO)})", f"regexp_extract(line, {_q(bug.TODO)}, 1) || {_pair(bug.TODO_TEXT)}"), ["lines"])
+_rule_sql["rule_system_out"] = (_line_rule("SYSTEM_OUT_USAGE", f"regexp_matches(line, {_q(SYSTEM_OUT)})", _q(bug.SYSTEM_OUT_TEXT)), ["lines"])
+_rule_sql["rule_todo"] = (_line_rule("TODO_COMMENT", f"regexp_matches(line, {_q(TODO)})", f"regexp_extract(line, {_q(TODO)}, 1) || {_pair(bug.TODO_TEXT)}"), ["lines"])
 _PARAMS = r"(?:\w+)\s+(?:\w+)"
 _rule_sql["rule_param_count"] = (rf"""
 SELECT {_KEYS}, cast(n AS int) AS line_number, 'ParameterNumber' AS rule, 'Method at line ' || n || ' has ' || c || ' parameters (max allowed: 5). Consider refactoring.' AS description
@@ -473,19 +492,19 @@ def _newlines(text: str) -> str:
     return f"(length({text}) - length(replace({text}, chr(10), '')))"
 
 
-_rule_sql["rule_empty_catch"] = (f"SELECT {_KEYS}, cast({_newlines('prefix')} AS int) AS line_number, 'EMPTY_CATCH_BLOCK' AS rule, {_q(bug.EMPTY_CATCH_TEXT)} AS description FROM ({_matches(bug.EMPTY_CATCH)})", ["files"])
+_rule_sql["rule_empty_catch"] = (f"SELECT {_KEYS}, cast({_newlines('prefix')} AS int) AS line_number, 'EMPTY_CATCH_BLOCK' AS rule, {_q(bug.EMPTY_CATCH_TEXT)} AS description FROM ({_matches(EMPTY_CATCH)})", ["files"])
 _rule_sql["rule_empty_catch_repeated"] = (f"""
 SELECT {_KEYS}, cast({_newlines('prefix')} AS int) AS line_number, 'EMPTY_CATCH_BLOCK' AS rule, {_q(bug.EMPTY_CATCH_TEXT)} AS description
-FROM (SELECT *, unnest(range(0, {_newlines('diff_content')} + 1 - {_newlines('prefix || m')})) AS copy FROM ({_matches(bug.EMPTY_CATCH)}))""", ["files"])
+FROM (SELECT *, unnest(range(0, {_newlines('diff_content')} + 1 - {_newlines('prefix || m')})) AS copy FROM ({_matches(EMPTY_CATCH)}))""", ["files"])
 _rule_sql["rule_resource_leak"] = (rf"""
 SELECT {_KEYS}, cast(line AS int) AS line_number, 'RESOURCE_LEAK' AS rule, {_pair(bug.RESOURCE_TEXT, 'line')} AS description
-FROM (SELECT *, {_newlines('prefix')} + 1 AS line, right(prefix, 200) AS w FROM ({_matches(bug.RESOURCE_OPEN)}))
+FROM (SELECT *, {_newlines('prefix')} + 1 AS line, right(prefix, 200) AS w FROM ({_matches(RESOURCE_OPEN)}))
 WHERE NOT (contains(w, 'try') AND regexp_full_match(string_split(w, 'try')[-1], '\s*\([^)]*'))""", ["files"])
-_RETURN = bug.RETURN_VALUE
+_RETURN = RETURN_VALUE
 _rule_sql["rule_void_return"] = (rf"""
 SELECT {_KEYS}, cast(line AS int) AS line_number, 'RETURN_IN_VOID_METHOD' AS rule, {_q(bug.VOID_TEXT[0])} || line || {_q(bug.VOID_TEXT[1])}
  || CASE WHEN length(value) > 60 THEN substr(value, 1, 57) || '...' ELSE value END || {_q(bug.VOID_TEXT[2])} AS description
-FROM (SELECT *, {_newlines('prefix')} + 1 AS line, trim(regexp_extract(m, '{_RETURN}', 1)) AS value, string_split_regex(prefix, {_q(bug.VOID_METHOD)}) AS parts FROM ({_matches(_RETURN)}))
+FROM (SELECT *, {_newlines('prefix')} + 1 AS line, trim(regexp_extract(m, '{_RETURN}', 1)) AS value, string_split_regex(prefix, {_q(VOID_METHOD)}) AS parts FROM ({_matches(_RETURN)}))
 WHERE len(parts) > 1 AND length(replace(parts[-1], '}}', '')) > length(replace(parts[-1], '{{', ''))""", ["files"])
 _rule_sql["rule_empty_block"] = (" UNION ALL ".join(f"""
 SELECT {_KEYS}, cast(line AS int) AS line_number, 'EmptyBlock' AS rule, 'Empty {word} block at line ' || line || '. Either implement the body or remove the block.' AS description
@@ -524,7 +543,7 @@ for _name, (_sql, _uses) in _rule_sql.items():
     _check(_name, _sql, *_uses)
 
 _SRC_PKG = "regexp_extract(content, '(?m)^package\\s+([a-zA-Z0-9_.]+);\\s*$', 1)"
-_LAYER = lambda p: f"list_filter(string_split({p}, '.'), lambda s: s IN ({', '.join(_q(x) for x in lay.LAYERS)}))[1]"
+_LAYER = lambda p: f"list_filter(string_split({p}, '.'), lambda s: s IN ({', '.join(_q(x) for x in LAYERS)}))[1]"
 _BASE = lambda p: f"array_to_string(string_split({p}, '.')[1:3], '.')"
 _cte("src", f"SELECT task_id, pr_id, cast(file_seq AS int) AS file_seq, file_path, content, {_SRC_PKG} AS package FROM fx_sources", "fx_sources")
 _cte("edges", r"""
@@ -573,9 +592,9 @@ _cte("valid_strict", """
 SELECT m.* FROM model_rows m WHERE trim(file_path) <> '' AND EXISTS (SELECT 1 FROM files f WHERE f.task_id = m.task_id AND contains(f.file_path, replace(m.file_path, chr(92), '/')))""", "model_rows", "files")
 _SENT = f"""SELECT task_id, pr_id, cast({_AGENT_NO} AS int) AS seq_agent, cast(0 AS bigint) AS seq_place, agent_id, 'INFO' AS severity, agent_id || '-review' AS category, '' AS file_path, cast(0 AS int) AS line_start, cast(0 AS int) AS line_end, """
 _case = lambda values: "CASE agent_id " + " ".join(f"WHEN {_q(a)} THEN {_q(v)}" for a, v in values.items()) + " END"
-_cte("no_issue", f"""{_SENT} 'No ' || {_case(fi.AGENT_WORDS)} || ' issues found' AS title, {_case(fi.NO_ISSUE_TEXT)} AS description, '' AS suggestion
+_cte("no_issue", f"""{_SENT} 'No ' || {_case(AGENT_WORDS)} || ' issues found' AS title, {_case(fi.NO_ISSUE_TEXT)} AS description, '' AS suggestion
 FROM answers a WHERE NOT failed AND NOT EXISTS (SELECT 1 FROM valid v WHERE v.task_id = a.task_id AND v.agent_id = a.agent_id)""", "answers", "valid")
-_cte("failures", f"""{_SENT} {_case(fi.FAILED_TITLE)} AS title, 'Unable to complete ' || {_case(fi.AGENT_WORDS)} || ' review due to an internal error: ' || coalesce(error, 'unreadable response') AS description, '' AS suggestion
+_cte("failures", f"""{_SENT} {_case(FAILED_TITLE)} AS title, 'Unable to complete ' || {_case(AGENT_WORDS)} || ' review due to an internal error: ' || coalesce(error, 'unreadable response') AS description, '' AS suggestion
 FROM answers WHERE failed""", "answers")
 _check("agent_response_parse", "SELECT * FROM model_rows", "model_rows")
 _check("valid_findings", "SELECT * FROM valid", "valid")
@@ -584,7 +603,7 @@ _check("no_issue_rows", "SELECT * FROM no_issue", "no_issue")
 _check("agent_failures", "SELECT * FROM failures", "failures")
 
 # Tool findings: all rule hits in reporting order, as the findings of the agents that own the rules.
-_SEVERITY = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{s}'" for r, s in fi.SEVERITY_OF_RULE.items()) + " ELSE 'INFO' END"
+_SEVERITY = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{s}'" for r, s in SEVERITY_OF_RULE.items()) + " ELSE 'INFO' END"
 _TOOL_ORDER = [
     ("security", ["rule_empty_catch", "rule_string_eq", "rule_print_stack", "rule_system_out", "rule_todo", "rule_resource_leak", "rule_void_return"]),
     ("code-style", ["rule_javadoc", "rule_method_length", "rule_param_count", "rule_magic_number", "rule_empty_block", "rule_indentation"]),
