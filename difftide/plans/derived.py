@@ -327,6 +327,9 @@ _TABLES = {
 }
 
 
+DERIVED_TABLES = list(_TABLES)
+
+
 def derived_sql(name: str, spark: bool) -> str:
     """Defining query of a derived table for one of the two engines."""
     # Doubled braces belong to f-string templates; the texts themselves use single ones.
