@@ -21,10 +21,10 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from difftide.llm.common import arrow_map, record_batch
-from difftide.llm.token_counts import OTHER, PRE_TOKEN, runs
+from difftide.llm.common import arrow_map, gathered, record_batch
+from difftide.llm.token_counts import OTHER, PRE_TOKEN, cut
 
-KNOWN = 1 << 20  # runs whose ids a worker keeps
+KNOWN = 1 << 18  # runs whose ids a worker keeps
 RUN_CHARS = 32  # longest run that is kept
 
 
@@ -48,7 +48,7 @@ class Ranks:
         made = self._pairs.get((left, right))
         if made is None:
             made = self.rank.get(self.token[left] + self.token[right], -1)
-            if len(self._pairs) < 1 << 20:
+            if len(self._pairs) < 1 << 18:
                 self._pairs[left, right] = made
         return made
 
@@ -151,32 +151,34 @@ class Encoder:
         return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.stand_ins))]
 
     def learn(self, texts: Iterable[str | tuple[str]]) -> dict[str | tuple[str], bytes]:
-        """Ids, as little-endian 32-bit integers, of the runs that no earlier block had.
+        """Ids, as little-endian 32-bit integers, of runs that no earlier block had.
 
         A run that opens its text has no space before it and comes as a tuple.
         """
-        missing = {r for r in texts if r not in self.known}
-        found = {r: self.pre_tokens(r[0] if isinstance(r, tuple) else " " + r) for r in missing}
+        found = {r: self.pre_tokens(r[0] if isinstance(r, tuple) else " " + r) for r in texts}
         words = list({w for pieces in found.values() for w in pieces})
         packed = (np.array(ids, "<u4").tobytes() for ids in merge_replay([w.encode() for w in words], self.ranks))
         ids = dict(zip(words, packed))
         return {r: b"".join(map(ids.__getitem__, pieces)) for r, pieces in found.items()}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [runs(t) for t in texts]
-        for pieces in cut:
-            pieces[0] = (pieces[0],)
-        fresh = self.learn({r for pieces in cut for r in pieces})
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, the ends of each). The different runs of all texts are a block."""
+        edges, at, different = cut(texts)
+        first: dict[tuple[str], int] = {}
+        at = at.astype(np.int64)
+        for edge in edges[:-1].tolist():
+            at[edge] = len(different) + first.setdefault((different[at[edge]],), len(first))
+        block = [*different, *first]
+        fresh = self.learn([r for r in block if r not in self.known])
+        values = [self.known[r] if r in self.known else fresh[r] for r in block]
         keep = {r: v for r, v in fresh.items() if isinstance(r, str) and len(r) <= RUN_CHARS}
         if len(self.known) + len(keep) > KNOWN:
-            have = {r for pieces in cut for r in pieces}
-            self.known = {r: v for r, v in self.known.items() if r in have}
-        every = fresh if len(fresh) > len(keep) else keep
-        self.known.update(every)
-        out = [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
-        for r in every.keys() - keep.keys():
-            del self.known[r]
-        return out
+            self.known = {}
+        if len(keep) <= KNOWN:
+            self.known.update(keep)
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        ids, ends = gathered(np.frombuffer(b"".join(values), "<u4"), sizes, at)
+        return ids, ends[edges[1:] - 1]
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -192,10 +194,12 @@ def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id",
     """
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encoder = _ENCODERS.setdefault((path, pattern), None) or Encoder(path, pattern)
-        _ENCODERS[path, pattern] = encoder
-        ids = encoder.encode(batch.column(1).to_pylist())
-        return record_batch(**{id_column: batch.column(0), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())})
+        if (path, pattern) not in _ENCODERS:
+            _ENCODERS[path, pattern] = Encoder(path, pattern)
+        ids, ends = _ENCODERS[path, pattern].encode(batch.column(1))
+        edges = np.concatenate([[0], ends])
+        packed = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((4 * edges).astype(np.int32)), pa.py_buffer(ids.tobytes())])
+        return record_batch(**{id_column: batch.column(0), "n_tokens": pa.array(np.diff(edges)), "ids": packed})
 
     slim = docs.select(id_column, F.coalesce(F.col(text), F.lit("")).alias("body"))
     return arrow_map(slim, step, f"`{id_column}` {docs.schema[id_column].dataType.simpleString()}, n_tokens bigint, ids binary")

@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -33,6 +34,8 @@ CACHED = 1 << 20  # runs and pre-tokens that a worker keeps
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _UNSAFE = re.compile(r" (?:\s|\Z)")
+#: The same, and at the end of a text, for RE2: white space as Python has it.
+_UNSAFE_RE2 = r" (?:[\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|$)"
 _CUT = re.compile(r" (?=\S)")
 OTHER = re.compile(r"[^\x00-Ԁ]")  # beyond, libraries differ in the Unicode version of their classes
 
@@ -42,6 +45,20 @@ def runs(text: str) -> list[str]:
     return _CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
 
 
+def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(edges of each text's runs, run numbers, the different runs) of texts without nulls; every text has a run."""
+    split = pc.split_pattern(texts, " ")
+    unsafe = pc.match_substring_regex(texts, _UNSAFE_RE2).to_numpy(zero_copy_only=False)
+    if unsafe.any():
+        by_hand = pa.array([runs(t) for t in texts.filter(pa.array(unsafe)).to_pylist()], split.type)
+        order = np.empty(len(texts), np.int64)
+        order[np.concatenate([np.flatnonzero(~unsafe), np.flatnonzero(unsafe)])] = np.arange(len(texts))
+        split = pa.concat_arrays([split.filter(pa.array(~unsafe)), by_hand]).take(pa.array(order))
+    flat = split.flatten().dictionary_encode()
+    offsets = split.offsets.to_numpy()
+    return offsets - offsets[0], flat.indices.to_numpy(), flat.dictionary.to_pylist()
+
+
 def byte_characters() -> dict[int, int]:
     """The printable character by which byte-level vocabularies write each byte."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]

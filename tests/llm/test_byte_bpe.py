@@ -1,9 +1,9 @@
 import base64
-import hashlib
 import sys
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from hypothesis import given, settings, strategies as st
 
@@ -30,11 +30,16 @@ def test_empty(spark):
     assert decode(encode(df, PATH, public_tokenizers.PATTERN), PATH).count() == 0
 
 
+def ids_of(encoder, texts):
+    ids, ends = encoder.encode(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip([0, *ends], ends)]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet="ab c'sé\n\t1!", max_size=60), min_size=1, max_size=8))
 def test_any_text(texts):
     encoder = Encoder(PATH, public_tokenizers.PATTERN)
-    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [LIB.encode_ordinary(t) for t in texts]
+    assert ids_of(encoder, texts) == [LIB.encode_ordinary(t) for t in texts]
 
 
 def naive(word, ranks):
@@ -65,9 +70,9 @@ def test_known_runs_stay_bounded(monkeypatch):
     encoder = Encoder(PATH, public_tokenizers.PATTERN)
     for k in range(20):
         text = " ".join(f"w{k}x{j}" for j in range(7)) + " " + "q" * 100
-        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == LIB.encode_ordinary(text)
-        assert len(encoder.known) <= 18 and all(len(r) <= 32 for r in encoder.known)
-    assert hashlib.sha256(encoder.encode([""])[0]).hexdigest() == hashlib.sha256(b"").hexdigest()
+        assert ids_of(encoder, [text]) == [LIB.encode_ordinary(text)]
+        assert len(encoder.known) <= 10 and all(len(r) <= 32 for r in encoder.known)
+    assert ids_of(encoder, [""]) == [[]]
 
 
 def test_every_character():
@@ -75,4 +80,4 @@ def test_every_character():
     encoder = Encoder(PATH, public_tokenizers.PATTERN)
     codes = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
     texts = ["".join(f"{chr(c)}a{chr(c)}{chr(c)} 1{chr(c)}\n" for c in codes[k : k + 50]) for k in [*range(0, 0x3000, 50), *range(0x3000, len(codes), 2350)]]
-    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [LIB.encode_ordinary(t) for t in texts]
+    assert ids_of(encoder, texts) == [LIB.encode_ordinary(t) for t in texts]
