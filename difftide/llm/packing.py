@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from difftide.llm.common import arrow_map, global_rank, record_batch, stored
+from difftide.llm.common import arrow_map, gathered, global_rank, record_batch, stored
 from difftide.llm.token_counts import Bounded, byte_characters
 
 WINDOW = 2_048
@@ -66,14 +66,9 @@ class WordEncoder:
         words = plain.flatten().dictionary_encode()
         found = list(map(self.words.__getitem__, words.dictionary.to_pylist()))
         sizes = np.array([len(x) // 4 for x in found], np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        ids = np.frombuffer(b"".join(found), "<u4")
-        at = words.indices.to_numpy()
-        lengths = sizes[at]
-        ends = np.cumsum(lengths)
-        gathered = ids[np.repeat(starts[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        ids, ends = gathered(np.frombuffer(b"".join(found), "<u4"), sizes, words.indices.to_numpy())
         edges = np.concatenate([[0], ends])[plain.offsets.to_numpy() - plain.offsets[0].as_py()]
-        encoded = iter([gathered[a:b].tobytes() for a, b in zip(edges, edges[1:])])
+        encoded = iter([ids[a:b].tobytes() for a, b in zip(edges, edges[1:])])
         return [self.whole(texts[k].as_py()) if o else next(encoded) for k, o in enumerate(odd)]
 
 
