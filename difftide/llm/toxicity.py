@@ -9,22 +9,23 @@ squared cosine against the base rate, which gives a score from 0 to 1, and are r
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from difftide.llm.common import arrow_map, record_batch, stored
+from difftide.llm.common import arrow_map, gathered, record_batch, slices, stored
 
 EXAMPLES = 12_000  # labelled rows that the index is fitted on, at most (chosen by a hash of the id)
 TERMS = 1_024  # terms of the index: with EXAMPLES it bounds the index to 12,000 * 1,024 postings
 DEPENDENT = 24.0  # chi-square from which a term counts as dependent on the label (p < 1e-6)
 LEAST = 4  # examples that a term must occur in
 PREFIXES = (4, 5, 6)
+FIT_TASKS = 16  # tasks that read the fitting rows
 BLOCK = 64
 NEIGHBOURS = 15
 PRIOR = 0.3  # weight of the base rate, in neighbours of cosine 1
@@ -47,7 +48,8 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 def _counts(texts: pa.Array, number: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray]]:
     """(term numbers, counts) of each text, for the terms numbered."""
     edges, at, different = _words(texts)
-    known = [[n for t in terms_of(w) if (n := number.get(t)) is not None] if w else [] for w in different]
+    heads = {t.removesuffix("*")[: PREFIXES[0]] for t in number}  # all terms of a word begin like it
+    known = [[n for t in terms_of(w) if (n := number.get(t)) is not None] if w and w[: PREFIXES[0]] in heads else [] for w in different]
     sizes = np.array([len(k) for k in known], np.int64)
     flat = np.array([n for k in known for n in k], np.int64)
     starts = np.cumsum(sizes) - sizes
@@ -83,10 +85,11 @@ class BlockMaxIndex:
         entry = np.repeat(np.arange(len(groups)), [len(w) for w in weights])
         weight = np.concatenate([np.zeros(0), *weights])
         order = np.lexsort((entry, term))
-        self.term_starts = np.searchsorted(term[order], np.arange(len(inverse_frequency) + 1))
         self.entries, self.entry_weights = entry[order], weight[order]
-        self.blocks = -(-len(groups) // BLOCK)
-        self.block_max = np.zeros((len(inverse_frequency), max(1, self.blocks)))
+        self.blocks = max(1, -(-len(groups) // BLOCK))
+        #: Where the postings of (term, block) start; one more at the end.
+        self.starts = np.searchsorted(term[order] * self.blocks + self.entries // BLOCK, np.arange(len(inverse_frequency) * self.blocks + 1))
+        self.block_max = np.zeros((len(inverse_frequency), self.blocks))
         np.maximum.at(self.block_max, (term, entry // BLOCK), weight)
 
     def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -100,22 +103,21 @@ class BlockMaxIndex:
         todo = np.argsort(-bounds, kind="stable")
         todo = todo[bounds[todo] > 0]
         found, cosines = np.zeros(0, np.int64), np.zeros(0)
-        done = 0
+        done, width = 0, 4
         while done < len(todo):
             if len(found):
                 order = np.lexsort((self.example[found], -cosines))
                 last = np.searchsorted(np.cumsum(self.size[found[order]]), k)
                 if last < len(found) and bounds[todo[done]] < cosines[order[last]]:
                     break  # no block left can hold a nearer example
-            part = todo[done : done + 4]
-            done += 4
-            scores = np.zeros(len(part) * BLOCK)
-            for n, block in enumerate(part.tolist()):
-                for t, q in zip(terms.tolist(), query.tolist()):
-                    if self.block_max[t, block]:
-                        a, b = self.term_starts[t : t + 2]
-                        a, b = a + np.searchsorted(self.entries[a:b], [block * BLOCK, (block + 1) * BLOCK])
-                        scores[n * BLOCK + self.entries[a:b] - block * BLOCK] += q * self.entry_weights[a:b]
+            part = todo[done : done + width]
+            done, width = done + width, 2 * width
+            lists = (terms[:, None] * self.blocks + part).ravel()
+            size = self.starts[lists + 1] - self.starts[lists]
+            ends = np.cumsum(size)
+            at = np.repeat(self.starts[lists] - (ends - size), size) + np.arange(ends[-1])
+            place = np.repeat(np.tile(np.arange(len(part)) - part, len(terms)) * BLOCK, size) + self.entries[at]
+            scores = np.bincount(place, np.repeat(np.repeat(query, len(part)), size) * self.entry_weights[at], len(part) * BLOCK)
             hit = np.flatnonzero(scores)
             found = np.concatenate([found, part[hit // BLOCK] * BLOCK + hit % BLOCK])
             cosines = np.concatenate([cosines, scores[hit]])
@@ -133,22 +135,45 @@ class BlockMaxIndex:
         return float(((votes * self.toxic[near]).sum() + PRIOR * self.rate) / total), self.example[near[:3]].tolist()
 
 
+def _min_hash(words: np.ndarray) -> int:
+    """The least hash of three neighbouring words' hashes."""
+    if len(words) < 3:
+        return int(words.min()) if len(words) else 0
+    mixed = (words[:-2] * np.uint64(0x9E3779B97F4A7C15) + words[1:-1]) * np.uint64(0xBF58476D1CE4E5B9) + words[2:]
+    mixed ^= mixed >> np.uint64(31)
+    return int((mixed * np.uint64(0x94D049BB133111EB)).min())
+
+
 def fit(examples: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[dict[str, int], BlockMaxIndex] | None:
-    """Terms and index of at most EXAMPLES labelled rows; None if there is none. Equal texts count once for terms."""
-    once = examples.groupBy(text).agg(F.max(label).alias(label))
+    """Terms and index of at most EXAMPLES labelled rows; None if there is none.
+
+    For the choice of terms, examples of one label and one min-hash of their word triples count once: the words of
+    a text with many copies, equal or nearly so, would depend on the label as well and fill the index.
+    """
+
+    def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        edges, at, different = _words(batch.column(0))
+        hashed = np.array([xxhash.xxh64_intdigest(w) for w in different], np.uint64)
+        least = [_min_hash(hashed[at[a:b]]) for a, b in zip(edges, edges[1:])]
+        return record_batch(text=batch.column(0), label=batch.column(1), sketch=pa.array(np.array(least, np.uint64).view(np.int64)))
+
+    sketched = arrow_map(examples.select(text, F.col(label).cast("int")), sketch, "text string, label int, sketch bigint")
+    once = sketched.groupBy("sketch", "label").agg(F.min("text").alias(text)).withColumnRenamed("label", label)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            toxic = batch.column(1).to_numpy(zero_copy_only=False)
+        for batch in (part for whole in batches for part in slices(whole)):
             edges, at, different = _words(batch.column(0))
-            seen, with_label = Counter(), Counter()
-            for k, (a, b) in enumerate(zip(edges, edges[1:])):
-                terms = {t for w in set(at[a:b].tolist()) if different[w] for t in terms_of(different[w])}
-                seen.update(terms)
-                if toxic[k]:
-                    with_label.update(terms)
-            if seen:
-                yield record_batch(term=pa.array(list(seen), pa.string()), n=pa.array(list(seen.values()), pa.int64()), toxic=pa.array([with_label[t] for t in seen], pa.int64()))
+            number: dict[str, int] = {}
+            terms = [[number.setdefault(t, len(number)) for t in terms_of(w)] if w else [] for w in different]
+            sizes = np.array([len(t) for t in terms], np.int64)
+            pair = np.unique(np.repeat(np.arange(batch.num_rows), np.diff(edges)) * (len(different) + 1) + at)
+            doc, word = np.divmod(pair, len(different) + 1)
+            term, _ = gathered(np.array([n for t in terms for n in t], np.int64), sizes, word)
+            doc, term = np.divmod(np.unique(np.repeat(doc, sizes[word]) * (len(number) + 1) + term), len(number) + 1)
+            toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
+            if number:
+                n, with_label = np.bincount(term, minlength=len(number)), np.bincount(term, toxic[doc], len(number))
+                yield record_batch(term=pa.array(list(number), pa.string()), n=pa.array(n.astype(np.int64)), toxic=pa.array(with_label.astype(np.int64)))
 
     totals = once.agg(F.count("*").alias("n"), F.sum(label).alias("toxic")).first()
     if not totals["n"]:
@@ -176,7 +201,8 @@ def labelled(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     own = labels.where(F.col(id_column).isNotNull() & F.col(label).isNotNull() & ~held_out(id_column)).groupBy(id_column).agg(F.max(F.col(label).cast("int")).alias(label))
     chosen = own.orderBy(F.xxhash64(id_column), id_column).limit(EXAMPLES)
     slim = docs.select(id_column, F.coalesce(F.col(text), F.lit("")).alias(text))
-    return stored(slim.join(F.broadcast(chosen), id_column).orderBy(F.xxhash64(id_column), text).limit(EXAMPLES))  # EXAMPLES rows of two numbers
+    texts = slim.join(F.broadcast(chosen), id_column)  # EXAMPLES rows of two numbers
+    return stored(texts.orderBy(F.xxhash64(id_column), text).limit(EXAMPLES).repartition(FIT_TASKS))
 
 
 def held_out(id_column: str = "doc_id") -> Column:
