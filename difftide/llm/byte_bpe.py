@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections import defaultdict
 from collections.abc import Iterable
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from difftide.llm.common import arrow_map, gathered, record_batch
 from difftide.llm.token_counts import OTHER, PRE_TOKEN, cut
 
-KNOWN = 1 << 18  # runs whose ids a worker keeps
+KNOWN = 1 << 17  # runs, and pre-tokens, whose ids a worker keeps, in each of two generations
 RUN_CHARS = 32  # longest run that is kept
 
 
@@ -34,8 +33,10 @@ class Ranks:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.rank = ranks
         self.token = {r: t for t, r in ranks.items()}
-        self.byte = [ranks[bytes([b])] for b in range(256)]
-        self._pairs: dict[tuple[int, int], int] = {}
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        #: Rank of the joined token, by left << 32 | right: every token at every place where both halves are tokens.
+        self.pairs = {ranks[t[:k]] << 32 | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        self.bytes = np.array([[self.pairs.get(int(a) << 32 | int(b), -1) for b in self.byte] for a in self.byte], np.int64)
 
     @classmethod
     def read(cls, path: str) -> Ranks:
@@ -43,42 +44,29 @@ class Ranks:
         with open(path, "rb") as lines:
             return cls({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)})
 
-    def pair(self, left: int, right: int) -> int:
-        """The rank of the joined token; -1 if there is none."""
-        made = self._pairs.get((left, right))
-        if made is None:
-            made = self.rank.get(self.token[left] + self.token[right], -1)
-            if len(self._pairs) < 1 << 18:
-                self._pairs[left, right] = made
-        return made
 
+def merge_replay(words: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words one after the other, the ends of each): merges in rank order over all words at once.
 
-def merge_replay(words: list[bytes], ranks: Ranks) -> list[list[int]]:
-    """Ids of every word: merges applied in rank order over all words at once, leftmost first in a word.
-
-    A word that is itself a token becomes that token. A merge may make a pair of lower rank than the one
-    being replayed; that pair then goes first, so each word sees exactly the order it would see alone.
+    In a word the leftmost place comes first. A merge may make a pair of lower rank than the one being replayed; that
+    pair then goes first, so each word sees exactly the order it would see alone.
     """
-    ids: list[int] = []
-    after: list[int] = []
-    before: list[int] = []
-    starts: list[int] = []
-    for word in words:
-        start = len(ids)
-        starts.append(start)
-        whole = ranks.rank.get(word)
-        tokens = [whole] if whole is not None else [ranks.byte[b] for b in word]
-        ids.extend(tokens)
-        before.extend(range(start - 1, start + len(tokens) - 1))
-        after.extend(range(start + 1, start + len(tokens) + 1))
-        if tokens:
-            before[start] = after[-1] = -1
-
-    pair = ranks.pair
-    index: dict[int, list[int]] = defaultdict(list)  # by the pair's joined token: where the pair's left token stands
-    for at, nxt in enumerate(after):
-        if nxt >= 0 and (made := pair(ids[at], ids[nxt])) >= 0:
-            index[made].append(at)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(words), np.uint8)
+    made = np.full(len(data), -1, np.int64)
+    made[:-1] = ranks.bytes[data[:-1], data[1:]]
+    made[ends[sizes > 0] - 1] = -1
+    places = np.flatnonzero(made >= 0)[::-1]
+    places = places[np.argsort(made[places], kind="stable")]  # by rank, last place first
+    cuts = np.flatnonzero(np.diff(made[places], prepend=-1))
+    #: The inverted index, by the pair's joined token: where the pair's left token stands.
+    index: dict[int, list[int]] = {r: places[a:b].tolist() for r, a, b in zip(made[places[cuts]].tolist(), cuts, [*cuts[1:], len(places)])}
+    after = np.arange(1, len(data) + 1)
+    after[ends[sizes > 0] - 1] = -1
+    before = np.arange(-1, len(data) - 1)
+    before[(ends - sizes)[sizes > 0]] = -1
+    ids, after, before, pairs = ranks.byte[data].tolist(), after.tolist(), before.tolist(), ranks.pairs
     waiting = list(index)
     heapq.heapify(waiting)
     while waiting:
@@ -91,30 +79,51 @@ def merge_replay(words: list[bytes], ranks: Ranks) -> list[list[int]]:
         while places and not lower:
             at = places.pop()
             nxt = after[at]
-            if ids[at] < 0 or nxt < 0 or pair(ids[at], ids[nxt]) != rank:
+            if nxt < 0 or ids[at] < 0 or pairs.get(ids[at] << 32 | ids[nxt]) != rank:
                 continue  # an earlier merge took one of the two
             ids[at], ids[nxt] = rank, -1
             after[at] = beyond = after[nxt]
+            left = before[at]
+            if left >= 0 and (new := pairs.get(ids[left] << 32 | rank)) is not None:
+                if new in index:
+                    index[new].append(left)
+                else:
+                    index[new] = [left]
+                    heapq.heappush(waiting, new)
+                lower = new < rank
             if beyond >= 0:
                 before[beyond] = at
-            for left, right in ((before[at], at), (at, beyond)):
-                if left >= 0 and right >= 0 and (made := pair(ids[left], ids[right])) >= 0:
-                    if made not in index:
-                        heapq.heappush(waiting, made)
-                    index[made].append(left)
-                    lower |= made < rank
+                if (new := pairs.get(rank << 32 | ids[beyond])) is not None:
+                    if new in index:
+                        index[new].append(at)
+                    else:
+                        index[new] = [at]
+                        heapq.heappush(waiting, new)
+                    lower |= new < rank
         if places:
             heapq.heappush(waiting, rank)
         else:
             del index[rank]
-    out = []
-    for start, end in zip(starts, [*starts[1:], len(ids)]):
-        word, at = [], start if start < end else -1
-        while at >= 0:
-            word.append(ids[at])
-            at = after[at]
-        out.append(word)
-    return out
+    merged = np.array(ids, np.int64)
+    return merged[merged >= 0], np.concatenate([[0], np.cumsum(merged >= 0)])[ends]
+
+
+class Recent:
+    """Values by key in two generations, so that what is used often stays when the rest has to go."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def get(self, key: object) -> bytes | None:
+        value = self.new.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key: object, value: bytes) -> None:
+        if len(self.new) >= self.limit:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
 
 
 class StandIns(dict):
@@ -143,7 +152,7 @@ class Encoder:
         self.ranks = Ranks.read(path)
         self.pattern = regex.compile(pattern)
         self.stand_ins = StandIns()
-        self.known: dict[str | tuple[str], bytes] = {}
+        self.runs, self.words = Recent(KNOWN), Recent(KNOWN)
 
     def pre_tokens(self, text: str) -> list[str]:
         if not OTHER.search(text):
@@ -151,14 +160,31 @@ class Encoder:
         return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.stand_ins))]
 
     def learn(self, texts: Iterable[str | tuple[str]]) -> dict[str | tuple[str], bytes]:
-        """Ids, as little-endian 32-bit integers, of runs that no earlier block had.
+        """Ids, as little-endian 32-bit integers, of runs; pre-tokens that no earlier block had are replayed as one block.
 
         A run that opens its text has no space before it and comes as a tuple.
         """
         found = {r: self.pre_tokens(r[0] if isinstance(r, tuple) else " " + r) for r in texts}
-        words = list({w for pieces in found.values() for w in pieces})
-        packed = (np.array(ids, "<u4").tobytes() for ids in merge_replay([w.encode() for w in words], self.ranks))
-        ids = dict(zip(words, packed))
+        ids: dict[str, bytes] = {}
+        block: dict[str, bytes] = {}
+        for word in {w for pieces in found.values() for w in pieces}:
+            known = self.words.get(word)
+            if known is not None:
+                ids[word] = known
+                continue
+            data = word.encode()
+            whole = self.ranks.rank.get(data)
+            if whole is None:
+                block[word] = data
+            else:
+                ids[word] = whole.to_bytes(4, "little")
+        merged, ends = merge_replay(list(block.values()), self.ranks)
+        packed, at = merged.astype("<u4").tobytes(), 0
+        for word, end in zip(block, ends.tolist()):
+            ids[word] = packed[4 * at : 4 * end]
+            at = end
+            if len(word) <= RUN_CHARS:
+                self.words.put(word, ids[word])
         return {r: b"".join(map(ids.__getitem__, pieces)) for r, pieces in found.items()}
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -169,13 +195,12 @@ class Encoder:
         for edge in edges[:-1].tolist():
             at[edge] = len(different) + first.setdefault((different[at[edge]],), len(first))
         block = [*different, *first]
-        fresh = self.learn([r for r in block if r not in self.known])
-        values = [self.known[r] if r in self.known else fresh[r] for r in block]
-        keep = {r: v for r, v in fresh.items() if isinstance(r, str) and len(r) <= RUN_CHARS}
-        if len(self.known) + len(keep) > KNOWN:
-            self.known = {}
-        if len(keep) <= KNOWN:
-            self.known.update(keep)
+        values = list(map(self.runs.get, block))
+        fresh = self.learn([r for r, v in zip(block, values) if v is None])
+        values = [fresh[r] if v is None else v for r, v in zip(block, values)]
+        for r, v in fresh.items():
+            if isinstance(r, str) and len(r) <= RUN_CHARS:
+                self.runs.put(r, v)
         sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
         ids, ends = gathered(np.frombuffer(b"".join(values), "<u4"), sizes, at)
         return ids, ends[edges[1:] - 1]
