@@ -520,9 +520,9 @@ def gate_from_markdown(spark: SparkSession, sf: str) -> DataFrame:
     pieces = reports.report_markdown(_heads(spark, sf), _deduped(spark, sf))
     name = F.concat(F.lit("task-"), F.col("task_id").cast("string"), F.lit(".md"))
     outputs.write_report_files(pieces.withColumn("file_name", name), folder)
-    files = webhooks.read_reports(spark, folder)
+    verdicts = gate.gate_from_lines(webhooks.read_report_lines(spark, folder), GATE_THRESHOLD)
     named = _tasks(spark, sf).select("task_id", "pr_id", name.alias("file_name"))
-    return gate.gate_from_markdown(named.join(files, "file_name").select("task_id", "pr_id", "markdown"), GATE_THRESHOLD)
+    return named.join(verdicts, "file_name").drop("file_name")
 
 
 @query
@@ -533,8 +533,8 @@ def push_report_files(spark: SparkSession, sf: str) -> DataFrame:
     names = outputs.push_report_names(tasks).groupBy("file_name").agg(F.max("task_id").alias("task_id"))
     pieces = reports.report_markdown(_heads(spark, sf), _deduped(spark, sf))
     outputs.write_push_reports(pieces, tasks.join(names.select("task_id"), "task_id", "left_semi"), folder)
-    read = webhooks.read_reports(spark, folder)
-    return read.select("file_name", F.length("markdown").alias("chars"), F.md5("markdown").alias("markdown_md5"))
+    read = outputs.report_digests(webhooks.read_report_lines(spark, folder))
+    return read.withColumn("chars", F.col("chars").cast("int"))
 
 
 # -- sinks -----------------------------------------------------------------------------------

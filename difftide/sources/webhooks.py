@@ -107,11 +107,32 @@ def read_comment_webhooks(df_raw: DataFrame, strict: bool = False) -> DataFrame:
     )
 
 
+def _report_name(files: DataFrame) -> Column:
+    return F.col("file_name") if "file_name" in files.columns else F.element_at(F.split(F.input_file_name(), "/"), -1)
+
+
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """Report files as (file_name, markdown), one row per file (SR7).
 
-    Reads plain files as well as the folders that `outputs.write_report_files` leaves.
+    Reads plain files as well as the folders that `outputs.write_report_files` leaves. A report above 2 GB does not
+    fit a row; `read_report_lines` reads those too.
     """
     texts = spark.read.text(path, wholetext=True)
-    name = F.col("file_name") if "file_name" in texts.columns else F.element_at(F.split(F.input_file_name(), "/"), -1)
-    return texts.select(name.alias("file_name"), F.col("value").alias("markdown"))
+    named = texts.select(_report_name(texts).alias("file_name"), F.col("value").alias("markdown"), *[c for c in texts.columns if c == "block"])
+    if "block" not in texts.columns:
+        return named
+    blocks = named.groupBy("file_name").agg(F.array_sort(F.collect_list(F.struct("block", "markdown"))).alias("_blocks"))
+    return blocks.select("file_name", F.array_join(F.transform("_blocks", lambda b: b["markdown"]), "").alias("markdown"))
+
+
+def read_report_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of report files as (file_name, place, line), whatever the size of a file; `place` orders them (SR7).
+
+    Large files are read in splits. A line's place is its block, the offset of its split, and its row there.
+    """
+    lines = spark.read.text(path, lineSep="\n")
+    block = F.col("block") if "block" in lines.columns else F.lit(0)
+    place = F.struct(
+        block.cast("long").alias("block"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")
+    )
+    return lines.select(_report_name(lines).alias("file_name"), place.alias("place"), F.col("value").alias("line"))

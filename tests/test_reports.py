@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from difftide.functions import markdown as md
 from difftide.operators import extras, gate, reports
 from difftide.sinks import outputs
-from difftide.sources.webhooks import read_reports
+from difftide.sources.webhooks import read_report_lines, read_reports
 
 FINDING = "task_id long, pr_id string, seq long, agent_id string, severity string, category string, file_path string, line_start int, line_end int, title string, description string, suggestion string"
 LEVELS = ["CRITICAL", "MAJOR", "MINOR", "INFO"]
@@ -167,3 +168,58 @@ def test_merge_and_allowlist(spark):
     assert (merged.severity, merged.agents, merged.reports) == ("MAJOR", "a,b", 3)
     allowed = spark.createDataFrame([("z", "src/m"), ("c", "F.jav")], "rule_category string, path string")
     assert sorted(r.seq for r in extras.allowlist_filter(table(spark, rows), allowed).collect()) == [0, 1, 2]
+
+
+def test_a_report_in_many_blocks_and_splits(spark, tmp_path):
+    rows = [finding(1, i, LEVELS[i % 4], "c", f"F{i % 7}.java", i, i, description=f"d{i}\r | é") for i in range(400)] + [finding(2, 0)]
+    t = tasks(spark, 1, 2)
+    f = table(spark, rows)
+    heads = reports.reports(t, f)
+    pieces = reports.report_markdown(heads, reports.dedup_findings(f))
+    whole = {f"task-{r.task_id}.md": r.markdown for r in outputs.whole_reports(pieces).collect()}
+    named = pieces.withColumn("file_name", F.concat(F.lit("task-"), F.col("task_id").cast("string"), F.lit(".md")))
+    outputs.write_report_files(named, str(tmp_path / "r"), block=30)
+    assert len(list((tmp_path / "r").glob("file_name=task-1.md/block=*/part-*"))) == 14
+    (tmp_path / "plain").mkdir()
+    for name, text in whole.items():
+        (tmp_path / "plain" / name).write_bytes(text.encode())
+    assert {r.file_name: r.markdown for r in read_reports(spark, str(tmp_path / "r")).collect()} == whole
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        for folder in ("r", "plain"):
+            lines = read_report_lines(spark, str(tmp_path / folder))
+            assert lines.rdd.getNumPartitions() > 5
+            got = {}
+            for r in sorted(lines.collect(), key=lambda r: (r.file_name, r.place)):
+                got[r.file_name] = got.get(r.file_name, "") + r.line + "\n"
+            assert got == whole
+            digests = {r.file_name: (r.chars, r.markdown_md5) for r in outputs.report_digests(lines).collect()}
+            assert digests == {n: (len(x), hashlib.md5(x.encode()).hexdigest()) for n, x in whole.items()}
+            columns = ["critical_count", "major_count", "minor_count", "gate", "warn"]
+            verdicts = {r.file_name: tuple(r)[1:] for r in gate.gate_from_lines(lines).select("file_name", *columns).collect()}
+            assert verdicts == {f"task-{r.task_id}.md": tuple(r)[1:] for r in gate.quality_gate(heads).select("task_id", *columns).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_gate_from_lines_equals_gate_from_text(spark, tmp_path):
+    texts = [
+        "| :red_circle: Critical | 3 |\n| :orange_circle: MAJOR | 12 |\n| Minor | x |\n", "no table\n", "| 1 | CRITICAL | Critical |\n| Critical | 7 |\n|major|11|\n",
+        "| Critical | 0 |\n| Critical | 9 |\n", "Critical | 4 |\n| Critical\t| 5 |\r| x\n| Info | 99999999999999999999 |\n", "\n", "| a\nMinor | 3 |\n| Minor | 4 |",
+    ]
+    for k, text in enumerate(texts):
+        (tmp_path / f"{k}.md").write_bytes(text.encode())
+    want = gate.gate_from_markdown(read_reports(spark, str(tmp_path)))
+    got = gate.gate_from_lines(read_report_lines(spark, str(tmp_path)))
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == len(texts)
+
+
+def test_summary_pieces_are_the_bodies(spark):
+    f = table(spark, [finding(1, i, start=i, end=i) for i in range(50)] + [finding(2, 0), finding(3, 0)])
+    t = tasks(spark, 1, 2, 3).withColumn("trigger_event", F.when(F.col("task_id") == 2, "PUSH").otherwise("PR_OPENED"))
+    pieces = reports.report_markdown(reports.reports(t, f), reports.dedup_findings(f))
+    text = {}
+    for r in outputs.summary_comment_pieces(pieces, t).orderBy("task_id", "position").collect():
+        text[r.task_id, r.pr_id, r.repo_name, r.pr_number] = text.get((r.task_id, r.pr_id, r.repo_name, r.pr_number), "") + r.text
+    assert text == {tuple(r)[:4]: r.body for r in outputs.summary_comments(pieces, t).collect()} and len(text) == 2
