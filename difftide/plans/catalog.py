@@ -530,9 +530,8 @@ def push_report_files(spark: SparkSession, sf: str) -> DataFrame:
     """Reports of the push tasks, written as files and read again. Of tasks that share a name the latest id stays."""
     folder = shared_folder(spark, "push-reports")
     tasks = _tasks(spark, sf)
-    names = outputs.push_report_names(tasks).groupBy("file_name").agg(F.max("task_id").alias("task_id"))
     pieces = reports.report_markdown(_heads(spark, sf), _deduped(spark, sf))
-    outputs.write_push_reports(pieces, tasks.join(names.select("task_id"), "task_id", "left_semi"), folder)
+    outputs.write_push_reports(pieces, tasks, folder)
     read = outputs.report_digests(webhooks.read_report_lines(spark, folder))
     return read.withColumn("chars", F.col("chars").cast("int"))
 

@@ -223,3 +223,12 @@ def test_summary_pieces_are_the_bodies(spark):
     for r in outputs.summary_comment_pieces(pieces, t).orderBy("task_id", "position").collect():
         text[r.task_id, r.pr_id, r.repo_name, r.pr_number] = text.get((r.task_id, r.pr_id, r.repo_name, r.pr_number), "") + r.text
     assert text == {tuple(r)[:4]: r.body for r in outputs.summary_comments(pieces, t).collect()} and len(text) == 2
+
+
+def test_the_last_task_of_a_shared_name_is_written(spark, tmp_path):
+    t = tasks(spark, 1, 2, 3).withColumn("trigger_event", F.lit("PUSH")).withColumn("received_at", F.lit("2024-05-06 07:08:09").cast("timestamp_ntz"))
+    f = table(spark, [finding(k, i, start=i, end=i) for k in (1, 2, 3) for i in range(k)])
+    text = reports.report_markdown(reports.reports(t, f), reports.dedup_findings(f))
+    outputs.write_push_reports(text, t, str(tmp_path / "r"))
+    whole = {r.task_id: r.markdown for r in outputs.whole_reports(text).collect()}
+    assert [r.markdown for r in read_reports(spark, str(tmp_path / "r")).collect()] == [whole[3]]
