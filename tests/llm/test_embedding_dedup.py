@@ -55,3 +55,18 @@ def test_rotation_and_empty(spark):
     mean, turn = learn_rotation(x)
     assert np.allclose(turn.T @ turn, np.eye(16)) and abs(((x - mean) @ turn > 0).mean() - 0.5) < 0.03
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+@pytest.mark.parametrize("dims, common", [(2, 0.0), (16, 0.0), (32, 0.0), (16, 0.9), (64, 0.9)])
+def test_recall_at_the_threshold_itself(spark, dims, common):
+    """Short vectors and vectors with a common mean; partners lie at cosine 0.931."""
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    mean = common * unit(rng.standard_normal(dims))
+    base = unit(mean + np.sqrt(1 - common**2) * unit(rng.standard_normal((1500, dims))))
+    noise = rng.standard_normal(base.shape)
+    noise = unit(noise - (noise * base).sum(1, keepdims=True) * base)
+    both = np.concatenate([base, 0.931 * base + np.sqrt(1 - 0.931**2) * noise])
+    rows = [(k, v.tolist(), k % 1500) for k, v in enumerate(both)]  # a label for each pair: only it counts
+    got = sum(r.n_links for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert 0.97 * 3000 <= got <= 3000
