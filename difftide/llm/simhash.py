@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from difftide.llm.common import Forest, arrow_map, record_batch, stored, whole_groups
 from difftide.llm.graph import components
@@ -146,7 +147,7 @@ def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
 
     A null text counts as empty; texts without words have fingerprint zero and link like any other. Rows with a null
     id get their fingerprint, and the component that it belongs to if another row has one, else null. Repeated
-    rows stay. Other columns are not read.
+    rows stay; rows of one id with different texts link by their texts alone. Other columns are not read.
     """
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -155,13 +156,32 @@ def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
 
     rows = stored(arrow_map(docs.select(F.col(id_column).cast("long"), text), step, "id bigint, fp bigint"))
     classes = stored(rows.groupBy("fp").agg(F.min("id").alias("id")).where("id is not null"))
-    found = components(link_fingerprints(classes, radius))
-    of_class = classes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    found = components(link_fingerprints(classes.select(F.col("fp").alias("id"), "fp"), radius)).withColumnRenamed("id", "fp")
+    rooted = stored(classes.join(found, "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("root")))
+    of_class = rooted.join(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(of_class, "fp", "left").select(F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, groups: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """``docs`` without the documents whose group has a smaller id. Of rows that repeat an id one stays."""
-    gone = groups.where(F.col(id_column) > F.col("component_id")).select(id_column).distinct()
-    rest = docs.join(gone, id_column, "left_anti").select(docs.columns)
-    return rest.where(F.col(id_column).isNotNull()).dropDuplicates([id_column]).unionByName(rest.where(F.col(id_column).isNull()))
+def keep_one(docs: DataFrame, groups: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """``docs`` without the rows whose group has a smaller id; ``groups`` are their ``simhash_groups`` with equal ``words``.
+
+    Of rows that repeat an id and a fingerprint one stays, that of the least hash of its text; other texts of the id are
+    decided by their own group, and all stay whose group it leads. Of rows with a null id one stays for each fingerprint,
+    also beside a row with an id.
+    """
+    by_id = groups.where(F.col(id_column).isNotNull()).groupBy(id_column).agg(F.count("*").alias("n"), F.min("component_id").alias("least"))
+    other = stored(by_id.where((F.col("n") > 1) | (F.col(id_column) > F.col("least"))).select(id_column, "n"))
+    repeated = stored(other.where("n > 1").select(id_column))
+    single = docs.where(F.col(id_column).isNotNull()).join(other, id_column, "left_anti").select(docs.columns)
+    rest = docs.join(repeated, id_column, "left_semi").select(docs.columns).unionByName(docs.where(F.col(id_column).isNull()))
+    at = docs.columns.index(text)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        prints = [f"{fingerprint(t or '', words):016x}" for t in batch.column(at).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.string())], names=[*batch.schema.names, "__fingerprint"])
+
+    printed = arrow_map(rest, step, StructType(list(docs.schema.fields)).add("__fingerprint", StringType()))
+    leads = groups.where(F.col(id_column).isNull() | (F.col(id_column) == F.col("component_id"))).select(F.col(id_column).alias("__id"), F.col("fingerprint").alias("__print")).distinct()
+    leading = printed.join(leads, F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__fingerprint") == F.col("__print")), "left_semi")
+    one = leading.groupBy(id_column, "__fingerprint").agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64(text), text)).alias("__row"))
+    return single.unionByName(one.select(*[F.col("__row")[c].alias(c) for c in docs.columns]))

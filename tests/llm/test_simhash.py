@@ -83,3 +83,16 @@ def test_empty_and_radius(spark):
     assert simhash_groups(df).count() == 0 and fingerprint("") == 0
     with pytest.raises(ValueError):
         link_fingerprints(spark.createDataFrame([(1, 1)], "id long, fp long"), radius=4)
+
+
+def test_rows_of_repeated_and_null_ids_are_decided_by_text(spark):
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    rows = [(3, a), (5, a), (5, b), (6, c), (6, c.upper()), (6, c), (7, c), (8, d), (8, a), (None, "x y"), (None, "x y"), (None, "X y"), (None, None)]
+    df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, component_id string")
+    groups = simhash_groups(df)
+    assert sorted({(r.doc_id, r.component_id) for r in groups.collect() if r.doc_id is not None}) == [(3, 3), (5, 3), (5, 5), (6, 6), (7, 6), (8, 3), (8, 8)]
+    kept = keep_one(df.repartition(5), groups)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id or 0, (r.text or "").lower()) for r in kept.collect()))
+    assert got == sorted([(3, a), (5, b), (6, c), (8, d), (0, "x y"), (0, "")])
