@@ -9,15 +9,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from difftide.llm import ann, byte_bpe, embedding_dedup, packing, quality, sharding, simhash, suffix_dedup, toxicity
+from difftide.llm import ann, byte_bpe, divergence, embedding_dedup, packing, quality, resampling, sharding, simhash, suffix_dedup, toxicity
+from difftide.llm.checks import CHECKS as CHECKS
 from difftide.llm.common import ship
 from difftide.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-#: Check SQL for DuckDB, where SQL can express the query.
-CHECKS: dict[str, str] = {}
-
 
 def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(run)
@@ -95,3 +93,15 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by the weak-label model, and whether it is kept."""
     return quality.quality(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark texts, and the rank of the five in a hundred that are drawn."""
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language differ, and the terms that set them apart."""
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
