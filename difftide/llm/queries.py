@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from difftide.llm import ann, byte_bpe, divergence, embedding_dedup, packing, quality, resampling, sharding, simhash, suffix_dedup, toxicity
+from difftide.llm import ann, byte_bpe, divergence, embedding_dedup, packing, quality, resampling, sharding, simhash, suffix_dedup, suffix_tree, toxicity
 from difftide.llm.checks import CHECKS as CHECKS
 from difftide.llm.common import ship
 from difftide.llm.token_counts import token_counts
@@ -95,6 +95,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document by a probabilistic suffix tree, learnt from six of seven documents."""
+    return suffix_tree.scores(_table(spark, sf_dir, "documents"), "crc32(cast(coalesce(cast(doc_id AS string), '') AS binary)) % 7 = 2")
+
+
 @query
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's weight towards the benchmark texts, and the rank of the five in a hundred that are drawn."""
