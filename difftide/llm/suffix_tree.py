@@ -18,10 +18,11 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Generator, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -36,7 +37,7 @@ LEAST = 8  # training occurrences that a context needs to be considered
 PRIOR = 4.0  # weight of the shorter state: PRIOR * count of the context ** POWER
 POWER = 0.75
 GAIN = 2.0  # nats that a state has to save
-BLOCK = 8 << 20  # bytes of text in a block, or one document
+BLOCK = 4 << 20  # bytes of text in a block, or one document
 SHARD = 2 << 20  # tokens of the corpus for each shard of a round
 
 #: Words are runs of all bytes but 9 to 13 and 32.
@@ -107,32 +108,32 @@ def answer(kind: str, keys: Sequence, sums: np.ndarray, shard: int, gain: float
     else:
         code = np.zeros(len(sums), np.int64)
         for k in keys:
-            values, inner = np.unique(k, return_inverse=True)
-            code = np.unique(code * len(values) + inner, return_inverse=True)[1]
+            inner, values = pd.factorize(k)
+            code = pd.factorize(code * len(values) + inner)[0]
     total = np.zeros(code.max() + 1 if len(code) else 0, sums.dtype)
     np.add.at(total, code, sums)
     if kind == "context":
         return (total > gain).astype(np.int64)[code], np.zeros(len(code), np.int64)
     brought = np.flatnonzero(sums > 0)
     owner = np.zeros(len(sums), np.int64)
-    owner[brought[np.unique(code[brought], return_index=True)[1]]] = 1 << 62
+    first = np.full(len(total), -1)
+    first[code[brought][::-1]] = brought[::-1]
+    owner[first[first >= 0]] = 1 << 62
     ids = (shard << 36) + np.arange(len(total))
     if kind == "pair":
         ids = np.where(total >= least, ids, -1)
     return total[code] + owner, ids[code]
 
 
-def replay(block: Block, answers: Sequence[tuple[np.ndarray, np.ndarray]], all_tokens: int, all_words: int, depth: int = DEPTH, least: int = LEAST) -> Question | tuple[np.ndarray, ...]:
-    """The block's next question, or when all are answered (known tokens, base score, score) of each document.
+def replay(block: Block, all_tokens: int, all_words: int, depth: int = DEPTH, least: int = LEAST) -> Generator[Question | tuple[np.ndarray, ...], tuple[np.ndarray, np.ndarray], None]:
+    """The block's questions in turn, and at last (known tokens, base score, score) of each document.
 
-    ``answers`` holds (sum, id) arrays in the order of the keys asked.
+    Each question is to be answered by (sum, id) arrays in the order of its keys.
     """
-    left = iter(answers)
     n_words, codes = len(block.words), block.codes
     training = np.repeat(~block.held, block.sizes)
-    if (found := next(left, None)) is None:
-        return Question("word", block.words, np.bincount(codes[training], minlength=n_words))
-    count, word_id = found[0] & (1 << 62) - 1, found[1]
+    told, word_id = yield Question("word", block.words, np.bincount(codes[training], minlength=n_words))
+    count = told & (1 << 62) - 1
     base = ((count + 1) / (all_tokens + all_words + 1))[codes]
     p = base.copy()
     first = np.zeros(len(codes), bool)
@@ -145,27 +146,24 @@ def replay(block: Block, answers: Sequence[tuple[np.ndarray, np.ndarray]], all_t
         at = at[context_n[before[at]] >= least]
         pairs, which = np.unique(before[at] * n_words + codes[at], return_inverse=True)
         context = pairs // n_words
-        if (found := next(left, None)) is None:
-            return Question("pair", (context_id[context], word_id[pairs % n_words]), np.bincount(which[training[at]], minlength=len(pairs)))
-        mine, n, pair_id = found[0] >> 62 > 0, found[0] & (1 << 62) - 1, found[1]
+        told, pair_id = yield Question("pair", (context_id[context], word_id[pairs % n_words]), np.bincount(which[training[at]], minlength=len(pairs)))
+        mine, n = np.flatnonzero(told >> 62), told & (1 << 62) - 1
         shorter = np.empty(len(pairs))
         shorter[which] = p[at]  # the same for all tokens of a pair, as it depends on the context's own suffixes
         seen = context_n[context].astype(np.float64)
         weight = PRIOR * seen**POWER
-        contexts, of = np.unique(context, return_inverse=True)
-        if (found := next(left, None)) is None:
-            m, c = mine.nonzero()[0], n[mine]
-            saved = c * np.log((c - 1 + weight[m] * shorter[m]) / ((seen[m] - 1 + weight[m]) * shorter[m]))
-            return Question("context", (context_id[contexts],), np.bincount(of[m], saved, len(contexts)))
-        state = found[0][of] > 0
-        p[at] = np.where(state, (n + weight * shorter) / (seen + weight), shorter)[which]
+        new = np.diff(context, prepend=-1) > 0  # pairs are sorted by context
+        of, c = np.cumsum(new) - 1, n[mine]
+        saved = c * np.log((c - 1 + weight[mine] * shorter[mine]) / ((seen[mine] - 1 + weight[mine]) * shorter[mine]))
+        told, _ = yield Question("context", (context_id[context[new]],), np.bincount(of[mine], saved, int(new.sum())))
+        p[at] = np.where(told[of] > 0, (n + weight * shorter) / (seen + weight), shorter)[which]
         own = np.full(len(codes), -1, np.int64)
         own[at] = which
         before = np.where(first, -1, np.concatenate([[-1], own[:-1]]))
         context_id, context_n = pair_id, np.where(pair_id >= 0, n, 0)
     starts = np.cumsum(block.sizes) - block.sizes
     sums = [np.add.reduceat(x, starts) for x in ((count > 0)[codes].astype(np.int64), np.log10(base), np.log10(p))]
-    return tuple(sums)
+    yield tuple(sums)
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,9 +191,9 @@ def _block(batch: pa.RecordBatch, row: int) -> Block:
 
 def _answered(block: Block, batch: pa.RecordBatch, row: int, rounds: int, shards: int, numbers: tuple[int, int], depth: int) -> Question | tuple[np.ndarray, ...]:
     """``replay`` with the answers of the row's columns ``answers0``, ``answers1`` ..."""
-    answers: list[tuple[np.ndarray, np.ndarray]] = []
+    turn = replay(block, *numbers, depth)
+    asked = next(turn)
     for k in range(rounds):
-        asked = replay(block, answers, *numbers, depth)
         order = np.argsort(asked.shards(shards), kind="stable")
         parts = sorted(batch.column(f"answers{k}")[row].as_py() or [], key=lambda x: x["shard"])
         pair = []
@@ -203,8 +201,8 @@ def _answered(block: Block, batch: pa.RecordBatch, row: int, rounds: int, shards
             out = np.empty(len(order), np.int64)
             out[order] = np.concatenate([spread(x[name]) for x in parts]) if parts else np.zeros(0, np.int64)
             pair.append(out)
-        answers.append(tuple(pair))
-    return replay(block, answers, *numbers, depth)
+        asked = turn.send(tuple(pair))
+    return asked
 
 
 def _ask(rounds: int, shards: int, numbers: tuple[int, int], depth: int):
