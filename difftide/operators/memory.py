@@ -52,6 +52,14 @@ def _step_weight(threshold: float) -> Column:
     return F.when(_dismissed(), F.lit(q - p)).otherwise(F.lit(-p)).cast("long")
 
 
+def feedback_steps(feedback: DataFrame, threshold: float = DOWNGRADE_THRESHOLD) -> DataFrame:
+    """What each row adds to its rule: its weight `w`, and whether it is accepted (`a`) or dismissed (`d`)."""
+    return feedback.select(
+        *RULE, "created_at", "id", _step_weight(threshold).alias("w"),
+        _accepted().cast("long").alias("a"), _dismissed().cast("long").alias("d"),
+    )
+
+
 def rule_segments(feedback: DataFrame, threshold: float = DOWNGRADE_THRESHOLD) -> DataFrame:
     """Per rule and range partition: counters, weight sum and highest running weight sum.
 
@@ -59,11 +67,7 @@ def rule_segments(feedback: DataFrame, threshold: float = DOWNGRADE_THRESHOLD) -
     they need. Segments of a rule are ordered by `segment` and there are at most (rules +
     partitions) of them.
     """
-    rows = feedback.select(
-        *RULE, "created_at", "id", _step_weight(threshold).alias("w"),
-        _accepted().cast("long").alias("a"), _dismissed().cast("long").alias("d"),
-    )
-    ranged = rows.repartitionByRange(*RULE, "created_at", "id").withColumn(
+    ranged = feedback_steps(feedback, threshold).repartitionByRange(*RULE, "created_at", "id").withColumn(
         "segment", F.spark_partition_id()
     )
     running = Window.partitionBy("segment", *RULE).orderBy("created_at", "id").rowsBetween(

@@ -20,7 +20,7 @@ from difftide.session import shared_folder
 from difftide.sinks import outputs
 from difftide.sources import diffs as diff_sources
 from difftide.sources import webhooks
-from difftide.streaming import feeds
+from difftide.streaming import feeds, reviews, rule_state
 
 # The threshold that splits the derived reports into both warning outcomes.
 GATE_THRESHOLD = 140
@@ -577,18 +577,41 @@ def _state(spark: SparkSession, sf: str, root: str) -> DataFrame:
     """Rule statistics after the whole comment feed has run through the stream."""
     signed = F.lit(None).cast("string").alias("signature")
     landed = _landed(derived(spark, sf, "fx_comment_payloads").select("*", signed), f"{root}/comments")
-    return feeds.stream_rule_stats(spark, landed, f"{root}/state", f"{root}/state-progress")
+    return rule_state.stream_rule_stats(spark, landed, f"{root}/stats")
+
+
+def _webhook_dirs(spark: SparkSession, sf: str, root: str) -> tuple[str, str]:
+    """Both feeds with good signatures, landed as files."""
+    pr = _landed(_signed(derived(spark, sf, "fx_pr_webhooks"), all_good=True), f"{root}/pr")
+    return pr, _landed(_signed(derived(spark, sf, "fx_push_webhooks"), all_good=True), f"{root}/push")
+
+
+def _findings_stream(spark: SparkSession, sf: str, root: str) -> DataFrame:
+    landed = _landed(_findings(spark, sf), f"{root}/findings")
+    return spark.readStream.schema(_findings(spark, sf).schema).option("maxFilesPerTrigger", 4).parquet(landed)
 
 
 @query
 def stream_tasks(spark: SparkSession, sf: str) -> DataFrame:
     root = shared_folder(spark, "stream-tasks")
-    pr = _landed(_signed(derived(spark, sf, "fx_pr_webhooks"), all_good=True), f"{root}/pr")
-    push = _landed(_signed(derived(spark, sf, "fx_push_webhooks"), all_good=True), f"{root}/push")
-    feeds.run_to_table(feeds.stream_tasks(spark, WEBHOOK_SECRET, pr, push), f"{root}/tasks", f"{root}/progress")
+    feeds.run_to_table(feeds.stream_tasks(spark, WEBHOOK_SECRET, *_webhook_dirs(spark, sf, root)), f"{root}/tasks", f"{root}/progress")
     return spark.read.parquet(f"{root}/tasks")
 
 
+@query
+def stream_tasks_once(spark: SparkSession, sf: str) -> DataFrame:
+    """Tasks of feeds that deliver every third event again a little later; an event gives one task."""
+    root = shared_folder(spark, "stream-tasks-once")
+    folders = []
+    for feed in ("pr", "push"):
+        raw = _signed(derived(spark, sf, f"fx_{feed}_webhooks"), all_good=True)
+        again = raw.where(F.col("delivery_id") % 3 == 0).withColumn("received_at", F.col("received_at") + F.expr("INTERVAL 90 SECONDS"))
+        folders.append(_landed(raw.unionByName(again), f"{root}/{feed}"))
+    tasks = feeds.stream_tasks(spark, WEBHOOK_SECRET, *folders, redelivery="10 minutes")
+    feeds.run_to_table(tasks, f"{root}/tasks", f"{root}/progress")
+    return spark.read.parquet(f"{root}/tasks").select("task_id", "pr_id", "repo_name", "commit_sha", "trigger_event")
+
+
 @query
 def stream_rule_stats(spark: SparkSession, sf: str) -> DataFrame:
     return _state(spark, sf, shared_folder(spark, "stream-stats"))
@@ -599,20 +622,29 @@ def stream_reviewed(spark: SparkSession, sf: str) -> DataFrame:
     """The findings feed, filtered in micro-batches with the rule statistics of the comment stream."""
     root = shared_folder(spark, "stream-reviewed")
     _state(spark, sf, root)
-    landed = _landed(_findings(spark, sf), f"{root}/findings")
-    found = spark.readStream.schema(_findings(spark, sf).schema).option("maxFilesPerTrigger", 4).parquet(landed)
-    return feeds.stream_reviewed(found, f"{root}/state", f"{root}/kept", f"{root}/progress")
+    return reviews.stream_reviewed(_findings_stream(spark, sf, root), f"{root}/stats", f"{root}/kept", f"{root}/progress")
+
+
+def _report_rows(reports_: DataFrame) -> DataFrame:
+    return reports_.select("task_id", "position", "kind", "delivery", F.md5("text").alias("text_md5"))
 
 
 @query
 def stream_reports(spark: SparkSession, sf: str) -> DataFrame:
-    """Reports of all tasks from the findings stream; reviews that are split over micro-batches are one."""
+    """Reports of all tasks from streams of tasks and findings; reviews that are split over micro-batches are one."""
     root = shared_folder(spark, "stream-reports")
     _state(spark, sf, root)
-    landed = _landed(_findings(spark, sf), f"{root}/findings")
-    found = spark.readStream.schema(_findings(spark, sf).schema).option("maxFilesPerTrigger", 4).parquet(landed)
-    rows = feeds.stream_reports(_tasks(spark, sf), found, f"{root}/state", f"{root}/kept", f"{root}/progress", token="t")
-    return rows.select("task_id", "position", "kind", "delivery", F.md5("text").alias("text_md5"))
+    tasks = spark.readStream.schema(_tasks(spark, sf).schema).parquet(_landed(_tasks(spark, sf), f"{root}/landed"))
+    return _report_rows(reviews.stream_reports(tasks, _findings_stream(spark, sf, root), f"{root}/stats", f"{root}/flow", f"{root}/progress", token="t"))
+
+
+@query
+def review_flow(spark: SparkSession, sf: str) -> DataFrame:
+    """From event to report in one flow: signed webhooks to tasks, findings through the filter, reports renewed by change."""
+    root = shared_folder(spark, "review-flow")
+    _state(spark, sf, root)
+    tasks = feeds.stream_tasks(spark, WEBHOOK_SECRET, *_webhook_dirs(spark, sf, root))
+    return _report_rows(reviews.stream_reports(tasks, _findings_stream(spark, sf, root), f"{root}/stats", f"{root}/flow", f"{root}/progress", token="t"))
 
 
 # -- described operators ---------------------------------------------------------------------

@@ -683,3 +683,13 @@ for _name in ["deduped", "ranked", "counts", "heads", "by_file", "by_agent", "md
 _check("stream_reports", """
 SELECT p.task_id, p.position, p.kind, CASE WHEN t.trigger_event = 'PUSH' THEN 'file' ELSE 'comments' END AS delivery, md5(p.text) AS text_md5
 FROM report_pieces_p p JOIN fx_tasks t USING (task_id)""", "report_pieces_p", "fx_tasks")
+
+# One flow from event to report: the tasks are those of the webhooks. A third of the events comes twice in the other query.
+_flow = {"fx_tasks": "all_tasks"} | {old: new for old, new in _streamed.items() if old not in ("heads", "md_head", "report_pieces")}
+for _name in ["heads", "md_head", "report_pieces"]:
+    _variant(_name, "_w", _flow)
+    _flow[_name] = f"{_name}_w"
+_check("review_flow", """
+SELECT p.task_id, p.position, p.kind, CASE WHEN t.trigger_event = 'PUSH' THEN 'file' ELSE 'comments' END AS delivery, md5(p.text) AS text_md5
+FROM report_pieces_w p JOIN all_tasks t USING (task_id)""", "report_pieces_w", "all_tasks")
+_check("stream_tasks_once", "SELECT task_id, pr_id, repo_name, commit_sha, trigger_event FROM all_tasks", "all_tasks")
