@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from difftide.llm.common import record_batch, stored, whole_groups
@@ -37,6 +37,7 @@ LEAST = 8  # training occurrences that a context needs to be considered
 PRIOR = 4.0  # weight of the shorter state: PRIOR * count of the context ** POWER
 POWER = 0.75
 GAIN = 2.0  # nats that a state has to save
+UNIT = 1 << 16  # savings are summed as whole numbers of nats / UNIT, so their order can't matter
 BLOCK = 4 << 20  # bytes of text in a block, or one document
 SHARD = 2 << 20  # tokens of the corpus for each shard of a round
 
@@ -47,13 +48,13 @@ END = b""  # the token after a text's last word
 
 def squeeze(values: np.ndarray) -> bytes:
     """64-bit values, compressed byte by byte (their high bytes are mostly alike)."""
-    raw = np.ascontiguousarray(values if values.dtype == np.float64 else values.astype(np.int64))
+    raw = np.ascontiguousarray(values.astype(np.int64))
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
-def spread(packed: bytes, kind: type = np.int64) -> np.ndarray:
+def spread(packed: bytes) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, -1).T).view(kind).reshape(-1)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).reshape(-1)
 
 
 @dataclass
@@ -110,10 +111,10 @@ def answer(kind: str, keys: Sequence, sums: np.ndarray, shard: int, gain: float
         for k in keys:
             inner, values = pd.factorize(k)
             code = pd.factorize(code * len(values) + inner)[0]
-    total = np.zeros(code.max() + 1 if len(code) else 0, sums.dtype)
+    total = np.zeros(code.max() + 1 if len(code) else 0, np.int64)
     np.add.at(total, code, sums)
     if kind == "context":
-        return (total > gain).astype(np.int64)[code], np.zeros(len(code), np.int64)
+        return (total > gain * UNIT).astype(np.int64)[code], np.zeros(len(code), np.int64)
     brought = np.flatnonzero(sums > 0)
     owner = np.zeros(len(sums), np.int64)
     first = np.full(len(total), -1)
@@ -155,7 +156,7 @@ def replay(block: Block, all_tokens: int, all_words: int, depth: int = DEPTH, le
         new = np.diff(context, prepend=-1) > 0  # pairs are sorted by context
         of, c = np.cumsum(new) - 1, n[mine]
         saved = c * np.log((c - 1 + weight[mine] * shorter[mine]) / ((seen[mine] - 1 + weight[mine]) * shorter[mine]))
-        told, _ = yield Question("context", (context_id[context[new]],), np.bincount(of[mine], saved, int(new.sum())))
+        told, _ = yield Question("context", (context_id[context[new]],), np.bincount(of[mine], np.rint(saved * UNIT), int(new.sum())).astype(np.int64))
         p[at] = np.where(told[of] > 0, (n + weight * shorter) / (seen + weight), shorter)[which]
         own = np.full(len(codes), -1, np.int64)
         own[at] = which
@@ -189,13 +190,14 @@ def _block(batch: pa.RecordBatch, row: int) -> Block:
     return Block(words, spread(get("codes")), spread(get("sizes")), spread(get("held")) > 0)
 
 
-def _answered(block: Block, batch: pa.RecordBatch, row: int, rounds: int, shards: int, numbers: tuple[int, int], depth: int) -> Question | tuple[np.ndarray, ...]:
+def _answered(block: Block, batch: pa.RecordBatch, row: int, rounds: int, labels: np.ndarray, numbers: tuple[int, int], depth: int) -> Question | tuple[np.ndarray, ...]:
     """``replay`` with the answers of the row's columns ``answers0``, ``answers1`` ..."""
+    shards, place = len(labels), {label: k for k, label in enumerate(labels.tolist())}
     turn = replay(block, *numbers, depth)
     asked = next(turn)
     for k in range(rounds):
         order = np.argsort(asked.shards(shards), kind="stable")
-        parts = sorted(batch.column(f"answers{k}")[row].as_py() or [], key=lambda x: x["shard"])
+        parts = sorted(batch.column(f"answers{k}")[row].as_py() or [], key=lambda x: place[x["shard"]])
         pair = []
         for name in ("sums", "ids"):
             out = np.empty(len(order), np.int64)
@@ -205,13 +207,21 @@ def _answered(block: Block, batch: pa.RecordBatch, row: int, rounds: int, shards
     return asked
 
 
-def _ask(rounds: int, shards: int, numbers: tuple[int, int], depth: int):
+def even_labels(spark: SparkSession, n: int, parts: int) -> np.ndarray:
+    """``n`` different numbers that hash partitioning deals evenly to ``parts`` partitions."""
+    drawn = spark.range(0, 16 * n + 64 * parts).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("part"))
+    turn = F.row_number().over(Window.partitionBy("part").orderBy("id"))
+    return np.array([r["id"] for r in drawn.withColumn("turn", turn).orderBy("turn", "part").limit(n).collect()], np.int64)
+
+
+def _ask(rounds: int, labels: np.ndarray, numbers: tuple[int, int], depth: int):
     """Step over blocks with the answers of ``rounds`` rounds: (shard, block, first, second, sums) of the next question."""
+    shards = len(labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                asked = _answered(_block(batch, row), batch, row, rounds, shards, numbers, depth)
+                asked = _answered(_block(batch, row), batch, row, rounds, labels, numbers, depth)
                 shard = asked.shards(shards)
                 order = np.argsort(shard, kind="stable")
                 cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
@@ -222,7 +232,7 @@ def _ask(rounds: int, shards: int, numbers: tuple[int, int], depth: int):
                     keys = [[squeeze(k[r]) for r in rows] for k in asked.keys]
                     keys += [[b""] * len(rows)] * (2 - len(keys))
                 if rows:
-                    yield record_batch(shard=shard[order[cuts]], block=pa.array([batch.column("block")[row].as_py()] * len(rows), pa.int64()), first=pa.array(keys[0], pa.binary()), second=pa.array(keys[1], pa.binary()), sums=pa.array([squeeze(asked.sums[r]) for r in rows], pa.binary()))
+                    yield record_batch(shard=labels[shard[order[cuts]]], block=pa.array([batch.column("block")[row].as_py()] * len(rows), pa.int64()), first=pa.array(keys[0], pa.binary()), second=pa.array(keys[1], pa.binary()), sums=pa.array([squeeze(asked.sums[r]) for r in rows], pa.binary()))
 
     return run
 
@@ -234,7 +244,7 @@ def _tell(kind: str):
         for batch, edges in whole_groups(batches):
             for start, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 part = batch.slice(start, end - start)
-                sums = [spread(x, np.float64 if kind == "context" else np.int64) for x in part.column("sums").to_pylist()]
+                sums = [spread(x) for x in part.column("sums").to_pylist()]
                 if kind == "word":
                     keys = [w for x in part.column("first").to_pylist() for w in zstandard.ZstdDecompressor().decompress(x).split(b" ")]
                 else:
@@ -271,10 +281,11 @@ def scores(docs: DataFrame, held_out: str, id_column: str = "doc_id", text: str
     try:
         blocks = by_block(slim.mapInArrow(_encode, f"block bigint, n bigint, trained bigint, ids array<{kind}>, words binary, codes binary, sizes binary, held binary"))
         size = blocks.agg(F.sum("n").alias("n"), F.sum("trained").alias("trained")).first()
-        all_tokens, shards, all_words = size["trained"] or 0, max(4 * parts, (size["n"] or 0) // SHARD), 0
+        all_tokens, all_words = size["trained"] or 0, 0
+        labels = even_labels(spark, max(parts, (size["n"] or 0) // SHARD), parts)
         known = blocks
         for k, question in enumerate(["word", *["pair", "context"] * depth]):
-            asked = known.mapInArrow(_ask(k, shards, (all_tokens, all_words), depth), "shard bigint, block bigint, first binary, second binary, sums binary")
+            asked = known.mapInArrow(_ask(k, labels, (all_tokens, all_words), depth), "shard bigint, block bigint, first binary, second binary, sums binary")
             dealt = asked.repartition(parts, "shard").sortWithinPartitions("shard", "block")
             told = dealt.mapInArrow(_tell(question), "block bigint, shard bigint, sums binary, ids binary, owned bigint")
             table = by_block(told.groupBy("block").agg(F.collect_list(F.struct("shard", "sums", "ids")).alias(f"answers{k}"), F.sum("owned").alias(f"owned{k}")))
@@ -287,7 +298,7 @@ def scores(docs: DataFrame, held_out: str, id_column: str = "doc_id", text: str
             for batch in batches:
                 for row in range(batch.num_rows):
                     block = _block(batch, row)
-                    n_known, base, score = _answered(block, batch, row, rounds, shards, numbers, depth)
+                    n_known, base, score = _answered(block, batch, row, rounds, labels, numbers, depth)
                     yield record_batch(**{id_column: batch.column("ids")[row].values, "held_out": block.held, "n_tokens": block.sizes, "n_known": n_known, "train_tokens": np.full(len(n_known), all_tokens), "base_score": base, "score": score})
 
         return stored(known.mapInArrow(finish, f"`{id_column}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"))
