@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -281,12 +281,14 @@ def registered_agents() -> list[str]:
 def run_agent(name: str, contexts: DataFrame, files: DataFrame) -> DataFrame:
     """Findings of a registered agent, relabelled with its name.
 
-    The agent's own `seq` orders its rows in a task; findings that share one are told apart by a hash of what they
-    say, so that (task, seq) stays unique in the fan-in. Rows that are the same in everything count once.
+    Every row the agent returns is kept. Its own `seq` orders its rows in a task; findings that share one are told apart by a hash
+    of what they say, and rows that share that too (repeated ones) by a number, so (task, seq) is unique in the fan-in.
     """
-    rows = _AGENTS[name](contexts, files).withColumn("agent_id", F.lit(name)).select(*FINDING_COLUMNS).distinct()
-    said = F.xxhash64(*[c for c in FINDING_COLUMNS if c not in ("task_id", "pr_id", "seq")])
-    return rows.withColumn("seq", make_seq(F.lit(name), CUSTOM, F.col("seq"), F.lit(0), said))
+    rows = _AGENTS[name](contexts, files).withColumn("agent_id", F.lit(name)).select(*FINDING_COLUMNS)
+    said = [c for c in FINDING_COLUMNS if c not in ("task_id", "pr_id", "seq")]
+    alike = Window.partitionBy("task_id", "seq", F.xxhash64(*said)).orderBy("pr_id", *said)
+    numbered = rows.withColumn("_copy", F.row_number().over(alike) - 1)
+    return numbered.withColumn("seq", make_seq(F.lit(name), CUSTOM, F.col("seq"), F.col("_copy"), F.xxhash64(*said))).drop("_copy")
 
 
 def run_agents(contexts: DataFrame, files: DataFrame, names: Sequence[str] | None = None) -> list[DataFrame]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from difftide.functions.signing import hmac_sha256_hex
 from difftide.operators import diffs as df_ops
 from difftide.operators import events as ev
-from difftide.operators import extras, findings as fi, gate, layer_rules, memory, prompts, reports
+from difftide.operators import extras, findings as fi, gate, layer_rules, ledger, memory, prompts, reports
 from difftide.operators.bug_rules import BUG_RULES, empty_catch
 from difftide.operators.layer_rules import LAYER_RULES
 from difftide.operators.rules import scan
@@ -684,6 +686,28 @@ def scan_distinct(spark: SparkSession, sf: str) -> DataFrame:
     return extras.scan_distinct(_files(spark, sf), [BUG_RULES["rule_system_out"], BUG_RULES["rule_todo"]])
 
 
+def _halves(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tasks that came first, and the later ones."""
+    half = df.agg(F.max("task_id")).first()[0] // 2
+    return df.where(F.col("task_id") <= half), df.where(F.col("task_id") > half)
+
+
+@query
+def hunk_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Hunks to review of two runs with many pushes each; the second knows what the first has reviewed."""
+    book = shared_folder(spark, "hunk-ledger")
+    return reduce(DataFrame.unionByName, [ledger.review_push(rows, book, run) for run, rows in enumerate(_halves(df_ops.hunks(_files(spark, sf))))])
+
+
+@query
+def scan_cached(spark: SparkSession, sf: str) -> DataFrame:
+    """Rule hits of all files half an hour after half of them were scanned; contents known since then aren't scanned again."""
+    cache = shared_folder(spark, "scan-cache")
+    files, rules, at = _files(spark, sf), [BUG_RULES["rule_system_out"], BUG_RULES["rule_todo"]], datetime(2024, 1, 1)
+    ledger.cached_scan(_halves(files)[0], rules, "1", cache, 0, at, timedelta(hours=1))
+    return ledger.cached_scan(files, rules, "1", cache, 1, at + timedelta(minutes=30), timedelta(hours=1))
+
+
 @query
 def merged_findings(spark: SparkSession, sf: str) -> DataFrame:
     return extras.merge_findings(_findings(spark, sf))

@@ -575,6 +575,14 @@ WHERE contains(e.package, '.controller') AND contains(imported, '.repository.')
 }
 for _name, (_sql, _uses) in _layer_sql.items():
     _check(_name, _sql, *_uses)
+_cte("identified", """
+SELECT *, cast(row_number() OVER (PARTITION BY task_id, file_path, hunk_hash ORDER BY file_seq, hunk_seq) AS int) AS occurrence FROM (
+ SELECT task_id, pr_id, file_seq, hunk_seq, file_path, header, sha256(array_to_string(list_transform(
+  list_filter(string_split(lines, chr(10)), lambda l: starts_with(l, '+') OR starts_with(l, '-')), lambda l: length(l) || ':' || l), '')) AS hunk_hash FROM hunk_rows)""", "hunk_rows")
+_check("hunk_ledger", """
+SELECT i.* FROM identified i JOIN (SELECT pr_id, file_path, hunk_hash, occurrence, min(task_id) AS task_id FROM identified GROUP BY ALL) f
+USING (task_id, pr_id, file_path, hunk_hash, occurrence)""", "identified")
+_check("scan_cached", f"{_rule_sql['rule_system_out'][0]} UNION ALL {_rule_sql['rule_todo'][0]}", "lines")
 _check("scan_distinct", f"{_rule_sql['rule_system_out'][0]} UNION ALL {_rule_sql['rule_todo'][0]}", "lines")
 
 # -- agents ----------------------------------------------------------------------------------

@@ -79,3 +79,15 @@ def test_custom_agents(spark):
     assert [r.agent_id for r in sorted(found, key=lambda r: r.seq)][-1] == "all"
     got = sorted((r.agent_id, r.title) for r in found)
     assert got == [("all", "t"), ("logic", "No logic issues found"), ("security", "SYSTEM_OUT_USAGE")]
+
+
+def test_custom_agents_may_repeat_rows(spark):
+    """Every row counts, also rows alike in everything; each has a place of its own."""
+    df, changed = files(spark)
+    row = ["task_id", "pr_id", F.lit(0).cast("long").alias("seq"), F.lit("INFO").alias("severity"), F.lit("x").alias("category"), "file_path", F.lit(1).alias("line_start"),
+           F.lit(1).alias("line_end"), F.lit("t").alias("title"), F.col("d").alias("description"), F.lit("s").alias("suggestion")]
+    fi.register_agent("twice", lambda c, f: f.select("*", F.explode(F.array(*map(F.lit, "aabca"))).alias("d")).select(*row))
+    got = fi.run_agent("twice", diffs.contexts(df), changed).collect()
+    assert sorted(r.description for r in got) == list("aaabc") and len({(r.task_id, r.seq) for r in got}) == 5
+    again = fi.run_agent("twice", diffs.contexts(df), changed.repartition(3)).collect()
+    assert sorted((r.seq, r.description) for r in got) == sorted((r.seq, r.description) for r in again)

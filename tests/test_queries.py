@@ -58,3 +58,17 @@ def test_similar_vectors_in_blocks(spark):
     for qid, label, v in rows[::5]:
         near = sorted((-(unit(v) @ unit(w)), i) for i, other, w in rows if other == label and i != qid)[:3]
         assert [i for _, i in near] == [i for _, _, i in sorted(t for t in got if t[0] == qid)]
+
+
+def test_similar_vectors_of_any_shape(spark):
+    """Vectors that can't be compared take no part, and lengths don't mix."""
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, None), (4, []), (5, [1.0, None]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0]), (9, [0.0, 0.0]), (10, [2.0]), (11, [-1.0, 0.0])]
+    df = spark.createDataFrame([(k, "a", v) for k, v in rows] + [(12, None, [1.0, 0.0])], "vec_id long, label string, embedding array<float>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, round(r.cosine, 6)) for r in extras.similar_vectors(df, df, 2).collect()}
+    half = round(0.5**0.5, 6)
+    assert got == {
+        (1, 1): (2, half), (1, 2): (9, 0), (2, 1): (1, half), (2, 2): (9, 0), (8, 1): (10, 1), (10, 1): (8, 1),
+        (9, 1): (1, 0), (9, 2): (2, 0), (11, 1): (9, 0), (11, 2): (2, -half),
+    }
+    assert extras.similar_vectors(df.limit(0), df, 2).count() == 0
