@@ -15,6 +15,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -25,6 +26,8 @@ from difftide.llm.token_counts import OTHER, PRE_TOKEN, cut
 
 KNOWN = 1 << 17  # runs, and pre-tokens, whose ids a worker keeps, in each of two generations
 RUN_CHARS = 32  # longest run that is kept
+BLOCK = 6 << 20  # bytes of text that are replayed together, or one text
+DECODED = 1 << 20  # bytes of ids that are decoded at once, or one text's
 
 
 class Ranks:
@@ -66,7 +69,7 @@ def merge_replay(words: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarr
     after[ends[sizes > 0] - 1] = -1
     before = np.arange(-1, len(data) - 1)
     before[(ends - sizes)[sizes > 0]] = -1
-    ids, after, before, pairs = ranks.byte[data].tolist(), after.tolist(), before.tolist(), ranks.pairs
+    ids, after, before, made, pair = ranks.byte[data].tolist(), after.tolist(), before.tolist(), made.tolist(), ranks.pairs.get
     waiting = list(index)
     heapq.heapify(waiting)
     while waiting:
@@ -78,22 +81,26 @@ def merge_replay(words: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarr
         lower = False
         while places and not lower:
             at = places.pop()
-            nxt = after[at]
-            if nxt < 0 or ids[at] < 0 or pairs.get(ids[at] << 32 | ids[nxt]) != rank:
+            if made[at] != rank:
                 continue  # an earlier merge took one of the two
-            ids[at], ids[nxt] = rank, -1
+            nxt = after[at]
+            ids[at] = rank
+            ids[nxt] = made[at] = made[nxt] = -1
             after[at] = beyond = after[nxt]
             left = before[at]
-            if left >= 0 and (new := pairs.get(ids[left] << 32 | rank)) is not None:
-                if new in index:
-                    index[new].append(left)
-                else:
-                    index[new] = [left]
-                    heapq.heappush(waiting, new)
-                lower = new < rank
+            if left >= 0:
+                made[left] = new = pair(ids[left] << 32 | rank, -1)
+                if new >= 0:
+                    if new in index:
+                        index[new].append(left)
+                    else:
+                        index[new] = [left]
+                        heapq.heappush(waiting, new)
+                    lower = new < rank
             if beyond >= 0:
                 before[beyond] = at
-                if (new := pairs.get(rank << 32 | ids[beyond])) is not None:
+                made[at] = new = pair(rank << 32 | ids[beyond], -1)
+                if new >= 0:
                     if new in index:
                         index[new].append(at)
                     else:
@@ -159,10 +166,10 @@ class Encoder:
             return self.pattern.findall(text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.stand_ins))]
 
-    def learn(self, texts: Iterable[str | tuple[str]]) -> dict[str | tuple[str], bytes]:
+    def learn(self, texts: Iterable[str | tuple[str]], keep: set[str]) -> dict[str | tuple[str], bytes]:
         """Ids, as little-endian 32-bit integers, of runs; pre-tokens that no earlier block had are replayed as one block.
 
-        A run that opens its text has no space before it and comes as a tuple.
+        A run that opens its text has no space before it and comes as a tuple. The pre-tokens of the runs ``keep`` are kept.
         """
         found = {r: self.pre_tokens(r[0] if isinstance(r, tuple) else " " + r) for r in texts}
         ids: dict[str, bytes] = {}
@@ -183,9 +190,12 @@ class Encoder:
         for word, end in zip(block, ends.tolist()):
             ids[word] = packed[4 * at : 4 * end]
             at = end
-            if len(word) <= RUN_CHARS:
-                self.words.put(word, ids[word])
-        return {r: b"".join(map(ids.__getitem__, pieces)) for r, pieces in found.items()}
+        for run in keep:
+            for word in found[run]:
+                if word in block and len(word) <= RUN_CHARS:
+                    self.words.put(word, ids[word])
+        get = ids.__getitem__
+        return {r: get(pieces[0]) if len(pieces) == 1 else b"".join(map(get, pieces)) for r, pieces in found.items()}
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, the ends of each). The different runs of all texts are a block."""
@@ -196,18 +206,21 @@ class Encoder:
             at[edge] = len(different) + first.setdefault((different[at[edge]],), len(first))
         block = [*different, *first]
         values = list(map(self.runs.get, block))
-        fresh = self.learn([r for r, v in zip(block, values) if v is None])
+        # What stands once in a block is rarely seen again, and keeping it would drive out what is.
+        often = set(map(different.__getitem__, np.flatnonzero(np.bincount(at, minlength=len(block))[: len(different)] > 1).tolist()))
+        unknown = [r for r, v in zip(block, values) if v is None]
+        keep = {r for r in unknown if r in often and len(r) <= RUN_CHARS}
+        fresh = self.learn(unknown, keep)
         values = [fresh[r] if v is None else v for r, v in zip(block, values)]
-        for r, v in fresh.items():
-            if isinstance(r, str) and len(r) <= RUN_CHARS:
-                self.runs.put(r, v)
+        for r in keep:
+            self.runs.put(r, fresh[r])
         sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
         ids, ends = gathered(np.frombuffer(b"".join(values), "<u4"), sizes, at)
         return ids, ends[edges[1:] - 1]
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
-_TOKENS: dict[str, dict[int, bytes]] = {}
+_TOKENS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -227,7 +240,13 @@ def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id",
         return record_batch(**{id_column: batch.column(0), "n_tokens": pa.array(np.diff(edges)), "ids": packed})
 
     slim = docs.select(id_column, F.coalesce(F.col(text), F.lit("")).alias("body"))
-    return arrow_map(slim, step, f"`{id_column}` {docs.schema[id_column].dataType.simpleString()}, n_tokens bigint, ids binary")
+    return arrow_map(slim, step, f"`{id_column}` {docs.schema[id_column].dataType.simpleString()}, n_tokens bigint, ids binary", BLOCK)
+
+
+def _by_rank(token: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(the bytes of all tokens one after the other, the size of each) in order of rank; a rank without a token has size 0."""
+    every = [token.get(r, b"") for r in range(max(token) + 1)]
+    return np.frombuffer(b"".join(every), np.uint8), np.fromiter(map(len, every), np.int64, len(every))
 
 
 def decode(encoded: DataFrame, path: str, id_column: str = "doc_id") -> DataFrame:
@@ -235,10 +254,19 @@ def decode(encoded: DataFrame, path: str, id_column: str = "doc_id") -> DataFram
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         if path not in _TOKENS:
-            _TOKENS[path] = Ranks.read(path).token
-        token = _TOKENS[path].__getitem__
-        texts = [None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in batch.column(2).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
+            _TOKENS[path] = _by_rank(Ranks.read(path).token)
+        tokens, sizes = _TOKENS[path]
+        packed = batch.column(2)
+        _, edges, data = packed.fill_null(b"").cast(pa.large_binary()).buffers()
+        edges = np.frombuffer(edges, np.int64, len(packed) + 1)
+        ids = np.frombuffer(data or b"", np.uint8)[edges[0] : edges[-1]].view("<u4").astype(np.int64)
+        if not sizes[ids].all():
+            raise ValueError("an id is not in the vocabulary")
+        flat, ends = gathered(tokens, sizes, ids)
+        at = np.concatenate([[0], ends])[(edges - edges[0]) // 4]
+        texts = pa.Array.from_buffers(pa.binary(), len(packed), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(flat.tobytes())])
+        texts = pc.if_else(packed.is_null(), pa.scalar(None, pa.binary()), texts) if packed.null_count else texts
+        return pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "decoded"])
 
     slim = encoded.select(id_column, "n_tokens", "ids")
-    return arrow_map(slim, step, f"`{id_column}` {encoded.schema[id_column].dataType.simpleString()}, n_tokens bigint, ids binary, decoded binary")
+    return arrow_map(slim, step, f"`{id_column}` {encoded.schema[id_column].dataType.simpleString()}, n_tokens bigint, ids binary, decoded binary", DECODED)

@@ -100,12 +100,12 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE) -> Iterator[pa.RecordBatch
         yield batch.slice(start, rows)
 
 
-def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
-    """Map every slice of every Arrow batch of ``df`` by ``step``."""
+def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, limit: int = SLICE) -> DataFrame:
+    """Map every slice (of about ``limit`` bytes) of every Arrow batch of ``df`` by ``step``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit):
                 out = step(part)
                 if out is not None and out.num_rows:
                     yield out
