@@ -1,10 +1,12 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 A text's terms are its words, in lower case, and their first 4, 5 and 6 letters (``idio*``), so that inflected
-forms meet. Terms enter the index if the examples' labels depend on them (chi-square), at most ``TERMS``. Postings are
-kept in blocks of ``BLOCK`` examples with each term's largest weight in the block; blocks are scored in the order
-of their upper bounds until no bound can reach the k-th best any more, so the neighbours are exact. They vote by
-squared cosine against the base rate, which gives a score from 0 to 1, and are returned as evidence.
+forms meet. Terms enter the index by how much the examples' labels depend on them (chi-square), at most ``TERMS``; those that
+say nothing about the label stay out. Postings are kept in blocks of ``BLOCK`` examples with each term's largest weight
+in the block; blocks are scored in the order of their upper bounds until no bound can reach the k-th best any more, so
+the neighbours are exact among these terms. They vote by squared cosine against the base rate and are returned as
+evidence. The share of votes becomes a probability by a logistic curve, fitted to the votes that the examples
+themselves get from all others.
 """
 
 from __future__ import annotations
@@ -21,15 +23,17 @@ from pyspark.sql import functions as F
 from difftide.llm.common import arrow_map, gathered, record_batch, slices, stored
 
 EXAMPLES = 12_000  # labelled rows that the index is fitted on, at most (chosen by a hash of the id)
-TERMS = 1_024  # terms of the index: with EXAMPLES it bounds the index to 12,000 * 1,024 postings
-DEPENDENT = 24.0  # chi-square from which a term counts as dependent on the label (p < 1e-6)
-LEAST = 4  # examples that a term must occur in
+TERMS = 4_096  # terms of the index: with EXAMPLES it bounds the index to 12,000 * 4,096 postings
+DEPENDENT = 6.0  # chi-square from which a term counts as dependent on the label (p < 0.015)
+LEAST = 2  # examples that a term must occur in
 PREFIXES = (4, 5, 6)
 FIT_TASKS = 16  # tasks that read the fitting rows
 BLOCK = 64
 NEIGHBOURS = 15
 PRIOR = 0.3  # weight of the base rate, in neighbours of cosine 1
-REMEMBERED = 1 << 16  # scored term vectors that a worker keeps
+REMEMBERED = 1 << 15  # scored term vectors that a worker keeps
+DIGITS = 9  # of a cosine: sums in another order give equal ones
+IDENTITY = 1.0  # weight that holds the curve to the plain share of votes where examples are few
 
 
 def terms_of(word: str) -> list[str]:
@@ -74,6 +78,8 @@ class BlockMaxIndex:
             if len(terms):
                 entries.setdefault((terms.tobytes(), counts.tobytes()), []).append(k)
         groups = list(entries.values())
+        self.entry = {key: e for e, key in enumerate(entries)}
+        self.slope, self.shift = 1.0, 0.0
         self.size = np.array([len(g) for g in groups], np.int64)
         self.toxic = np.array([sum(labels[k] for k in g) for g in groups], np.float64)
         self.example = np.array([min(ids[k] for k in g) for g in groups], np.int64)
@@ -96,8 +102,12 @@ class BlockMaxIndex:
         w = (1 + np.log(counts)) * self.idf[terms]
         return w / np.sqrt((w * w).sum())
 
-    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """(entries, cosines) nearest first, until they stand for ``k`` examples; ties to the smaller example id."""
+    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """(entries, cosines) nearest first, until they stand for ``k`` examples; ties to the smaller example id.
+
+        Of entry ``leave`` one example takes no part.
+        """
+        size_of = self._sizes(leave)
         query = self.weights(terms, counts)
         bounds = query @ self.block_max[terms]
         todo = np.argsort(-bounds, kind="stable")
@@ -107,8 +117,8 @@ class BlockMaxIndex:
         while done < len(todo):
             if len(found):
                 order = np.lexsort((self.example[found], -cosines))
-                last = np.searchsorted(np.cumsum(self.size[found[order]]), k)
-                if last < len(found) and bounds[todo[done]] < cosines[order[last]]:
+                last = np.searchsorted(np.cumsum(size_of[found[order]]), k)
+                if last < len(found) and bounds[todo[done]] < cosines[order[last]] - 10.0**-DIGITS:
                     break  # no block left can hold a nearer example
             part = todo[done : done + width]
             done, width = done + width, 2 * width
@@ -119,20 +129,55 @@ class BlockMaxIndex:
             place = np.repeat(np.tile(np.arange(len(part)) - part, len(terms)) * BLOCK, size) + self.entries[at]
             scores = np.bincount(place, np.repeat(np.repeat(query, len(part)), size) * self.entry_weights[at], len(part) * BLOCK)
             hit = np.flatnonzero(scores)
-            found = np.concatenate([found, part[hit // BLOCK] * BLOCK + hit % BLOCK])
-            cosines = np.concatenate([cosines, scores[hit]])
+            entry = part[hit // BLOCK] * BLOCK + hit % BLOCK
+            found = np.concatenate([found, entry])
+            cosines = np.concatenate([cosines, scores[hit].round(DIGITS)])
         order = np.lexsort((self.example[found], -cosines))
-        last = np.searchsorted(np.cumsum(self.size[found[order]]), k) + 1
+        last = np.searchsorted(np.cumsum(size_of[found[order]]), k) + 1
         return found[order[:last]], cosines[order[:last]]
 
+    def _sizes(self, leave: int) -> np.ndarray:
+        if leave < 0:
+            return self.size
+        fewer = self.size.copy()
+        fewer[leave] -= 1
+        return fewer
+
+    def votes(self, terms: np.ndarray, counts: np.ndarray, leave: int = -1, label: int = 0) -> tuple[float, np.ndarray]:
+        """(share of toxic votes by squared cosine, with the base rate as ``PRIOR`` neighbours; entries).
+
+        One example of entry ``leave``, with its ``label``, has no vote.
+        """
+        near, cosines = self.nearest(terms, counts, leave=leave)
+        votes = np.minimum(cosines, 1.0) ** 2
+        toxic = self.toxic[near] - label * (near == leave)
+        total = (votes * self._sizes(leave)[near]).sum() + PRIOR
+        return float(((votes * toxic).sum() + PRIOR * self.rate) / total), near
+
+    def votes_of_others(self, terms: np.ndarray, counts: np.ndarray, label: int) -> float:
+        """The share that an example gets from all other examples."""
+        return self.votes(terms, counts, self.entry[terms.tobytes(), counts.tobytes()], label)[0]
+
+    def calibrate(self, shares: np.ndarray, labels: np.ndarray) -> None:
+        """Fit the curve from shares to probabilities: logistic regression on the log odds, by Newton steps."""
+        x = np.stack([np.log(shares / (1 - shares)), np.ones(len(shares))], 1)
+        start = np.array([1.0, 0.0])
+        w = start.copy()
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            slope = x.T @ (p - labels) + IDENTITY * (w - start)
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + IDENTITY * np.eye(2), slope)
+            w = w - step * min(1.0, 1.0 / max(1e-12, np.abs(step).max()))
+        if w[0] > 0:  # else votes and labels disagree: the plain share stays
+            self.slope, self.shift = float(w[0]), float(w[1])
+
     def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
-        """(score, example ids): votes by squared cosine, against the base rate."""
+        """(score, example ids): the calibrated share of votes and the nearest examples."""
         if not len(terms):
             return self.rate_without, []
-        near, cosines = self.nearest(terms, counts)
-        votes = np.minimum(cosines, 1.0) ** 2
-        total = (votes * self.size[near]).sum() + PRIOR
-        return float(((votes * self.toxic[near]).sum() + PRIOR * self.rate) / total), self.example[near[:3]].tolist()
+        share, near = self.votes(terms, counts)
+        odds = self.slope * np.log(share / (1 - share)) + self.shift
+        return float(1 / (1 + np.exp(-odds))), self.example[near[:3]].tolist()
 
 
 def _min_hash(words: np.ndarray) -> int:
@@ -188,12 +233,24 @@ def fit(examples: DataFrame, id_column: str = "doc_id", text: str = "text", labe
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = _counts(batch.column(2), number)
-        return record_batch(id=batch.column(0), label=batch.column(1), terms=pa.array([r[0].tolist() for r in rows], pa.list_(pa.int64())), counts=pa.array([r[1].tolist() for r in rows], pa.list_(pa.int64())))
+        return record_batch(id=batch.column(0), label=batch.column(1), terms=pa.array([r[0].tolist() for r in rows], pa.list_(pa.int32())), counts=pa.array([r[1].tolist() for r in rows], pa.list_(pa.int32())))
 
     slim = examples.select(F.coalesce(F.col(id_column).cast("long"), F.lit(-1)), F.col(label).cast("int"), text)
-    rows = arrow_map(slim, count, "id bigint, label int, terms array<bigint>, counts array<bigint>").orderBy("id").toPandas()  # bounded: EXAMPLES, TERMS
+    counted_rows = stored(arrow_map(slim, count, "id bigint, label int, terms array<int>, counts array<int>"))
+    rows = counted_rows.orderBy("id").toPandas()  # bounded: EXAMPLES, TERMS
     vectors = [(np.array(t, np.int64), np.array(c, np.int64)) for t, c in zip(rows["terms"], rows["counts"])]
-    return number, BlockMaxIndex(vectors, rows["label"].tolist(), rows["id"].tolist(), idf)
+    index = BlockMaxIndex(vectors, rows["label"].tolist(), rows["id"].tolist(), idf)
+    shared = examples.sparkSession.sparkContext.broadcast(index)  # bounded like the rows
+
+    def of_others(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = zip(*(batch.column(k).to_pylist() for k in range(3)))
+        shares = [shared.value.votes_of_others(np.array(t, np.int64), np.array(c, np.int64), of) for of, t, c in rows]
+        return record_batch(label=batch.column(0), share=pa.array(shares, pa.float64()))
+
+    own = arrow_map(counted_rows.where(F.size("terms") > 0).select("label", "terms", "counts"), of_others, "label int, share double")
+    judged = own.orderBy("share", "label").toPandas()  # EXAMPLES rows of two numbers; in order, so sums don't vary
+    index.calibrate(judged["share"].to_numpy(), judged["label"].to_numpy(np.float64))
+    return number, index
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
