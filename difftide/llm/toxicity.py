@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from difftide.llm.common import arrow_map, gathered, record_batch, slices, stored
 
 EXAMPLES = 12_000  # labelled rows that the index is fitted on, at most (chosen by a hash of the id)
-TERMS = 4_096  # terms of the index: with EXAMPLES it bounds the index to 12,000 * 4,096 postings
+TERMS = 2_048  # terms of the index: with EXAMPLES it bounds the index to 12,000 * 2,048 postings
 DEPENDENT = 6.0  # chi-square from which a term counts as dependent on the label (p < 0.015)
 LEAST = 2  # examples that a term must occur in
 PREFIXES = (4, 5, 6)
@@ -116,26 +116,42 @@ class BlockMaxIndex:
         done, width = 0, 4
         while done < len(todo):
             if len(found):
-                order = np.lexsort((self.example[found], -cosines))
-                last = np.searchsorted(np.cumsum(size_of[found[order]]), k)
-                if last < len(found) and bounds[todo[done]] < cosines[order[last]] - 10.0**-DIGITS:
-                    break  # no block left can hold a nearer example
+                best = self._order(found, cosines, k)
+                last = np.searchsorted(np.cumsum(size_of[found[best]]), k)
+                if last < len(best):  # only blocks that can hold an example as near go on
+                    todo = todo[: np.searchsorted(-bounds[todo], 10.0**-DIGITS - cosines[best[last]], "right")]
+                    if done >= len(todo):
+                        break
+            if done and 4 * (len(todo) - done) > self.blocks:  # many blocks are left: whole lists cost less than pieces of them
+                found, cosines = self._scored(terms, query, np.zeros(len(terms), np.int64), np.full(len(terms), self.blocks))
+                break
             part = todo[done : done + width]
             done, width = done + width, 2 * width
-            lists = (terms[:, None] * self.blocks + part).ravel()
-            size = self.starts[lists + 1] - self.starts[lists]
-            ends = np.cumsum(size)
-            at = np.repeat(self.starts[lists] - (ends - size), size) + np.arange(ends[-1])
-            place = np.repeat(np.tile(np.arange(len(part)) - part, len(terms)) * BLOCK, size) + self.entries[at]
-            scores = np.bincount(place, np.repeat(np.repeat(query, len(part)), size) * self.entry_weights[at], len(part) * BLOCK)
-            hit = np.flatnonzero(scores)
-            entry = part[hit // BLOCK] * BLOCK + hit % BLOCK
-            found = np.concatenate([found, entry])
-            cosines = np.concatenate([cosines, scores[hit].round(DIGITS)])
-        order = np.lexsort((self.example[found], -cosines))
+            of = np.repeat(np.arange(len(terms)), len(part))
+            at = np.tile(part, len(terms))
+            entry, cosine = self._scored(terms[of], query[of], at, at + 1)
+            found, cosines = np.concatenate([found, entry]), np.concatenate([cosines, cosine])
+        order = self._order(found, cosines, k)
         last = np.searchsorted(np.cumsum(size_of[found[order]]), k) + 1
         return found[order[:last]], cosines[order[:last]]
 
+    def _order(self, found: np.ndarray, cosines: np.ndarray, k: int) -> np.ndarray:
+        """Places of the nearest, in order: more than ``k`` and all of one cosine, so that they stand for ``k`` examples."""
+        some = np.arange(len(found))
+        if len(found) > k + 1:  # one entry may be left with no example
+            some = np.flatnonzero(cosines >= np.partition(cosines, -(k + 1))[-(k + 1)])
+        return some[np.lexsort((self.example[found[some]], -cosines[some]))]
+
+    def _scored(self, terms: np.ndarray, query: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(entries, cosines) from the postings of each term in blocks ``first`` up to ``last``."""
+        edges = zip((terms * self.blocks + first).tolist(), (terms * self.blocks + last).tolist(), query.tolist())
+        lists = [(a, b, q) for i, j, q in edges if (a := self.starts[i]) < (b := self.starts[j])]
+        entries = np.concatenate([np.zeros(0, np.int64), *(self.entries[a:b] for a, b, _ in lists)])
+        weights = np.concatenate([np.zeros(0), *(self.entry_weights[a:b] * q for a, b, q in lists)])
+        scores = np.bincount(entries, weights)
+        hit = np.flatnonzero(scores)
+        return hit, scores[hit].round(DIGITS)
+
     def _sizes(self, leave: int) -> np.ndarray:
         if leave < 0:
             return self.size
