@@ -264,7 +264,7 @@ def fit(examples: DataFrame, id_column: str = "doc_id", text: str = "text", labe
         return record_batch(label=batch.column(0), share=pa.array(shares, pa.float64()))
 
     own = arrow_map(counted_rows.where(F.size("terms") > 0).select("label", "terms", "counts"), of_others, "label int, share double")
-    judged = own.orderBy("share", "label").toPandas()  # EXAMPLES rows of two numbers; in order, so sums don't vary
+    judged = own.toPandas().sort_values(["share", "label"])  # EXAMPLES rows of two numbers; in order, so sums don't vary
     index.calibrate(judged["share"].to_numpy(), judged["label"].to_numpy(np.float64))
     return number, index
 
