@@ -228,7 +228,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id",
 
     ``path`` names a file of base64 tokens and ranks, ``pattern`` the pre-token pattern; it has to start a
     new match before a space that a visible character follows. A null or empty text has no ids. Null and
-    repeated ids keep their rows; other columns are not read.
+    repeated ids keep their rows; other columns are not read. A very long text is encoded whole, in one task. An empty table
+    gives no rows.
     """
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -60,6 +60,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(taken: Sequence[str], *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``taken`` is called so (Spark compares names without case)."""
+    used = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def global_rank(df: DataFrame, order: Sequence[str | Column], out: str = "global_rank") -> DataFrame:
     """``df`` with its 0-based position in the order given, gapless over all partitions.
 
@@ -68,14 +79,15 @@ def global_rank(df: DataFrame, order: Sequence[str | Column], out: str = "global
     each partition meets in one place.
     """
     parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    row, at, ahead = free_names([*df.columns, out], "__row", "__part", "__before")
     ranged = df.repartitionByRange(int(parts), *order).sortWithinPartitions(*order)
-    numbered = stored(ranged.withColumn("__row", F.monotonically_increasing_id()))
-    part = F.shiftright("__row", INDEX_BITS)
-    counts = numbered.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    ranked = numbered.withColumn("__part", part).join(F.broadcast(offsets), "__part")  # one row per partition
-    return ranked.withColumn(out, F.col("__before") + F.col("__row").bitwiseAND(F.lit((1 << INDEX_BITS) - 1))).drop("__row", "__part", "__before")
+    numbered = stored(ranged.withColumn(row, F.monotonically_increasing_id()))
+    part = F.shiftright(row, INDEX_BITS)
+    counts = numbered.groupBy(part.alias(at)).agg(F.count("*").alias("__n"))
+    before = Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(at, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(ahead))
+    ranked = numbered.withColumn(at, part).join(F.broadcast(offsets), at)  # one row per partition
+    return ranked.withColumn(out, F.col(ahead) + F.col(row).bitwiseAND(F.lit((1 << INDEX_BITS) - 1))).drop(row, at, ahead)
 
 
 def counts_within(df: DataFrame, key: str, out: str) -> DataFrame:

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from difftide.llm.common import arrow_map, gathered, global_rank, record_batch, stored
+from difftide.llm.common import arrow_map, free_names, gathered, global_rank, record_batch, stored
 from difftide.llm.token_counts import Bounded, byte_characters
 
 WINDOW = 2_048
@@ -150,28 +150,31 @@ def plan(counts: dict[int, int], window: int) -> list[tuple[int, int, int, int,
     return out
 
 
-def packed(cut: DataFrame, window: int = WINDOW, order: tuple[str, ...] = ("doc_id", "start"), length: str = "length") -> DataFrame:
-    """``cut`` (pieces of 1 to ``window`` tokens) with ``sequence_id`` (gapless from 0) and ``offset`` in it.
+def packed(cut: DataFrame, window: int = WINDOW, order: tuple[str, ...] = ("doc_id", "start"), length: str = "length", sequence: str = "sequence_id", offset: str = "offset") -> DataFrame:
+    """``cut`` (pieces of 1 to ``window`` tokens) with its sequence (gapless from 0) and the offset in it.
 
     ``order`` breaks ties among pieces of one length; pieces that are equal in it too may swap places. The
-    driver gets the histogram of lengths (``window`` entries at most) and makes the plan from it.
+    driver gets the histogram of lengths (``window`` entries at most) and makes the plan from it. Columns of the caller stay,
+    but for those called ``sequence`` or ``offset``, which the result replaces: name the new ones otherwise to keep both.
+    An empty table gives no rows; repeated rows and nulls in other columns are pieces like any other.
     """
-    ranked = stored(global_rank(stored(cut), [F.col(length).desc(), *order], "__rank"))  # stored: ranges are sampled first
+    rank_at, to_sequence, to_offset = free_names(cut.columns, "__rank", "__sequence", "__offset")
+    ranked = stored(global_rank(stored(cut), [F.col(length).desc(), *order], rank_at))  # stored: ranges are sampled first
     counts = {r[length]: r["n"] for r in ranked.groupBy(length).agg(F.count("*").alias("n")).collect()}
     first = dict(zip(sorted(counts, reverse=True), np.cumsum([0, *(counts[n] for n in sorted(counts, reverse=True))])[:-1].tolist()))
-    rows = sorted((first[n] + rank, each, sequence, n, offset) for n, rank, _, sequence, each, offset in plan(counts, window))
+    rows = sorted((first[n] + rank, each, turn, n, place) for n, rank, _, turn, each, place in plan(counts, window))
     table = ranked.sparkSession.sparkContext.broadcast(np.array(rows, np.int64).reshape(-1, 5))
-    at = ranked.schema.names.index("__rank")
+    at = ranked.schema.names.index(rank_at)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         rank = batch.column(at).to_numpy()
-        start, each, sequence, size, offset = table.value[np.searchsorted(table.value[:, 0], rank, "right") - 1].T
+        start, each, to, size, place = table.value[np.searchsorted(table.value[:, 0], rank, "right") - 1].T
         turn, slot = np.divmod(rank - start, each)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequence + turn), pa.array(offset + slot * size)], names=[*batch.schema.names, "__sequence", "__offset"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(to + turn), pa.array(place + slot * size)], names=[*batch.schema.names, to_sequence, to_offset])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields)
-    placed = arrow_map(ranked, step, f"{schema}, __sequence bigint, __offset bigint")
-    return placed.drop("__rank", "sequence_id", "offset").withColumnsRenamed({"__sequence": "sequence_id", "__offset": "offset"})
+    placed = arrow_map(ranked, step, f"{schema}, `{to_sequence}` bigint, `{to_offset}` bigint")
+    return placed.drop(rank_at, sequence, offset).withColumnsRenamed({to_sequence: sequence, to_offset: offset})
 
 
 def unpacked_ids(value: bytes) -> list[int]:
@@ -183,7 +186,9 @@ def pack_documents(docs: DataFrame, path: str, end: int = 1, window: int = WINDO
     """Pieces of all documents with their places. Sequences not full to ``window`` are padded by the reader.
 
     With ``keep_ids`` false the ids themselves are left out after their checksum is taken, so that only
-    numbers move.
+    numbers move. A null text counts as empty and is one piece, its end. Null and repeated ids keep their rows, and every
+    row is packed; pieces equal in length, id and start may swap places. A very long text is tokenized whole and becomes as
+    many pieces as it fills. An empty table gives no rows. Other columns are not read.
     """
     cut = pieces(docs, path, end, window, id_column, text)
     return packed(cut if keep_ids else cut.drop("ids"), window, (id_column, "start"))

@@ -227,7 +227,8 @@ def quality(docs: DataFrame, id_column: str = "doc_id", text: str = "text", reje
     """``id_column``, ``votes`` (by labeller), ``weak_label`` (posterior), ``score`` (0 to 1), ``kept`` of every row.
 
     ``kept`` is score >= ``reject``. A null text counts as empty; nobody votes on a text without words, so its weak label is the
-    share of good texts. Null and repeated ids keep their rows. Other columns are not read.
+    share of good texts. Null and repeated ids keep their rows. A very long text is read whole and scored like any other; an empty table gives no
+    rows. Other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, id_column, text, fit_rows))
 

@@ -145,7 +145,7 @@ def shard_documents(docs: DataFrame, shards: int | None = SHARDS, capacity: int
 
     Either so many ``shards`` of near-equal bytes, or as few shards of ``capacity`` bytes as best fit gives. Equal
     texts stay together; null and empty texts form one group of size 8 a row. Repeated rows and null ids
-    keep their rows. An empty table has no shards. Other columns are not read.
+    keep their rows. A very long text is never cut. An empty table has no shards. Other columns are not read.
     """
     if (shards is None) == (capacity is None):
         raise ValueError("give either the number of shards or their capacity")

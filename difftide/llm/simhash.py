@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from difftide.llm.common import Forest, arrow_map, record_batch, stored, whole_groups
+from difftide.llm.common import Forest, arrow_map, free_names, record_batch, stored, whole_groups
 from difftide.llm.graph import components
 
 WORDS = 3  # of a shingle
@@ -147,7 +147,8 @@ def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
 
     A null text counts as empty; texts without words have fingerprint zero and link like any other. Rows with a null
     id get their fingerprint, and the component that it belongs to if another row has one, else null. Repeated
-    rows stay; rows of one id with different texts link by their texts alone. Other columns are not read.
+    rows stay; rows of one id with different texts link by their texts alone. A very long text gives all its shingles. An
+    empty table gives no rows. Other columns are not read.
     """
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -167,8 +168,9 @@ def keep_one(docs: DataFrame, groups: DataFrame, id_column: str = "doc_id", text
 
     Of rows that repeat an id and a fingerprint one stays, that of the least hash of its text; other texts of the id are
     decided by their own group, and all stay whose group it leads. Of rows with a null id one stays for each fingerprint,
-    also beside a row with an id.
+    also beside a row with an id. All columns stay, whatever they are called.
     """
+    own, lead, mark, row = free_names(docs.columns, "__fingerprint", "__id", "__print", "__row")
     by_id = groups.where(F.col(id_column).isNotNull()).groupBy(id_column).agg(F.count("*").alias("n"), F.min("component_id").alias("least"))
     other = stored(by_id.where((F.col("n") > 1) | (F.col(id_column) > F.col("least"))).select(id_column, "n"))
     repeated = stored(other.where("n > 1").select(id_column))
@@ -178,10 +180,10 @@ def keep_one(docs: DataFrame, groups: DataFrame, id_column: str = "doc_id", text
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         prints = [f"{fingerprint(t or '', words):016x}" for t in batch.column(at).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.string())], names=[*batch.schema.names, "__fingerprint"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.string())], names=[*batch.schema.names, own])
 
-    printed = arrow_map(rest, step, StructType(list(docs.schema.fields)).add("__fingerprint", StringType()))
-    leads = groups.where(F.col(id_column).isNull() | (F.col(id_column) == F.col("component_id"))).select(F.col(id_column).alias("__id"), F.col("fingerprint").alias("__print")).distinct()
-    leading = printed.join(leads, F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__fingerprint") == F.col("__print")), "left_semi")
-    one = leading.groupBy(id_column, "__fingerprint").agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64(text), text)).alias("__row"))
-    return single.unionByName(one.select(*[F.col("__row")[c].alias(c) for c in docs.columns]))
+    printed = arrow_map(rest, step, StructType(list(docs.schema.fields)).add(own, StringType()))
+    leads = groups.where(F.col(id_column).isNull() | (F.col(id_column) == F.col("component_id"))).select(F.col(id_column).alias(lead), F.col("fingerprint").alias(mark)).distinct()
+    leading = printed.join(leads, F.col(id_column).eqNullSafe(F.col(lead)) & (F.col(own) == F.col(mark)), "left_semi")
+    one = leading.groupBy(id_column, own).agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64(text), text)).alias(row))
+    return single.unionByName(one.select(*[F.col(row)[c].alias(c) for c in docs.columns]))

@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from difftide.llm.common import record_batch, stored, whole_groups
+from difftide.llm.common import free_names, record_batch, stored, whole_groups
 
 LENGTH = 100
 GRAM = 32
@@ -398,6 +398,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     ``kept`` is the text without the removed bytes; a character that is removed in part stays whole in it. A null text
     counts as empty (its ``kept`` is empty). A null id comes before all others. Rows of one id and text are
     one document and get the same result; of different texts under one id, one (always the same) comes first.
+    A very long text is hashed in segments and judged whole. An empty table gives no rows.
     Other columns are not read.
     """
     spark = docs.sparkSession
@@ -448,8 +449,12 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
 
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with each text cut down to what no earlier document or passage has; null texts stay null."""
-    key = [F.col(id_column).eqNullSafe(F.col("__id")), F.xxhash64(F.col(text).cast("binary")) == F.col("__h")]
+    """``docs`` with each text cut down to what no earlier document or passage has; null texts stay null.
+
+    All rows and columns stay, whatever the columns are called; ids, ties and repeated rows count as in ``remove_repeats``.
+    """
+    own, digest, rest = free_names(docs.columns, "__id", "__h", "__kept")
+    key = [F.col(id_column).eqNullSafe(F.col(own)), F.xxhash64(F.col(text).cast("binary")) == F.col(digest)]
     changed = remove_repeats(docs, id_column, text, with_text=True).where("n_removed > 0")
-    changed = changed.select(F.col(id_column).alias("__id"), F.col("h").alias("__h"), F.col("kept").alias("__kept")).dropDuplicates(["__id", "__h"])
-    return docs.join(changed, key[0] & key[1], "left").withColumn(text, F.coalesce("__kept", text)).select(docs.columns)
+    changed = changed.select(F.col(id_column).alias(own), F.col("h").alias(digest), F.col("kept").alias(rest)).dropDuplicates([own, digest])
+    return docs.join(changed, key[0] & key[1], "left").withColumn(text, F.coalesce(rest, text)).select(docs.columns)

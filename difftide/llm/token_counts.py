@@ -171,7 +171,8 @@ def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text: st
 
     ``path`` names a tokenizers file with a byte-level BPE that adds no space before the text. A null text
     counts as empty (0, 0). Strings of special tokens inside a text count as the library counts them. Null
-    and repeated ids keep their rows; other columns of ``docs`` are not read.
+    and repeated ids keep their rows; other columns of ``docs`` are not read. A very long text is counted whole, in one task.
+    An empty table gives no rows.
     """
     first = RunCounter(path, {})
     table = docs.sparkSession.sparkContext.broadcast(_pack({r: first._run(r) for r in frequent_runs(docs, id_column, text)}))

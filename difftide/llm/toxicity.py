@@ -287,8 +287,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     """``id_column``, ``held_out``, ``score`` (0 to 1), ``predicted`` (score >= 0.5), ``evidence`` of every row.
 
     ``evidence`` holds the ids of up to three nearest examples. A null text counts as empty; texts without any term of
-    the index get the rate of such examples. Without any label to learn from every score is 0. Null and repeated ids keep their rows; a null label teaches nothing, of several labels the largest
-    counts. Other columns are not read.
+    the index get the rate of such examples. Without any label to learn from every score is 0. Null and repeated ids keep
+    their rows; a null label teaches nothing, of several labels the largest counts. Neighbours of one cosine go by the
+    smaller id. A very long text is read whole; an empty table gives no rows. Other columns are not read.
     """
     scored = _scorer(docs, labels, id_column, text, label)
 

@@ -84,3 +84,13 @@ def test_hot_length_and_empty(spark):
         used[r.sequence_id] += r.length
     assert len(rows) == 5000 and max(used.values()) <= 16 and len(used) == -(-sum(r.length for r in rows) // 16)
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(k, 0, k % 5 + 1, k, "r", 3.5, None if k % 2 else k, "s") for k in range(50)]
+    cut = spark.createDataFrame(rows, "doc_id long, start long, length long, __rank long, __row string, offset double, Sequence_id long, __part string")
+    out = packed(cut, window=8, sequence="to", offset="at")
+    assert out.columns == [*cut.columns, "to", "at"] and sorted((tuple(r)[:8] for r in out.collect())) == sorted(rows)
+    replaced = packed(cut, window=8)
+    assert sorted(c.lower() for c in replaced.columns) == sorted(c.lower() for c in cut.columns)
+    assert {(r.doc_id, r.length, r.sequence_id, r.offset) for r in replaced.collect()} == {(r.doc_id, r.length, r.to, r.at) for r in out.collect()}

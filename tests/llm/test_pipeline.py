@@ -39,3 +39,29 @@ def test_empty(spark):
         out = stage(spark, docs, sf_dir)
         assert out.count() == 0
         docs = out if out.columns == docs.columns else docs
+
+
+def test_odd_rows_and_columns(spark):
+    """Nulls, empty and very long texts, repeated rows and ids, and columns called like those that stages add."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = dict(corpus_pipeline.STAGES)["quality classifier"](spark, docs, sf_dir).orderBy("doc_id").limit(30).collect()
+    rows = [tuple(r) for r in kept]
+    width = len(docs.columns)
+    blank = lambda **named: tuple(named.get(c) for c in docs.columns)
+    longest = " ".join(r.text for r in kept) * 20
+    rows += [rows[0], rows[0], blank(), blank(), blank(doc_id=900_001, text=""), blank(doc_id=900_002, text=longest), blank(doc_id=rows[1][0], text=rows[2][docs.columns.index("text")])]
+    clash = ["__kept", "__fingerprint", "__row", "__id", "sequence_id", "offset", "score", "h", "body", "n"]
+    schema = docs.schema
+    for name in clash:
+        schema = schema.add(name, "string")
+    odd = spark.createDataFrame([(*r, *clash) for r in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, sf_dir)
+        got = out.collect()
+        assert out.columns == odd.columns and len(got) <= len(rows), name
+        assert all(tuple(r)[width:] == tuple(clash) for r in got), name
+        if name == "suffix-array dedup":
+            assert len(got) == len(rows) and sum(r.text is None for r in got) == 2
+    pieces = corpus_pipeline.STAGES[-1][1](spark, odd, sf_dir).collect()
+    assert sum(r.start == 0 for r in pieces) == len(rows)

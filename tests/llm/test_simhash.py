@@ -96,3 +96,10 @@ def test_rows_of_repeated_and_null_ids_are_decided_by_text(spark):
     assert kept.columns == df.columns
     got = sorted(((r.doc_id or 0, (r.text or "").lower()) for r in kept.collect()))
     assert got == sorted([(3, a), (5, b), (6, c), (8, d), (0, "x y"), (0, "")])
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "a b c d", "p", 7, "q", 1), (1, "a b c d", "p", 7, "q", 1), (2, "A b c d", "p", 7, "q", 1), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __fingerprint string, __ID long, __print string, __row int")
+    kept = keep_one(df, simhash_groups(df))
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect()), key=str) == sorted({rows[0], rows[3]}, key=str)

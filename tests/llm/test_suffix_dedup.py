@@ -109,3 +109,12 @@ def test_spans_and_characters():
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert sd.remove_repeats(df).count() == 0 and sd.without_repeats(df).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    text = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, text, "a", 1, "b", 2), (2, text, None, None, "b", 2), (None, None, "a", 1, "b", None), (3, "short", "a", 1, "b", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __kept string, __H int, h string, __id int")
+    out = sd.without_repeats(df)
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([rows[0], (2, "", *rows[1][2:]), rows[2], rows[3]], key=str)
