@@ -71,7 +71,7 @@ class Block:
 class Question:
     """Different keys of a block (words, or one or two integers each) and its own sum for each."""
 
-    kind: str  # "word", "pair" or "context"
+    kind: str  # "word", "pair", "last" (pairs that are no contexts, as none are longer) or "context"
     keys: list[bytes] | tuple[np.ndarray, ...]
     sums: np.ndarray
 
@@ -101,7 +101,7 @@ def tokens(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 def answer(kind: str, keys: Sequence, sums: np.ndarray, shard: int, gain: float = GAIN, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """(sum, id) for every key of every block that asked a shard, in the order given.
 
-    The id is unique over all shards; -1 for pairs too rare to be a context. A block that is the first to bring a key adds
+    The id is unique over all shards; -1 for pairs too rare to be a context or of the last round. A block that is the first to bring a key adds
     2^62 to its sum, so each key has one owner. For contexts the sum is 1 if they become states.
     """
     if kind == "word":
@@ -121,8 +121,8 @@ def answer(kind: str, keys: Sequence, sums: np.ndarray, shard: int, gain: float
     first[code[brought][::-1]] = brought[::-1]
     owner[first[first >= 0]] = 1 << 62
     ids = (shard << 36) + np.arange(len(total))
-    if kind == "pair":
-        ids = np.where(total >= least, ids, -1)
+    if kind != "word":
+        ids = np.where((total >= least) & (kind == "pair"), ids, -1)
     return total[code] + owner, ids[code]
 
 
@@ -142,12 +142,12 @@ def replay(block: Block, all_tokens: int, all_words: int, depth: int = DEPTH, le
     first[:1] = True
     before = np.where(first, -1, np.concatenate([[-1], codes[:-1]]))  # each token's context, as a place in the two arrays below
     context_id, context_n = word_id, count
-    for _ in range(depth):
+    for longer in range(depth - 1, -1, -1):
         at = np.flatnonzero(before >= 0)
         at = at[context_n[before[at]] >= least]
         pairs, which = np.unique(before[at] * n_words + codes[at], return_inverse=True)
         context = pairs // n_words
-        told, pair_id = yield Question("pair", (context_id[context], word_id[pairs % n_words]), np.bincount(which[training[at]], minlength=len(pairs)))
+        told, pair_id = yield Question("pair" if longer else "last", (context_id[context], word_id[pairs % n_words]), np.bincount(which[training[at]], minlength=len(pairs)))
         mine, n = np.flatnonzero(told >> 62), told & (1 << 62) - 1
         shorter = np.empty(len(pairs))
         shorter[which] = p[at]  # the same for all tokens of a pair, as it depends on the context's own suffixes
@@ -248,7 +248,7 @@ def _tell(kind: str):
                 if kind == "word":
                     keys = [w for x in part.column("first").to_pylist() for w in zstandard.ZstdDecompressor().decompress(x).split(b" ")]
                 else:
-                    keys = [np.concatenate([spread(x) for x in part.column(c).to_pylist()]) for c in (("first", "second") if kind == "pair" else ("first",))]
+                    keys = [np.concatenate([spread(x) for x in part.column(c).to_pylist()]) for c in (("first",) if kind == "context" else ("first", "second"))]
                 total, ids = answer(kind, keys, np.concatenate(sums), part.column("shard")[0].as_py())
                 ends = np.cumsum([len(s) for s in sums])
                 pieces = list(zip(ends - [len(s) for s in sums], ends))
@@ -284,7 +284,7 @@ def scores(docs: DataFrame, held_out: str, id_column: str = "doc_id", text: str
         all_tokens, all_words = size["trained"] or 0, 0
         labels = even_labels(spark, max(parts, (size["n"] or 0) // SHARD), parts)
         known = blocks
-        for k, question in enumerate(["word", *["pair", "context"] * depth]):
+        for k, question in enumerate(["word", *["pair", "context"] * (depth - 1), *["last", "context"][: 2 * depth]]):
             asked = known.mapInArrow(_ask(k, labels, (all_tokens, all_words), depth), "shard bigint, block bigint, first binary, second binary, sums binary")
             dealt = asked.repartition(parts, "shard").sortWithinPartitions("shard", "block")
             told = dealt.mapInArrow(_tell(question), "block bigint, shard bigint, sums binary, ids binary, owned bigint")
