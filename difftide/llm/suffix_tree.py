@@ -10,8 +10,9 @@ token is scored by the longest state that is a suffix of its history.
 Neither vocabulary nor tree is ever in one place. The corpus is coded once into blocks of documents, each with a
 dictionary of its own words. A round asks one thing of the whole corpus: a block sends its different keys (words, pairs of
 context and word, contexts) with its own sums, packed by shard; a shard sums them over all blocks and answers every
-block. Keys are dealt by their whole hash, so the pairs of a frequent context lie in all shards. Blocks are
-replayed with the answers that they have so far, up to the next question.
+block. Keys are dealt by their whole hash, so the pairs of a frequent context lie in all shards. A block that alone has
+a word or a pair, in training or held out, is told so; what ends in it is counted there and not asked, unless it may
+be a context. Blocks are replayed with the answers that they have so far, up to the next question.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ GAIN = 2.0  # nats that a state has to save
 UNIT = 1 << 16  # savings are summed as whole numbers of nats / UNIT, so their order can't matter
 BLOCK = 4 << 20  # bytes of text in a block, or one document
 SHARD = 2 << 20  # tokens of the corpus for each shard of a round
+OWNER, SOLE = 1 << 62, 1 << 61  # added to a key's sum: this block has to count it once for all; no other block has it
 
 #: Words are runs of all bytes but 9 to 13 and 32.
 WORD = byte_class((0x00, 0x08), (0x0E, 0x1F), (0x21, 0xFF))
@@ -101,8 +103,8 @@ def tokens(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 def answer(kind: str, keys: Sequence, sums: np.ndarray, shard: int, gain: float = GAIN, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """(sum, id) for every key of every block that asked a shard, in the order given.
 
-    The id is unique over all shards; -1 for pairs too rare to be a context or of the last round. A block that is the first to bring a key adds
-    2^62 to its sum, so each key has one owner. For contexts the sum is 1 if they become states.
+    The id is unique over all shards; -1 for pairs too rare to be a context or of the last round. ``OWNER`` is added
+    for the first block that brings a key, so each key has one owner, and ``SOLE`` if no other asks about it. For contexts the sum is 1 if they become states.
     """
     if kind == "word":
         code = pa.array(keys, pa.large_binary()).dictionary_encode().indices.to_numpy().astype(np.int64)
@@ -119,7 +121,8 @@ def answer(kind: str, keys: Sequence, sums: np.ndarray, shard: int, gain: float
     owner = np.zeros(len(sums), np.int64)
     first = np.full(len(total), -1)
     first[code[brought][::-1]] = brought[::-1]
-    owner[first[first >= 0]] = 1 << 62
+    owner[first[first >= 0]] = OWNER
+    owner[np.bincount(code, minlength=len(total))[code] == 1] += SOLE
     ids = (shard << 36) + np.arange(len(total))
     if kind != "word":
         ids = np.where((total >= least) & (kind == "pair"), ids, -1)
@@ -134,7 +137,8 @@ def replay(block: Block, all_tokens: int, all_words: int, depth: int = DEPTH, le
     n_words, codes = len(block.words), block.codes
     training = np.repeat(~block.held, block.sizes)
     told, word_id = yield Question("word", block.words, np.bincount(codes[training], minlength=n_words))
-    count = told & (1 << 62) - 1
+    count = told & SOLE - 1
+    sole = (told & SOLE > 0)[codes]  # no other block has the token's longest suffix asked about so far
     base = ((count + 1) / (all_tokens + all_words + 1))[codes]
     p = base.copy()
     first = np.zeros(len(codes), bool)
@@ -147,8 +151,15 @@ def replay(block: Block, all_tokens: int, all_words: int, depth: int = DEPTH, le
         at = at[context_n[before[at]] >= least]
         pairs, which = np.unique(before[at] * n_words + codes[at], return_inverse=True)
         context = pairs // n_words
-        told, pair_id = yield Question("pair" if longer else "last", (context_id[context], word_id[pairs % n_words]), np.bincount(which[training[at]], minlength=len(pairs)))
-        mine, n = np.flatnonzero(told >> 62), told & (1 << 62) - 1
+        told = np.bincount(which[training[at]], minlength=len(pairs))
+        here = np.empty(len(pairs), bool)
+        here[which] = sole[at]  # the same for all tokens of a pair
+        ask = np.flatnonzero(~here | (told >= least if longer else False))
+        pair_id = np.full(len(pairs), -1, np.int64)
+        told += np.where(told > 0, OWNER + SOLE, SOLE)
+        told[ask], pair_id[ask] = yield Question("pair" if longer else "last", (context_id[context[ask]], word_id[pairs[ask] % n_words]), told[ask] & SOLE - 1)
+        mine, n = np.flatnonzero(told & OWNER), told & SOLE - 1
+        sole[at] = (told & SOLE > 0)[which]
         shorter = np.empty(len(pairs))
         shorter[which] = p[at]  # the same for all tokens of a pair, as it depends on the context's own suffixes
         seen = context_n[context].astype(np.float64)
@@ -252,7 +263,7 @@ def _tell(kind: str):
                 total, ids = answer(kind, keys, np.concatenate(sums), part.column("shard")[0].as_py())
                 ends = np.cumsum([len(s) for s in sums])
                 pieces = list(zip(ends - [len(s) for s in sums], ends))
-                yield record_batch(block=part.column("block"), shard=part.column("shard"), sums=pa.array([squeeze(total[a:b]) for a, b in pieces], pa.binary()), ids=pa.array([squeeze(ids[a:b]) for a, b in pieces], pa.binary()), owned=pa.array([int((total[a:b] >> 62).sum()) for a, b in pieces], pa.int64()))
+                yield record_batch(block=part.column("block"), shard=part.column("shard"), sums=pa.array([squeeze(total[a:b]) for a, b in pieces], pa.binary()), ids=pa.array([squeeze(ids[a:b]) for a, b in pieces], pa.binary()), owned=pa.array([int((total[a:b] & OWNER > 0).sum()) for a, b in pieces], pa.int64()))
 
     return run
 
