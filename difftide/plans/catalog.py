@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from difftide.functions.signing import hmac_sha256_hex
 from difftide.operators import diffs as df_ops
 from difftide.operators import events as ev
-from difftide.operators import extras, findings as fi, gate, layer_rules, ledger, memory, prompts, reports
+from difftide.operators import extras, findings as fi, gate, importance, layer_rules, ledger, memory, prompts, reports
 from difftide.operators.bug_rules import BUG_RULES, empty_catch
 from difftide.operators.layer_rules import LAYER_RULES
 from difftide.operators.rules import scan
@@ -663,6 +663,17 @@ def context_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return extras.context_chunks(_files(spark, sf), budget=600)
 
 
+@query
+def file_importance(spark: SparkSession, sf: str) -> DataFrame:
+    return importance.file_importance(derived(spark, sf, "fx_modules"))
+
+
+@query
+def context_chunks_important(spark: SparkSession, sf: str) -> DataFrame:
+    files = derived(spark, sf, "fx_modules")
+    return extras.context_chunks(files, 600, importance.file_importance(files))
+
+
 @query
 def review_kpis(spark: SparkSession, sf: str) -> DataFrame:
     files = _files(spark, sf)

@@ -46,7 +46,7 @@ def _cte(name: str, sql: str, *uses: str) -> None:
 
 for _fx in [
     "fx_diffs", "fx_fetches", "fx_page_fetches", "fx_pr_webhooks", "fx_push_webhooks", "fx_comments",
-    "fx_comment_payloads", "fx_findings", "fx_tasks", "fx_sources", "fx_responses",
+    "fx_comment_payloads", "fx_findings", "fx_tasks", "fx_sources", "fx_responses", "fx_modules",
 ]:
     _cte(_fx, derived_sql(_fx, spark=False))
 
@@ -422,6 +422,26 @@ _check("context_chunks", """
 SELECT task_id, pr_id, file_seq, file_path, additions + deletions AS churn, cast(length(diff_content) AS int) AS chars, cast(row_number() OVER w AS int) AS position,
  cast(coalesce(sum(length(diff_content)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 600 AS int) AS chunk
 FROM files WINDOW w AS (PARTITION BY task_id ORDER BY additions + deletions DESC, file_seq)""", "files")
+_cte("module_links", rf"""
+SELECT DISTINCT a.task_id, a.file_seq AS importing, b.file_seq AS imported
+FROM (SELECT task_id, file_seq, unnest([name, regexp_extract(name, '^(.+\..+)\.[^.]*$', 1)]) AS name
+      FROM (SELECT task_id, file_seq, unnest(regexp_extract_all(diff_content, '{_IMPORT}', 1)) AS name FROM fx_modules)) a
+JOIN (SELECT task_id, file_seq, array_to_string(parts[n:], '.') AS name
+      FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS n FROM (SELECT *, string_split(regexp_replace(file_path, '\.[^./]*$', ''), '/') AS parts FROM fx_modules))) b
+  ON a.task_id = b.task_id AND a.name = b.name AND a.file_seq <> b.file_seq""", "fx_modules")
+_cte("module_out", "SELECT *, count(*) OVER (PARTITION BY task_id, importing) AS outs FROM module_links", "module_links")
+_cte("rank0", "SELECT task_id, file_seq, 0 AS importers, 1000000 AS importance FROM fx_modules", "fx_modules")
+for _k in range(5):
+    _cte(f"rank{_k + 1}", f"""
+SELECT f.task_id, f.file_seq, count(l.imported) AS importers, cast(150000 + coalesce(sum(r.importance * 85 // (l.outs * 100)), 0) AS bigint) AS importance
+FROM fx_modules f LEFT JOIN module_out l ON l.task_id = f.task_id AND l.imported = f.file_seq
+LEFT JOIN rank{_k} r ON r.task_id = l.task_id AND r.file_seq = l.importing GROUP BY 1, 2""", "fx_modules", "module_out", f"rank{_k}")
+_check("file_importance", """
+SELECT f.task_id, f.pr_id, f.file_seq, f.file_path, r.importers, r.importance FROM fx_modules f JOIN rank5 r USING (task_id, file_seq)""", "fx_modules", "rank5")
+_check("context_chunks_important", """
+SELECT f.task_id, pr_id, f.file_seq, file_path, additions + deletions AS churn, r.importance, cast(length(diff_content) AS int) AS chars, cast(row_number() OVER w AS int) AS position,
+ cast(coalesce(sum(length(diff_content)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 600 AS int) AS chunk
+FROM fx_modules f JOIN rank5 r USING (task_id, file_seq) WINDOW w AS (PARTITION BY f.task_id ORDER BY (additions + deletions) * r.importance DESC, f.file_seq)""", "fx_modules", "rank5")
 _check("file_history_hints", """
 SELECT f.task_id, f.pr_id, f.file_seq, f.file_path, 'File ''' || f.file_path || ''' has ' || p.records || ' past feedback record(s).' AS hint
 FROM files f JOIN (SELECT replace(file_path, '.java', '0.java') AS file_path, count(*) AS records FROM feedback WHERE file_path IS NOT NULL GROUP BY 1) p USING (file_path)""", "files", "feedback")

@@ -287,6 +287,22 @@ SELECT {p} AS task_id, concat('org/repo#', {d.text(p)}) AS pr_id, 1 AS file_seq,
 FROM part"""
 
 
+def _modules(d: Dialect) -> str:
+    """Changed files of reviews that import each other: a review for each order, with 3 to 7 files."""
+    n, named = "(k + 1)", "(1 + (o_custkey + 3 * k + j * j) % 7)"
+    imports = d.join_each(
+        "0", "(1 + (o_custkey + k) % 4)", "j",
+        f"concat('+import ', CASE WHEN j = 2 THEN 'static ' ELSE '' END, 'com.acme.m', {d.text(f'{named} % 3')}, "
+        f"'.C', {d.text(named)}, CASE WHEN j = 2 THEN '.of' ELSE '' END, ';')", "chr(10)",
+    )
+    return f"""
+SELECT o_orderkey AS task_id, concat('org/repo#', {d.text('o_orderkey')}) AS pr_id, cast({n} AS int) AS file_seq,
+ concat('src/main/java/com/acme/m', {d.text(f'{n} % 3')}, '/C', {d.text(n)}, '.java') AS file_path,
+ cast(1 + (o_custkey + 5 * k) % 9 AS int) AS additions, cast(k % 4 AS int) AS deletions,
+ concat({imports}, chr(10), '+class C', {d.text(n)}, ' {{', chr(10), '+}}', chr(10)) AS diff_content
+FROM (SELECT o_orderkey, o_custkey, {d.each_row(7, 'k')} FROM orders) x WHERE k <= 2 + o_custkey % 5"""
+
+
 def _responses(d: Dialect) -> str:
     o, a = "o_orderkey", "agent_no"
     agent = d.pick(["architecture", "code-style", "logic", "security"], a)
@@ -323,6 +339,7 @@ _TABLES = {
     "fx_findings": _findings,
     "fx_tasks": _tasks,
     "fx_sources": _sources,
+    "fx_modules": _modules,
     "fx_responses": _responses,
 }
 

@@ -1,5 +1,5 @@
 from difftide.operators import diffs as ops
-from difftide.operators import extras, prompts
+from difftide.operators import extras, importance, prompts
 from difftide.sources.diffs import clean_diffs
 
 NEW = "diff --git a/x/App.java b/x/App.java\nnew file mode 100644\n--- /dev/null\n+++ b/x/App.java\n@@ -0,0 +1,4 @@\n+import java.sql.Connection;\n+import java.sql.*;\n+import java.sql.Connection;\n++++ odd\n"
@@ -107,3 +107,45 @@ def test_one_fetch_of_several_counts(spark):
     rows = [(1, 200, "old", 1), (1, 200, "new", 2), (1, 500, "oops", 3), (2, 404, "x", 1), (2, 200, "<html>", 2), (3, 200, "one", None), (3, 200, "one", None)]
     log = spark.createDataFrame(rows, "task_id long, http_status int, body string, fetched_at int")
     assert sorted((r.task_id, r.body) for r in clean_diffs(tasks, log).collect()) == [(1, "new"), (2, ""), (3, "one"), (4, "")]
+
+
+def _importance(files: list, rounds: int) -> dict:
+    """{(task, file number): (importers, importance)} by plain loops over (task, number, path, imports)."""
+    links = set()
+    for t, a, _, imports in files:
+        for u, b, path, _ in files:
+            stem = path.rsplit(".", 1)[0] if "." in path.rsplit("/", 1)[-1] else path
+            dotted = "." + stem.replace("/", ".")
+            for name in imports:
+                outer = name.rsplit(".", 1)[0]
+                if t == u and a != b and (dotted.endswith("." + name) or "." in outer and dotted.endswith("." + outer)):
+                    links.add((t, a, b))
+    out = {(t, a): sum((t, a) == k[:2] for k in links) for t, a, _, _ in files}
+    into = {(t, b): [(u, a) for u, a, c in links if (u, c) == (t, b)] for t, b, _, _ in files}
+    score = dict.fromkeys(out, 1_000_000)
+    for _ in range(rounds):
+        score = {k: 150_000 + sum(score[a] * 85 // (100 * out[a]) for a in into[k]) for k in into}
+    return {k: (len(into[k]), score[k]) for k in into}
+
+
+def test_importance_is_a_plain_link_analysis(spark):
+    rows = [
+        (1, 1, "src/a/b/Base.java", []), (1, 2, "src/a/b/User.java", ["a.b.Base", "a.b.Base"]), (1, 3, "src/a/c/Test.java", ["a.b.User.run", "a.b.Base", "java.util.List"]),
+        (1, 4, "Plain.java", ["Plain", "Base"]), (1, 5, "old/a/b/Base.java", ["a.b.User"]), (1, 6, "noext", ["src.a.b.Base.x.y", "b.Base"]), (1, 7, "x/Base.b/k", ["k"]),
+        (2, 1, "src/a/b/Base.java", ["a.b.User"]), (2, 2, "README", []), (3, 1, "p/A.java", ["p.B"]), (3, 2, "p/B.java", ["p.A"]),
+    ]
+    rows += [(4, k, f"m/F{k}.java", [f"m.F{j}" for j in range(k)]) for k in range(12)]
+    text = lambda names: "".join(f"+import {n};\n" for n in names) + "+class X {}\n"
+    schema = "task_id long, pr_id string, file_seq int, file_path string, additions int, deletions int, diff_content string"
+    files = spark.createDataFrame([(t, f"p{t}", s, path, s % 3, 1, text(i)) for t, s, path, i in rows], schema)
+    for rounds in (1, 2, 5):
+        got = {(r.task_id, r.file_seq): (r.importers, r.importance) for r in importance.file_importance(files, rounds).collect()}
+        assert got == _importance(rows, rounds)
+    want = _importance(rows, importance.ROUNDS)
+    chunks = extras.context_chunks(files, 60, importance.file_importance(files)).collect()
+    for t in (1, 2, 3, 4):
+        order = [(r.file_seq, r.importance) for r in sorted(chunks, key=lambda r: r.position) if r.task_id == t]
+        by_weight = sorted((-(s % 3 + 1) * want[t, s][1], s) for u, s, _, _ in rows if u == t)
+        assert order == [(s, want[t, s][1]) for _, s in by_weight]
+    none = importance.file_importance(files.limit(0)).collect()
+    assert none == []
