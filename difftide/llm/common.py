@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -22,10 +23,13 @@ INDEX_BITS = 33  # monotonically_increasing_id() = partition << 33 | row within
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or the context's checkpoint folder.
 
-    Only where neither is set (a local test session) a temporary folder is made and set.
+    Where neither is set, a run in one process (tests) makes and sets a temporary folder; a cluster is refused, as its
+    machines would not see each other's files.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="difftide-llm-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
