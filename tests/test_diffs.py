@@ -149,3 +149,16 @@ def test_importance_is_a_plain_link_analysis(spark):
         assert order == [(s, want[t, s][1]) for _, s in by_weight]
     none = importance.file_importance(files.limit(0)).collect()
     assert none == []
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bodies_are_not_broadcast_and_move_once(spark):
+    """The planner takes a text for a few bytes; the side with the bodies grows with the log all the same."""
+    tasks = spark.createDataFrame([(1, "p", "u"), (2, "p", " "), (3, "p", "u")], "task_id long, pr_id string, diff_url string")
+    log = spark.createDataFrame([(1, 200, "old", 1), (1, 200, "new", 2), (1, 500, "x", 3), (2, 200, "y", 1), (3, 200, "<html>", 1)], "task_id long, http_status int, body string, fetched_at int")
+    clean = clean_diffs(tasks, log.withColumn("fetched_at", F.timestamp_seconds("fetched_at")))
+    assert {r.task_id: r.body for r in clean.collect()} == {1: "new", 2: "", 3: ""}
+    assert "BroadcastHashJoin" not in _plan(clean) and "max_by" not in _plan(clean)
