@@ -18,14 +18,15 @@ def import_links(files: DataFrame) -> DataFrame:
 
     A file goes by every name that its path ends in: `a/b/C.java` by `C`, `b.C` and `a.b.C`. An import means the files
     that go by its name or, for members of a class, by the name without its last part. A link counts once. Only
-    names move, never texts; names are joined within their review, so a busy name is a key that may be split.
+    names move, never texts; names are joined within their review, so a busy name is a key that may be split. The
+    planner doesn't see how many names a file has, so no join here or below is left to broadcast one side.
     """
     parts = F.split(F.regexp_replace("file_path", r"\.[^./]*$", ""), "/")
     names = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "."))
     known = files.select("task_id", F.col("file_seq").alias("imported"), F.explode(names).alias("name"))
     outer = F.regexp_extract("imported", r"^(.+\..+)\.[^.]*$", 1)
     asked = dependency_edges(files).select("task_id", F.col("file_seq").alias("importing"), F.explode(F.array("imported", outer)).alias("name"))
-    met = asked.where("name <> ''").join(known, ["task_id", "name"]).where(F.col("importing") != F.col("imported"))
+    met = asked.where("name <> ''").join(known.hint("merge"), ["task_id", "name"]).where(F.col("importing") != F.col("imported"))
     return met.select("task_id", "importing", "imported").distinct()
 
 
@@ -39,7 +40,7 @@ def file_importance(files: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     links = import_links(files)
     degrees = links.groupBy("task_id", "importing").agg(F.count("*").alias("out"))
     path = shared_folder(files.sparkSession, "import-links")
-    links.join(degrees, ["task_id", "importing"]).write.parquet(path)
+    links.join(degrees.hint("merge"), ["task_id", "importing"]).write.parquet(path)
     links = files.sparkSession.read.parquet(path)
     given = F.floor(F.col("score") * PERCENT / (F.col("out") * 100)).cast("long")
     passing = links.withColumn("score", F.lit(START))
@@ -47,8 +48,9 @@ def file_importance(files: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         found = passing.groupBy("task_id", "imported").agg((F.sum(given) + FLOOR).alias("score"), F.count("*").alias("importers"))
         if left > 1:
             scores = found.select("task_id", F.col("imported").alias("importing"), "score")
-            passing = links.join(scores, ["task_id", "importing"], "left").fillna(FLOOR, ["score"])
-    rows = files.select("task_id", "pr_id", "file_seq", "file_path").join(found.withColumnRenamed("imported", "file_seq"), ["task_id", "file_seq"], "left")
+            passing = links.join(scores.hint("merge"), ["task_id", "importing"], "left").fillna(FLOOR, ["score"])
+    ranked = found.withColumnRenamed("imported", "file_seq").hint("merge")
+    rows = files.select("task_id", "pr_id", "file_seq", "file_path").join(ranked, ["task_id", "file_seq"], "left")
     return rows.select(
         "task_id", "pr_id", "file_seq", "file_path",
         F.coalesce("importers", F.lit(0)).cast("long").alias("importers"), F.coalesce("score", F.lit(FLOOR)).cast("long").alias("importance"),

@@ -162,3 +162,9 @@ def test_bodies_are_not_broadcast_and_move_once(spark):
     clean = clean_diffs(tasks, log.withColumn("fetched_at", F.timestamp_seconds("fetched_at")))
     assert {r.task_id: r.body for r in clean.collect()} == {1: "new", 2: "", 3: ""}
     assert "BroadcastHashJoin" not in _plan(clean) and "max_by" not in _plan(clean)
+
+
+def test_importance_broadcasts_no_side_that_grows(spark):
+    files = spark.createDataFrame([(1, "p", 1, "a/A.java", 3, 0, "import a.B;"), (1, "p", 2, "a/B.java", 2, 1, "x")], "task_id long, pr_id string, file_seq int, file_path string, additions int, deletions int, diff_content string")
+    found = importance.file_importance(files)
+    assert "BroadcastHashJoin" not in _plan(importance.import_links(files)) + _plan(found)
