@@ -168,3 +168,9 @@ def test_importance_broadcasts_no_side_that_grows(spark):
     files = spark.createDataFrame([(1, "p", 1, "a/A.java", 3, 0, "import a.B;"), (1, "p", 2, "a/B.java", 2, 1, "x")], "task_id long, pr_id string, file_seq int, file_path string, additions int, deletions int, diff_content string")
     found = importance.file_importance(files)
     assert "BroadcastHashJoin" not in _plan(importance.import_links(files)) + _plan(found)
+
+
+def test_chunks_broadcast_no_side_that_grows(spark):
+    files = spark.createDataFrame([(1, "p", 1, "a/A.java", 3, 0, "import a.B;"), (1, "p", 2, "a/B.java", 2, 1, "x")], "task_id long, pr_id string, file_seq int, file_path string, additions int, deletions int, diff_content string")
+    weights = files.select("task_id", "file_seq", F.lit(2).alias("importance"))
+    assert "BroadcastHashJoin" not in _plan(extras.context_chunks(files, 60)) + _plan(extras.context_chunks(files, 60, weights))
