@@ -91,3 +91,13 @@ def test_custom_agents_may_repeat_rows(spark):
     assert sorted(r.description for r in got) == list("aaabc") and len({(r.task_id, r.seq) for r in got}) == 5
     again = fi.run_agent("twice", diffs.contexts(df), changed.repartition(3)).collect()
     assert sorted((r.seq, r.description) for r in got) == sorted((r.seq, r.description) for r in again)
+
+
+def test_fan_in_sorts_nothing(spark):
+    """Hits and responses meet keys that are hashed; before, large tables were sorted and spilled for it."""
+    _, changed = files(spark)
+    found = fi.all_findings(responses(spark, [(1, "security", "{oops", None), (1, "logic", [result("F.java")], None)]), changed)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan
+    # Hits are as wide as the rules make them when they meet the keys; suggestions are added later.
+    assert plan.index("Review and fix the identified code issue.") < plan.rindex("ShuffledHashJoin") and {r.agent_id for r in found.collect()} == {"security", "logic"}
