@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from difftide.operators import diffs as ops
 from difftide.operators import extras, importance, prompts
 from difftide.sources.diffs import clean_diffs
@@ -151,26 +153,45 @@ def test_importance_is_a_plain_link_analysis(spark):
     assert none == []
 
 
+def _kept(df, path):
+    """The rows as a table of files, whose size the planner knows."""
+    df.write.parquet(str(path))
+    return df.sparkSession.read.parquet(str(path))
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_bodies_are_not_broadcast_and_move_once(spark):
+def test_bodies_are_not_broadcast_and_move_once(spark, tmp_path):
     """The planner takes a text for a few bytes; the side with the bodies grows with the log all the same."""
     tasks = spark.createDataFrame([(1, "p", "u"), (2, "p", " "), (3, "p", "u")], "task_id long, pr_id string, diff_url string")
     log = spark.createDataFrame([(1, 200, "old", 1), (1, 200, "new", 2), (1, 500, "x", 3), (2, 200, "y", 1), (3, 200, "<html>", 1)], "task_id long, http_status int, body string, fetched_at int")
-    clean = clean_diffs(tasks, log.withColumn("fetched_at", F.timestamp_seconds("fetched_at")))
+    clean = clean_diffs(tasks, _kept(log.withColumn("fetched_at", F.timestamp_seconds("fetched_at")), tmp_path / "log"))
     assert {r.task_id: r.body for r in clean.collect()} == {1: "new", 2: "", 3: ""}
     assert "BroadcastHashJoin" not in _plan(clean) and "max_by" not in _plan(clean)
 
 
-def test_importance_broadcasts_no_side_that_grows(spark):
+def test_importance_broadcasts_no_side_that_grows(spark, tmp_path):
     files = spark.createDataFrame([(1, "p", 1, "a/A.java", 3, 0, "import a.B;"), (1, "p", 2, "a/B.java", 2, 1, "x")], "task_id long, pr_id string, file_seq int, file_path string, additions int, deletions int, diff_content string")
+    files = _kept(files, tmp_path / "files")
     found = importance.file_importance(files)
     assert "BroadcastHashJoin" not in _plan(importance.import_links(files)) + _plan(found)
 
 
-def test_chunks_broadcast_no_side_that_grows(spark):
+def test_chunks_broadcast_no_side_that_grows(spark, tmp_path):
     files = spark.createDataFrame([(1, "p", 1, "a/A.java", 3, 0, "import a.B;"), (1, "p", 2, "a/B.java", 2, 1, "x")], "task_id long, pr_id string, file_seq int, file_path string, additions int, deletions int, diff_content string")
+    files = _kept(files, tmp_path / "files")
     weights = files.select("task_id", "file_seq", F.lit(2).alias("importance"))
     assert "BroadcastHashJoin" not in _plan(extras.context_chunks(files, 60)) + _plan(extras.context_chunks(files, 60, weights))
+
+
+def test_paths_and_hunk_headers_are_matched_once(spark, tmp_path):
+    path = str(tmp_path / "d")
+    odd = "diff --git a/x b/x\n--- a/x\n+++ /dev/null\n@@ -7 +99999999999,2 @@ @@ -1 +1 @@\n+a\n@@ -3,4 +5,6 @@\n b\n"
+    table(spark, NEW, odd).write.parquet(path)
+    rows = ops.hunks(ops.changed_files(spark.read.parquet(path)))
+    got = [(r.file_path, r.old_start, r.old_lines, r.new_start, r.new_lines) for r in rows.orderBy("task_id", "hunk_seq").collect()]
+    assert got == [("x/App.java", 0, 0, 1, 4), ("x", 7, 1, 1, 2), ("x", 3, 4, 5, 6)]
+    plan = _plan(ops.changed_files(spark.read.parquet(path)))
+    assert plan.count(r"^\+\+\+") == 1 and plan.count(r"^---") == 1
