@@ -3,6 +3,9 @@
 A task may hold a large share of all findings, so nothing here sorts or collects a whole task in
 one place, only one file of it. Deduplication is an aggregate by file; positions are block
 offsets (from counts) plus a position inside a block; report text comes as one row per piece with its position.
+
+Findings of one file share a `_place`, by which they are dealt to tasks. Missing, empty and unnamed files are one place, as
+deduplication takes the first two as one path and reports the first and the last as one file.
 """
 
 from __future__ import annotations
@@ -31,6 +34,16 @@ def severity_rank(severity: Column) -> Column:
     return out
 
 
+def _place(path: Column) -> Column:
+    """What the findings of one file are dealt by."""
+    path = F.coalesce(path, F.lit(""))
+    return F.when(path == UNKNOWN_FILE, "").otherwise(path)
+
+
+def _with_place(deduped: DataFrame) -> DataFrame:
+    return deduped if "_place" in deduped.columns else deduped.withColumn("_place", _place(F.col("file_path")))
+
+
 def dedup_findings(findings: DataFrame) -> DataFrame:
     """One finding per task, path, lines and category (RP1).
 
@@ -40,24 +53,31 @@ def dedup_findings(findings: DataFrame) -> DataFrame:
     Rows move once, as they are, to the file of their review, and are not sorted before. What is counted by file or by agent
     afterwards is summed up there before it moves, and branches that read other columns of the result share that one shuffle.
     """
+    return placed_findings(findings).drop("_place")
+
+
+def placed_findings(findings: DataFrame) -> DataFrame:
+    """`dedup_findings` with the `_place` by which its rows lie in their tasks, for reports: their rows then needn't move again."""
+    moved = findings.select(
+        "task_id", "pr_id", "seq", "agent_id", "severity", "file_path", "category", "line_start", "line_end", "title", "description", "suggestion",
+    ).repartition(F.col("task_id"), _place(F.col("file_path")))
     # A missing path or category and an empty one are one key; what the winner had is told by a flag.
-    slim = findings.select(
-        "task_id", "pr_id", "seq", "agent_id", "severity", F.coalesce("file_path", F.lit("")).alias("_path"),
-        F.col("file_path").isNotNull().alias("_has_path"), F.coalesce("category", F.lit("")).alias("_category"),
-        F.col("category").isNotNull().alias("_has_category"), "line_start", "line_end", "title", "description", "suggestion",
-    ).repartition("task_id", "_path")
+    slim = moved.select(
+        "*", F.coalesce("file_path", F.lit("")).alias("_path"), F.col("file_path").isNotNull().alias("_has_path"), F.coalesce("category", F.lit("")).alias("_category"),
+        F.col("category").isNotNull().alias("_has_category"), _place(F.col("file_path")).alias("_place"),
+    )
     best = F.min(F.struct(
         severity_rank(F.col("severity")).alias("severity_rank"), "seq", "agent_id", "severity", "_has_category", "_has_path",
         "title", "description", "suggestion",
     ))
-    grouped = slim.groupBy("task_id", "pr_id", "_path", "line_start", "line_end", "_category").agg(
+    grouped = slim.groupBy("task_id", "pr_id", "_place", "_path", "line_start", "line_end", "_category").agg(
         best.alias("best"), F.min("seq").alias("first_seq")
     )
     return grouped.select(
         "task_id", "pr_id", "best.seq", "first_seq", "best.severity_rank", "best.agent_id", "best.severity",
         F.when(F.col("best._has_category"), F.col("_category")).alias("category"),
         F.when(F.col("best._has_path"), F.col("_path")).alias("file_path"),
-        "line_start", "line_end", "best.title", "best.description", "best.suggestion",
+        "line_start", "line_end", "best.title", "best.description", "best.suggestion", "_place",
     )
 
 
@@ -83,7 +103,7 @@ def rank_findings(deduped: DataFrame) -> DataFrame:
 def report_counts(deduped: DataFrame) -> DataFrame:
     """Counts per task; the empty path counts as a file, a missing one does not (RP3)."""
     s = F.col("severity")
-    per_file = deduped.groupBy("task_id", "pr_id", "file_path").agg(
+    per_file = _with_place(deduped).groupBy("task_id", "pr_id", "_place", "file_path").agg(
         F.count("*").alias("rows"), *[F.count_if(s == n).alias(n) for n in schemas.SEVERITIES]
     )
     return per_file.groupBy("task_id", "pr_id").agg(
@@ -96,11 +116,11 @@ def report_counts(deduped: DataFrame) -> DataFrame:
     )
 
 
-def report_summary(tasks: DataFrame, counts: DataFrame) -> DataFrame:
-    """Report head of every task; tasks without findings get zeros (RP4)."""
+def report_summary(tasks: DataFrame, counts: DataFrame, *carried: str) -> DataFrame:
+    """Report head of every task; tasks without findings get zeros (RP4). Columns `carried` of the tasks are kept."""
     names = ["critical_count", "major_count", "minor_count", "info_count", "total_count", "file_count"]
-    joined = tasks.select("task_id", "pr_id").join(counts.drop("pr_id"), "task_id", "left")
-    filled = joined.select("task_id", "pr_id", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
+    joined = tasks.select("task_id", "pr_id", *carried).join(counts.drop("pr_id"), "task_id", "left")
+    filled = joined.select("task_id", "pr_id", *carried, *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
     text = F.concat(
         F.lit("Found "), F.col("critical_count").cast("string"), F.lit(" critical, "),
         F.col("major_count").cast("string"), F.lit(" major, "),
@@ -115,7 +135,7 @@ def report_summary(tasks: DataFrame, counts: DataFrame) -> DataFrame:
 
 def reports(tasks: DataFrame, findings: DataFrame) -> DataFrame:
     """Report heads straight from raw findings: deduplicate, count, summarise."""
-    return report_summary(tasks, report_counts(dedup_findings(findings)))
+    return report_summary(tasks, report_counts(placed_findings(findings)))
 
 
 # -- grouped views ---------------------------------------------------------------------------
@@ -132,7 +152,7 @@ def _file_group() -> Column:
 
 def findings_by_file(deduped: DataFrame) -> DataFrame:
     """Files of a report in the order in which they are first met (RP5a)."""
-    groups = deduped.groupBy("task_id", "pr_id", _file_group().alias("file")).agg(
+    groups = _with_place(deduped).groupBy("task_id", "pr_id", "_place", _file_group().alias("file")).agg(
         F.count("*").alias("findings"), F.min(_order_key()).alias("_first")
     )
     met = Window.partitionBy("task_id").orderBy("_first")
@@ -157,18 +177,21 @@ def findings_by_agent(deduped: DataFrame) -> DataFrame:
 
 # -- Markdown --------------------------------------------------------------------------------
 def report_rows(deduped: DataFrame, heads: DataFrame) -> DataFrame:
-    """Every table row of the reports of `heads` with its position and text.
+    """Every table row of the reports of `heads` with its position and text, and the other columns of `heads`.
 
-    A task's head meets the files of its report, which are few, so the rows move to their files and no further.
+    A task's head meets the files of its report, which are few, so the rows move to their files and no further; those of
+    `placed_findings` lie there. Files meet them by their place, which has two of them at most.
     """
-    files = findings_by_file(deduped).select("task_id", "file", "file_order", "findings", "rows_before")
-    files = files.join(heads.select("task_id", "pr_id"), "task_id")
-    rows = deduped.drop("pr_id").withColumn("file", _file_group()).withColumn(
+    files = findings_by_file(deduped).select("task_id", "file", "findings", "rows_before")
+    of_place = F.collect_list(F.struct("file", "findings", "rows_before")).alias("_files")
+    files = files.groupBy("task_id", _place(F.col("file")).alias("_place")).agg(of_place).join(heads, "task_id")
+    rows = _with_place(deduped).drop("pr_id").withColumn("file", _file_group()).withColumn(
         "_null", F.col("file_path").isNull()
     )
     # Only the group of unnamed files can mix two paths; a missing path then sorts last.
-    inside = Window.partitionBy("task_id", "file").orderBy("severity_rank", "_null", "line_start", "first_seq", *_TIES)
-    placed = rows.withColumn("_pos", F.row_number().over(inside)).join(files, ["task_id", "file"])
+    inside = Window.partitionBy("task_id", "_place", "file").orderBy("severity_rank", "_null", "line_start", "first_seq", *_TIES)
+    placed = rows.withColumn("_pos", F.row_number().over(inside)).join(files, ["task_id", "_place"])
+    placed = placed.withColumn("_file", F.filter("_files", lambda f: f["file"] == F.col("file"))[0]).select("*", "_file.findings", "_file.rows_before")
     text = F.concat(
         F.when(F.col("_pos") == 1, F.concat(F.lit("#### "), escape_md(F.col("file")), F.lit("\n\n" + FILE_TABLE_HEADER)))
         .otherwise(F.lit("")),
@@ -178,12 +201,14 @@ def report_rows(deduped: DataFrame, heads: DataFrame) -> DataFrame:
         F.when(F.col("_pos") == F.col("findings"), "\n").otherwise(F.lit("")),
     )
     position = (F.col("rows_before") + F.col("_pos")).cast("long")
-    return placed.select("task_id", "pr_id", position.alias("position"), text.alias("text"))
+    return placed.select(*heads.columns, position.alias("position"), text.alias("text"))
 
 
-def report_markdown(heads: DataFrame, deduped: DataFrame) -> DataFrame:
+def report_markdown(heads: DataFrame, deduped: DataFrame, *carried: str) -> DataFrame:
     """Markdown report per task, as pieces: (task_id, pr_id, position, kind, text) (RP5).
 
+    Columns `carried` of the heads come behind `pr_id`, so pieces needn't move to meet them.
+
     The head is at position 0, table rows follow from 1 on, and the agent summary comes last. The pieces of a
     task put together in order are its whole report, whatever its size; how they are laid out is up to the sink.
     """
@@ -195,10 +220,10 @@ def report_markdown(heads: DataFrame, deduped: DataFrame) -> DataFrame:
     )
     # No text is empty. The filter keeps the counts in every branch, so that all share them; without counts a branch would need
     # other columns of the findings and move those once more.
-    texts = heads.select("task_id", "pr_id", head.alias("text")).where(F.length("text") > 0)
-    first = texts.select("task_id", "pr_id", F.lit(0).cast("long").alias("position"), F.lit("head").alias("kind"), "text")
-    known = texts.select("task_id", "pr_id")
-    rows = report_rows(deduped, known).select("task_id", "pr_id", "position", F.lit("row").alias("kind"), "text")
+    texts = heads.select("task_id", "pr_id", *carried, head.alias("text")).where(F.length("text") > 0)
+    first = texts.select("task_id", "pr_id", *carried, F.lit(0).cast("long").alias("position"), F.lit("head").alias("kind"), "text")
+    known = texts.select("task_id", "pr_id", *carried)
+    rows = report_rows(deduped, known).select("task_id", "pr_id", *carried, "position", F.lit("row").alias("kind"), "text")
     line = F.concat(
         F.lit("- **"), escape_md(F.col("agent")), F.lit("**: "), F.col("findings").cast("string"),
         F.when(F.col("findings") == 1, " finding\n").otherwise(" findings\n"),
