@@ -44,6 +44,7 @@ BLOCK = 4 << 20  # bytes of text in a block, or one document
 SHARD = 2 << 20  # tokens of the corpus for each shard of a round
 OWNER, SOLE = 1 << 62, 1 << 61  # added to a key's sum: this block has to count it once for all; no other block has it
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ZIP, UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 #: Words are runs of all bytes but 9 to 13 and 32.
 WORD = byte_class((0x00, 0x08), (0x0E, 0x1F), (0x21, 0xFF))
@@ -52,7 +53,7 @@ END = b""  # the token after a text's last word
 
 def zipped(parts: list[bytes]) -> bytes:
     """The parts one after the other, each compressed with a code of its own."""
-    out = zstandard.ZstdCompressor(level=1).compressobj(size=sum(map(len, parts)))
+    out = ZIP.compressobj(size=sum(map(len, parts)))
     return b"".join([x for part in parts for x in (out.compress(part), out.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK))] + [out.flush()])
 
 
@@ -69,7 +70,7 @@ def squeeze(values: np.ndarray) -> bytes:
 def spread(packed: bytes) -> np.ndarray:
     n, used = int.from_bytes(packed[:4], "little"), [k for k in range(8) if packed[4] >> k & 1]
     folded = np.zeros(n, np.int64)
-    for k, plane in zip(used, np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[5:]), np.uint8).reshape(len(used), n)):
+    for k, plane in zip(used, np.frombuffer(UNZIP.decompress(packed[5:]), np.uint8).reshape(len(used), n)):
         folded.view(np.uint8)[k::8] = plane
     return (folded >> 1 & (1 << 63) - 1) ^ -(folded & 1)
 
@@ -91,7 +92,7 @@ def pack_words(words: list[bytes]) -> bytes:
 
 
 def unpack_words(packed: bytes) -> list[bytes]:
-    n, raw = int.from_bytes(packed[:4], "little"), zstandard.ZstdDecompressor().decompress(packed[4:])
+    n, raw = int.from_bytes(packed[:4], "little"), UNZIP.decompress(packed[4:])
     words, word = [], b""
     for k, end in zip(raw[:n], raw[n:].split(b" ")):
         word = word[:k] + end
@@ -169,7 +170,7 @@ class Question:
 
     def shards(self, n: int) -> np.ndarray:
         if self.kind == "word":
-            return np.array([zlib.crc32(w) % n for w in self.keys], np.int64)
+            return np.fromiter(map(zlib.crc32, self.keys), np.int64, len(self.keys)) % n
         mixed = np.zeros(len(self.sums), np.uint64)
         for k in self.keys:
             mixed = (mixed ^ k.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
@@ -184,6 +185,35 @@ def ranks(order: np.ndarray) -> np.ndarray:
     return out
 
 
+def by_count(counts: np.ndarray) -> np.ndarray:
+    """The order by falling count, equal ones as they lie."""
+    return np.argsort((65535 - np.minimum(counts, 65535)).astype(np.uint16), kind="stable")
+
+
+def by_shard(shard: np.ndarray) -> np.ndarray:
+    """The order by shard, those of one shard as they lie; numbers of two bytes sort much faster."""
+    return np.argsort(shard.astype(np.uint16) if shard.max(initial=0) < 1 << 16 else shard, kind="stable")
+
+
+def by_id(ids: np.ndarray) -> np.ndarray:
+    """The order by ids, all -1 first as they lie."""
+    some = np.flatnonzero(ids >= 0)
+    return np.concatenate([np.flatnonzero(ids < 0), some[np.argsort(ids[some])]])
+
+
+def distinct(first: np.ndarray, second: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, second) of the different pairs in order, and which of them each pair is; ``second`` lies below ``n``."""
+    keys, bits = first * n + second, len(first).bit_length()
+    if not len(keys) or int(keys.max()).bit_length() + bits > 63:
+        pairs, which = np.unique(keys, return_inverse=True)
+    else:  # sorting values with their places in the low bits is much faster than sorting places
+        both = np.sort(keys << bits | np.arange(len(keys)))
+        new = np.diff(both >> bits, prepend=-1) > 0
+        pairs, which = both[new] >> bits, np.empty(len(keys), np.int64)
+        which[both & (1 << bits) - 1] = np.cumsum(new) - 1
+    return pairs // n, pairs % n, which
+
+
 def tokens(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(different words in order, the tokens' codes, tokens of each text); every text has an end."""
     data, edges = flat(texts)
@@ -244,7 +274,7 @@ def replay(block: Block, all_tokens: int, all_words: int, depth: int = DEPTH, le
     n_words, codes = len(block.words), block.codes
     training = np.repeat(~block.held, block.sizes)
     told, word_id = yield Question("word", block.words, np.bincount(codes[training], minlength=n_words))
-    order = np.argsort(word_id, kind="stable")  # from here on, words and contexts lie by their ids, and so do the keys asked about
+    order = by_id(word_id)  # from here on, words and contexts lie by their ids, and so do the keys asked about
     codes, told, word_id = ranks(order)[codes], told[order], word_id[order]
     count = told & SOLE - 1
     sole = (told & SOLE > 0)[codes]  # no other block has the token's longest suffix asked about so far
@@ -258,18 +288,17 @@ def replay(block: Block, all_tokens: int, all_words: int, depth: int = DEPTH, le
     for longer in range(depth - 1, -1, -1):
         at = np.flatnonzero(before >= 0)
         at = at[context_n[before[at]] >= least]
-        pairs, which = np.unique(before[at] * n_words + codes[at], return_inverse=True)
-        context = pairs // n_words
-        told = np.bincount(which[training[at]], minlength=len(pairs))
-        here = np.empty(len(pairs), bool)
+        context, word, which = distinct(before[at], codes[at], n_words)
+        told = np.bincount(which[training[at]], minlength=len(word))
+        here = np.empty(len(word), bool)
         here[which] = sole[at]  # the same for all tokens of a pair
         ask = np.flatnonzero(~here | (told >= least if longer else False))
-        pair_id = np.full(len(pairs), -1, np.int64)
+        pair_id = np.full(len(word), -1, np.int64)
         told += np.where(told > 0, OWNER + SOLE, SOLE)
-        told[ask], pair_id[ask] = yield Question("pair" if longer else "last", (context_id[context[ask]], word_id[pairs[ask] % n_words]), told[ask] & SOLE - 1)
+        told[ask], pair_id[ask] = yield Question("pair" if longer else "last", (context_id[context[ask]], word_id[word[ask]]), told[ask] & SOLE - 1)
         mine, n = np.flatnonzero(told & OWNER), told & SOLE - 1
         sole[at] = (told & SOLE > 0)[which]
-        shorter = np.empty(len(pairs))
+        shorter = np.empty(len(word))
         shorter[which] = p[at]  # the same for all tokens of a pair, as it depends on the context's own suffixes
         seen = context_n[context].astype(np.float64)
         weight = PRIOR * seen**POWER
@@ -279,7 +308,7 @@ def replay(block: Block, all_tokens: int, all_words: int, depth: int = DEPTH, le
         told, _ = yield Question("context", (context_id[context[new]],), np.bincount(of[mine], np.rint(saved * UNIT), int(new.sum())).astype(np.int64))
         p[at] = np.where(told[of] > 0, (n + weight * shorter) / (seen + weight), shorter)[which]
         own = np.full(len(codes), -1, np.int64)
-        order = np.argsort(pair_id, kind="stable")
+        order = by_id(pair_id)
         own[at] = ranks(order)[which]
         before = np.where(first, -1, np.concatenate([[-1], own[:-1]]))
         context_id, context_n = pair_id[order], np.where(pair_id >= 0, n, 0)[order]
@@ -295,11 +324,11 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, codes, sizes = tokens(batch.column(2))
         held = batch.column(1).to_numpy(zero_copy_only=False)
         counts = np.bincount(codes)
-        codes = ranks(np.argsort(-counts, kind="stable"))[codes]  # frequent words get small numbers
+        codes = ranks(by_count(counts))[codes]  # frequent words get small numbers
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([number], pa.int64()), pa.array([len(codes)], pa.int64()), pa.array([int(sizes[~held].sum())], pa.int64()),
-                pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0)), pa.array([pack_words(words)], pa.binary()),
+                pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0)), pa.array([zipped([b" ".join(words)])], pa.binary()),
                 *[pa.array([squeeze(x)], pa.binary()) for x in (counts, codes, sizes, held)],
             ],
             names=["block", "n", "trained", "ids", "words", "counts", "codes", "sizes", "held"],
@@ -309,8 +338,8 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _block(batch: pa.RecordBatch, row: int) -> Block:
     get = lambda name: batch.column(name)[row].as_py()
-    codes = np.argsort(-spread(get("counts")), kind="stable")[spread(get("codes"))]
-    return Block(unpack_words(get("words")), codes, spread(get("sizes")), spread(get("held")) > 0)
+    codes = by_count(spread(get("counts")))[spread(get("codes"))]
+    return Block(UNZIP.decompress(get("words")).split(b" "), codes, spread(get("sizes")), spread(get("held")) > 0)
 
 
 def _answered(block: Block, batch: pa.RecordBatch, row: int, rounds: int, labels: np.ndarray, numbers: tuple[int, int], depth: int) -> Question | tuple[np.ndarray, ...]:
@@ -319,7 +348,7 @@ def _answered(block: Block, batch: pa.RecordBatch, row: int, rounds: int, labels
     turn = replay(block, *numbers, depth)
     asked = next(turn)
     for k in range(rounds):
-        order = np.argsort(asked.shards(shards), kind="stable")
+        order = by_shard(asked.shards(shards))
         parts = sorted(batch.column(f"answers{k}")[row].as_py() or [], key=lambda x: place[x["shard"]])
         told, ids = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
         told[order] = unpack_sums(asked.kind, np.concatenate([np.zeros(0, np.int64), *[spread(x["sums"]) for x in parts]]), asked.sums[order])
@@ -345,7 +374,7 @@ def _ask(rounds: int, labels: np.ndarray, numbers: tuple[int, int], depth: int):
             for row in range(batch.num_rows):
                 asked = _answered(_block(batch, row), batch, row, rounds, labels, numbers, depth)
                 shard = asked.shards(shards)
-                order = np.argsort(shard, kind="stable")
+                order = by_shard(shard)
                 cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
                 rows = [order[a:b] for a, b in zip(cuts, [*cuts[1:], len(order)])]
                 if rows:
