@@ -1,5 +1,6 @@
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -115,6 +116,57 @@ def test_several_blocks_and_one_give_the_same(spark, monkeypatch):
         assert base == pytest.approx([r[5] for r in want]) and score == pytest.approx([r[6] for r in want])
 
 
+def test_packed_and_back():
+    """Words, keys, sums and ids of any kind and order come back; those that lie as in a block take few bytes."""
+    rng = np.random.default_rng(5)
+    for v in (np.zeros(0, np.int64), np.full(9, -1), rng.integers(-(2**63), 2**63 - 1, 999), rng.integers(0, 2, 999) * suffix_tree.OWNER + suffix_tree.SOLE + 3):
+        assert suffix_tree.spread(suffix_tree.squeeze(v)).tolist() == v.tolist()
+    words = [b"", b"a" * 300, b"a" * 299 + b"b", *sorted({f"w{k}é".encode() for k in range(5000)}), b"a"]
+    for some in ([b""], words, words[::-1]):
+        assert suffix_tree.unpack_words(suffix_tree.pack_words(some)) == some
+    assert len(suffix_tree.pack_words(words)) < len(suffix_tree.zstandard.ZstdCompressor(level=1).compress(b" ".join(words)))
+
+    first, second, which = suffix_tree.distinct(rng.integers(0, 900, 60_000), rng.integers(0, 20_000, 60_000), 20_000)
+    at = np.flatnonzero(rng.random(len(first)) < 0.3)
+    for keys in ((first, second), (rng.permutation(first), rng.permutation(second)), (first << 36, second << 36)):
+        back = suffix_tree.unpack_keys("pair", *suffix_tree.pack_keys("pair", keys, at))
+        assert all((x == k[at]).all() for x, k in zip(back, keys))
+        assert (suffix_tree.unpack_keys("context", *suffix_tree.pack_keys("context", keys[:1], at))[0] == keys[0][at]).all()
+    assert sum(map(len, suffix_tree.pack_keys("pair", (first, second), at))) < 2.2 * len(at)
+
+    asked = rng.integers(0, 4, 5000)
+    others = rng.integers(0, 9, 5000)
+    told = np.where(others == 0, asked + suffix_tree.SOLE + np.where(asked > 0, suffix_tree.OWNER, 0), asked + others + rng.integers(0, 2, 5000) * suffix_tree.OWNER)
+    assert (suffix_tree.unpack_sums("pair", suffix_tree.spread(suffix_tree.pack_sums("pair", told, asked)), asked) == told).all()
+    ids = np.where(rng.random(5000) < 0.5, np.arange(5000), -1)
+    for kind, some in (("word", rng.permutation(ids)), ("pair", ids), ("pair", rng.permutation(ids)), ("last", np.full(9, -1)), ("pair", ids[:0])):
+        assert (suffix_tree.unpack_ids(kind, suffix_tree.pack_ids(kind, some)) == some).all()
+    assert len(suffix_tree.pack_ids("pair", ids)) < 0.6 * len(ids)
+
+
+def test_distinct_beyond_63_bits():
+    for top in (1 << 20, 1 << 44):
+        first, second = np.array([top, 3, top, 0, 3]), np.array([1, 7, 1, 0, 6])
+        a, b, which = suffix_tree.distinct(first, second, 1 << 17)
+        assert (a.tolist(), b.tolist(), which.tolist()) == ([0, 3, 3, top], [0, 6, 7, 1], [3, 2, 3, 0, 1])
+
+
+def test_shuffle_files_go_with_their_round(spark):
+    """Rounds end in stored tables, so nothing that they shuffled stays on disk, and the session is as before."""
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+    before, setting = shuffled(), spark.conf.get(suffix_tree.CLEANUP)
+    suffix_tree.scores(spark.createDataFrame([(k, t) for k, t in cases()[:50]], "doc_id long, text string").repartition(3), HELD)
+    end = time.time() + 3  # files are removed in the background
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.5)
+    assert not shuffled() - before
+    assert spark.conf.get(suffix_tree.CLEANUP) == setting
+
+
 def test_empty_and_untrained(spark):
     df = spark.createDataFrame([(1, "a b a b"), (2, None)], "doc_id long, text string")
     assert suffix_tree.scores(df.limit(0), HELD).count() == 0
