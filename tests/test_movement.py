@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from difftide.operators import reports
+from difftide.operators import importance, reports
 from difftide.plans import catalog, derived
 from difftide.sinks import outputs
 from difftide.streaming import reviews
@@ -118,3 +118,21 @@ def test_parts_of_derived_rows_grow_with_splits_and_landed_files_do_not(spark, t
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert 0 < len(list((tmp_path / "landed").glob("part-*"))) <= cores
     assert derived.derived(spark, str(SF), "fx_findings").rdd.getNumPartitions() == cores
+
+
+def test_files_move_once_to_the_last_part_of_their_names(spark, tmp_path):
+    rows = [(t, "p", k, f"src/a/b/c/C{k}.java", f"import b.c.C{k + 1};\nimport static a.b.c.C{k - 1}.of;") for t in (1, 2) for k in range(6)]
+    spark.createDataFrame(rows, "task_id long, pr_id string, file_seq int, file_path string, diff_content string").repartition(3).write.parquet(str(tmp_path / "files"))
+    before = {name: spark.conf.get(name, None) for name in importance.JOB}
+    with importance._settings(spark, importance.JOB):
+        links = importance.import_links(spark.read.parquet(str(tmp_path / "files")))
+        plan = final_plan(links)
+    assert {name: spark.conf.get(name, None) for name in importance.JOB} == before
+    moves = [line for line in plan if re.search(r"\bExchange hashpartitioning", line)]
+    assert len(moves) == 3 and not any(re.search(r"\bname#", line) for line in moves)
+    # Names are given behind the move, so a file is one row of it.
+    explodes = [i for i, line in enumerate(plan) if "Generate explode" in line and "substring_index" in line]
+    assert explodes and any("Exchange hashpartitioning(task_id" in line for line in plan[explodes[0]:])
+    assert sorted(map(tuple, links.collect())) == sorted((t, k, j) for t in (1, 2) for k in range(6) for j in (k - 1, k + 1) if 0 <= j < 6)
+    kept = importance.stored_links(spark.read.parquet(str(tmp_path / "files")))
+    assert {(r.importing, r.out) for r in kept.collect()} == {(k, 1 if k in (0, 5) else 2) for k in range(6)}
