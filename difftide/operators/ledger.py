@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -54,11 +55,14 @@ def unreviewed_hunks(hunks: DataFrame, ledger: DataFrame) -> DataFrame:
     """Identified hunks that no earlier push of their PR has brought (DX1).
 
     `ledger` holds the reviewed identities. A hunk that several pushes in `hunks` bring belongs to the first of them (smallest
-    `task_id`), so pushes may come together.
+    `task_id`), so pushes may come together. Hunks are cut and hashed once: the first push is found among the keys that have moved.
     """
     keys = hunk_identities(hunks)
-    first = keys.groupBy(*HUNK).agg(F.min("task_id").alias("task_id")).join(ledger.select(*HUNK), HUNK, "left_anti")
-    return keys.join(first, [*HUNK, "task_id"], "left_semi").select(*keys.columns)
+    # A key that lacks a part is like no other. This isn't a filter, which would be evaluated below the hashing as well.
+    whole = reduce(Column.__and__, [F.col(c).isNotNull() for c in HUNK])
+    first = F.min(F.when(whole, F.col("task_id"))).over(Window.partitionBy(*HUNK))
+    brought = keys.withColumn("_first", first).where(F.col("task_id") == F.col("_first"))
+    return brought.join(ledger.select(*HUNK), HUNK, "left_anti").select(*keys.columns)
 
 
 def review_push(hunks: DataFrame, ledger_dir: str, run: int) -> DataFrame:

@@ -8,6 +8,7 @@ from difftide.operators import ledger
 from difftide.operators.bug_rules import BUG_RULES
 from difftide.operators.diffs import changed_files, hunks
 from difftide.operators.rules import scan
+from difftide.plans import catalog
 
 RULES = [BUG_RULES["rule_system_out"], BUG_RULES["rule_todo"]]
 NOW = datetime(2024, 5, 1, 12)
@@ -53,6 +54,22 @@ def test_lines_are_told_apart(spark):
     assert ledger.hunk_identities(rows).select("hunk_hash").distinct().count() == 4
 
 
+def test_hunks_are_cut_and_hashed_once(spark, tmp_path):
+    spark.createDataFrame([(1, "p", "diff --git a/A b/A\n@@ -1 +1 @@\n+x\n"), (2, None, "diff --git a/A b/A\n@@ -1 +1 @@\n+x\n")], "task_id long, pr_id string, body string").write.parquet(str(tmp_path / "diffs"))
+    rows = ledger.unreviewed_hunks(hunks(changed_files(spark.read.parquet(str(tmp_path / "diffs")))), spark.createDataFrame([], ledger._LEDGER))
+    assert [(r.task_id, r.pr_id) for r in rows.collect()] == [(1, "p")]  # a hunk without a key is not brought
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"(?:FileScan|Scan) parquet", plan)) == 1 and plan.count("sha2(") == 1
+
+
+@pytest.mark.parametrize("tasks", [[5], [], [3, 40_000], [-9, -70_000]])
+def test_highest_task_is_found_from_the_top(spark, tasks):
+    known = spark.createDataFrame([(t,) for t in [*tasks, 90_000, -80_000]], "task_id long")
+    costly = spark.createDataFrame([(t,) for t in tasks], "task_id long")
+    assert catalog._highest(costly, known) == max(tasks, default=None)
+    assert catalog._highest(costly, known.limit(0)) is None
+
+
 # -- rule hits -----------------------------------------------------------------------------------
 FILE = "task_id long, pr_id string, file_seq int, file_path string, diff_content string"
 TEXTS = ["System.out.println(1);\nint a; // TODO later", "int b;", "System.out.println(2);", None, " ", "// FIXME x\nSystem.err.println(3);\n" * 50]
