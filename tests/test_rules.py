@@ -3,8 +3,10 @@ import re
 
 import models
 import pytest
+from pyspark.sql import functions as F
 
-from difftide.operators import bug_rules, findings, layer_rules, style_rules
+from difftide.functions.text import ctrim
+from difftide.operators import bug_rules, findings, layer_rules, rules, style_rules
 from difftide.operators.rules import scan
 
 LINES = [
@@ -149,3 +151,18 @@ def test_tool_findings_order_and_severity(spark):
     ]
     assert len({r.seq for r in rows}) == 4 and {r.category for r in rows} == {"static-analysis"}
     assert "Exchange" not in findings.tool_findings(files)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_marks_behind_any_indent_are_found_in_one_match(spark):
+    marks = ["//", "*", "/*", "@", "a.b"]
+    lines = ["// x", " \t\x00// x", "x // y", "", "  ", "\n* x", "\u00a0* x", "/ *", "\x1f@A", " a.b", " axb", "/", None]
+    df = spark.createDataFrame([(t,) for t in lines], "line string")
+    both = df.select(rules.trimmed_starts_with_any(F.col("line"), marks).alias("a"), rules.starts_with_any(ctrim(F.col("line")), marks).alias("b")).collect()
+    assert [r.a for r in both] == [r.b for r in both]
+
+
+def test_line_rules_trim_no_line(spark):
+    """Trimming looks at one character at a time; what starts a line is matched instead."""
+    files = spark.createDataFrame([(1, "p", 1, "A.java", "x")], "task_id long, pr_id string, file_seq int, file_path string, diff_content string")
+    for rule in (bug_rules.string_eq, style_rules.magic_number):
+        assert "trim(" not in rules.scan(files, [rule])._jdf.queryExecution().optimizedPlan().toString()
