@@ -147,3 +147,9 @@ def test_heads_alone_move_no_texts_and_count_the_same(spark):
     moves = [line for line in final_plan(reports.counted_findings(f)) if "Exchange hashpartitioning" in line]
     assert len(moves) == 1
     assert not any(name in reports.counted_findings(f)._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[0] for name in ("title", "description", "suggestion"))
+
+
+def test_stored_tables_of_the_flow_are_packed(spark, tmp_path):
+    pieces = spark.createDataFrame([(1, "o/r", 0, "row", "t", "none")], reviews.PIECES)
+    reviews._store(pieces, f"{tmp_path}/reports", 0, 4)
+    assert [f.name.endswith(".zstd.parquet") for f in tmp_path.rglob("*.parquet")] == [True]
